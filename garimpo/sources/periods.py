@@ -70,14 +70,13 @@ def latest_snapshot_files(
     spark: SparkSession, folder: str, as_of: dt.date, days: int = fv.SNAPSHOT_DAYS
 ) -> dict[str, list[str]]:
     """Newest dated files per register: ``<register>_AAAAMMDD`` anywhere in the path."""
-    wanted = {
-        (as_of - dt.timedelta(days=back)).strftime("%Y%m%d"): back for back in range(days)
-    }
-    found: dict[str, dict[str, list[str]]] = {}
-    for path in list_files(spark, folder):
-        tail = path[path.find(folder.rstrip("/").split("/")[-1]) :].lower()
-        for register in fv.SANCTION_REGISTERS:
-            for stamp in wanted:
-                if f"{register.lower()}_{stamp}" in tail:
-                    found.setdefault(register, {}).setdefault(stamp, []).append(path)
-    return {register: stamps[max(stamps)] for register, stamps in found.items()}
+    stamps = [(as_of - dt.timedelta(days=back)).strftime("%Y%m%d") for back in range(days)]
+    paths = list_files(spark, folder)
+    newest = {}
+    for register in fv.SANCTION_REGISTERS:
+        for stamp in stamps:
+            mark = f"{register.lower()}_{stamp}"
+            if files := [path for path in paths if mark in path.lower()]:
+                newest[register] = files
+                break
+    return newest

@@ -165,7 +165,6 @@ def layout_profile(
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .option("encoding", fv.CSV_ENCODING)
         .text(paths)
         .where(F.length("value") > 0)
         .select(F.input_file_name().alias("arquivo"), line_width(F.col("value")).alias("largura"))
