@@ -12,7 +12,7 @@ MONEY = "decimal(18,2)"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 # Intl-style amounts keep a no-break space between the sign and the number.
-_CURRENCY = "R$ "
+_CURRENCY = "R$\u00a0"
 
 
 def parse_plain(text: Column) -> Column:
