@@ -1,0 +1 @@
+"""Queries over the test tables and the SQL they are checked against."""

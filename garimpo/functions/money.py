@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 
-# What counts as a number once the decimal mark is a dot. Spark's cast alone would
-# also take type suffixes such as "1d".
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-
 # Intl-style amounts keep a no-break space between the sign and the number.
 _CURRENCY = "R$\u00a0"
 
 
 def parse_plain(text: Column) -> Column:
-    """Number text with a decimal dot to money; anything else is NULL."""
-    return F.when(text.rlike(_NUMBER), text.try_cast(MONEY))
+    """Number text with a decimal dot to money; anything else is NULL.
+
+    A decimal cast takes exactly that: signs and exponents, but no "1d" or "NaN",
+    which a cast to double would let through.
+    """
+    return text.try_cast(MONEY)
 
 
 def parse_decimal_comma(text: Column) -> Column:
@@ -31,8 +31,8 @@ def parse_money_br(text: Column) -> Column:
 
 
 def parse_float(text: Column) -> Column:
-    """Number text to double; anything else is NULL."""
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    """Number text to double by way of a decimal; anything else is NULL."""
+    return text.try_cast("decimal(38,12)").cast("double")
 
 
 def format_money_br(amount: Column) -> Column:

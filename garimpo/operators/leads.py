@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from garimpo import fixed_values as fv
 from garimpo.functions.identity import format_cnpj
 from garimpo.functions.money import format_reais_rounded
-from garimpo.operators.facts import facts_by_company
-from garimpo.operators.findings import add_findings
-from garimpo.operators.universe import base_rows, enrich
 from garimpo.parameters import Parameters, ScoreWeights
 
 COLUMNS = (
@@ -133,22 +130,6 @@ def finding_count() -> Column:
     return first
 
 
-def rows_with_findings(
-    estabelecimentos: DataFrame,
-    empresas: DataFrame,
-    simples: DataFrame,
-    lookups: Mapping[str, DataFrame],
-    debts: DataFrame,
-    state_debts: DataFrame,
-    sanctions: DataFrame,
-    params: Parameters,
-) -> DataFrame:
-    """Universe rows with all universe and finding columns, straight from clean tables."""
-    facts = facts_by_company(debts, state_debts, sanctions)
-    rows = base_rows(estabelecimentos, empresas, simples, params, company_facts=facts)
-    return add_findings(enrich(rows, lookups))
-
-
 def leads(rows: DataFrame, params: Parameters) -> DataFrame:
     """The 43-column ``leads`` table from universe rows with findings.
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
 from garimpo.operators import reports
@@ -151,7 +152,11 @@ def build_universe(tables: Tables, params: Parameters) -> DataFrame:
 
 
 def build_rows(tables: Tables, params: Parameters) -> DataFrame:
-    """Universe rows with universe and finding columns."""
+    """Universe rows with universe and finding columns.
+
+    ``saiu_do_simples`` is the finding, never NULL; the universe's own three-valued
+    flag stays in ``saiu_do_simples_registro``.
+    """
     registry = tables.registry
     facts = facts_by_company(tables.debts, tables.state_debts, tables.sanctions)
     rows = base_rows(
@@ -161,6 +166,7 @@ def build_rows(tables: Tables, params: Parameters) -> DataFrame:
         params,
         company_facts=facts,
     )
+    rows = rows.withColumn("saiu_do_simples_registro", F.col("saiu_do_simples"))
     return add_findings(enrich(rows, tables.lookups))
 
 
@@ -180,9 +186,10 @@ def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str,
         {name: tables.registry[name] for name in ("empresas", "simples")}, ["cnpj_basico"]
     )
     require_unique(tables.lookups, ["codigo"])
-    wide = replace_stage(build_rows(tables, params), f"{stage}/_universo_com_apontamentos")
+    wide = replace_stage(build_rows(tables, params), f"{stage}/universo_com_apontamentos")
+    whole_universe = wide.withColumn("saiu_do_simples", F.col("saiu_do_simples_registro"))
     return {
-        "universo": replace_stage(wide.select(*UNIVERSE_COLUMNS), f"{stage}/universo"),
+        "universo": replace_stage(whole_universe.select(*UNIVERSE_COLUMNS), f"{stage}/universo"),
         "apontamentos": replace_stage(wide.select(*FINDING_COLUMNS), f"{stage}/apontamentos"),
         "leads": replace_stage(lead_rows(wide, params), f"{stage}/leads"),
     }

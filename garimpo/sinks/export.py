@@ -46,7 +46,13 @@ def write_sheet(
         sheet = sheet.coalesce(1)
     writer = sheet.write.mode("overwrite")
     if file_format == "csv":
-        writer.options(header="true", sep=fv.CSV_DELIMITER, escape=fv.CSV_QUOTE).csv(target)
+        writer.options(
+            header="true",
+            sep=fv.CSV_DELIMITER,
+            escape=fv.CSV_QUOTE,
+            ignoreLeadingWhiteSpace="false",
+            ignoreTrailingWhiteSpace="false",
+        ).csv(target)
     else:
         writer.format(file_format).save(target)
     return target
