@@ -69,8 +69,19 @@ def _parse(
         raise
 
 
+def odd_width(raw_line: str, a_column: str) -> Column:
+    """Width of a line that is not as wide as declared, 0 for a regular line.
+
+    Spark refuses queries that read nothing but the raw line, as a count of rows would.
+    The second term, always 0, has the query read ``a_column`` too.
+    """
+    return F.coalesce(
+        line_width(F.col(raw_line)), F.least(F.length(a_column), F.lit(0)), F.lit(0)
+    )
+
+
 def _too_wide(columns: Sequence[str]) -> Column:
-    return F.col(_RAW_LINE).isNotNull() & (line_width(F.col(_RAW_LINE)) > len(columns))
+    return odd_width(_RAW_LINE, columns[0]) > len(columns)
 
 
 def read_positional_csv(
@@ -103,7 +114,7 @@ def rejected_lines(
     paths = [paths] if isinstance(paths, str) else list(paths)
     return (
         _parse(spark, columns, paths, glob)
-        .select(columns[0], _RAW_LINE, F.input_file_name().alias("arquivo"))
+        .withColumn("arquivo", F.input_file_name())
         .where(_too_wide(columns))
         .select(
             "arquivo",

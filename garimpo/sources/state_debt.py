@@ -16,7 +16,7 @@ from garimpo import fixed_values as fv
 from garimpo.functions.dates import serial_to_iso, window_start_serial
 from garimpo.functions.identity import company_key, digits, is_company_id
 from garimpo.functions.money import MONEY, parse_float, parse_plain
-from garimpo.sources.registry import CSV_OPTIONS, line_width, string_schema
+from garimpo.sources.registry import CSV_OPTIONS, odd_width, string_schema
 
 SCHEMA = (
     "cpf_cnpj string, cnpj_basico string, nome_devedor string, numero_cda string, "
@@ -37,9 +37,8 @@ def read_cells(spark: SparkSession, paths: str | Sequence[str], header: bool = T
         columnNameOfCorruptRecord=_RAW_LINE,
         columnPruning="false",
     )
-    short = F.col(_RAW_LINE).isNotNull() & (
-        line_width(F.col(_RAW_LINE)) < len(fv.STATE_DEBT_CELLS)
-    )
+    width = odd_width(_RAW_LINE, fv.STATE_DEBT_CELLS[0])
+    short = (width > 0) & (width < len(fv.STATE_DEBT_CELLS))
     rows = spark.read.schema(schema).options(**options).csv(paths)
     return rows.where(~short).select(*fv.STATE_DEBT_CELLS)
 
