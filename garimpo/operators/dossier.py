@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.dates import date_br
 from garimpo.functions.identity import digits
+from garimpo.operators.joins import join_to_unique
 from garimpo.operators.ordering import SortKey, with_position
 
 KEY = "cnpj_basico"
@@ -182,9 +183,9 @@ def overview(
         F.count("qualificacao").alias("qtd_socios_qualificados"),
     )
     counts = [name for name in lists.columns if name.startswith("qtd_")]
+    named = owners.select(KEY, "cnpj", "razao_social", "data_inicio_atividade")
     return (
-        owners.select(KEY, "cnpj", "razao_social", "data_inicio_atividade")
-        .join(lists, KEY, "left")
+        join_to_unique(named, lists, KEY, "left")
         .fillna(0, counts)
         .withColumn("inicio_atividade", date_br(F.col("data_inicio_atividade")))
         .drop(KEY, "data_inicio_atividade")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from garimpo import fixed_values as fv
 from garimpo.functions.dates import compact_to_br
 from garimpo.functions.money import format_money_br
+from garimpo.operators.joins import join_to_unique
 
 COLUMNS = (
     "cnpj_basico",
@@ -136,4 +137,5 @@ def add_findings(rows: DataFrame) -> DataFrame:
 
 def findings(universe: DataFrame, company_facts: DataFrame) -> DataFrame:
     """The findings table: one row per universe row, 23 columns."""
-    return add_findings(universe.join(company_facts, "cnpj_basico", "left")).select(*COLUMNS)
+    rows = join_to_unique(universe, company_facts, "cnpj_basico", "left")
+    return add_findings(rows).select(*COLUMNS)

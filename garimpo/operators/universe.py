@@ -2,8 +2,8 @@
 
 Everything known per company is put together first, on frames with one row per
 key, and establishments join that once, at the end. Only this last join can meet a
-key with many rows, and nothing after it needs the key layout, so adaptive
-execution is free to split such a key.
+key with many rows, and nothing after it needs the key layout, so such a key can be
+split (see ``joins``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from garimpo import fixed_values as fv
 from garimpo.functions.dates import drop_sentinels
 from garimpo.functions.identity import blank_to_null, phone
 from garimpo.functions.money import parse_decimal_comma
+from garimpo.operators.joins import join_to_unique
 from garimpo.parameters import Parameters
 
 # Code lists: code column of the universe, description column it gets.
@@ -166,7 +167,7 @@ def base_rows(
         companies = companies.join(company_facts, "cnpj_basico", "left")
         extra = [c for c in company_facts.columns if c != "cnpj_basico"]
     places = wanted_establishments(estabelecimentos, params)
-    return places.join(companies, "cnpj_basico").select(*BASE_COLUMNS, *extra)
+    return join_to_unique(places, companies, "cnpj_basico").select(*BASE_COLUMNS, *extra)
 
 
 def universe(

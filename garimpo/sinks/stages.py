@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+
+
+def _writer(rows: DataFrame, mode: str, partition_by: Sequence[str]) -> DataFrameWriter:
+    if not partition_by:
+        return rows.write.mode(mode)
+    # Bring each partition's rows together for few, large files; a partition with a
+    # large part of all rows is split into several.
+    return rows.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
 
 
 def replace_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -12,13 +20,13 @@ def replace_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ())
 
     Partition a national run by ``uf``: a run for one state then reads one folder.
     """
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _writer(rows, "overwrite", partition_by).parquet(path)
     return read_stage(rows.sparkSession, path)
 
 
 def append_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add late slices to a stage and return the whole stage."""
-    rows.write.mode("append").partitionBy(*partition_by).parquet(path)
+    _writer(rows, "append", partition_by).parquet(path)
     return read_stage(rows.sparkSession, path)
 
 

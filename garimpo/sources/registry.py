@@ -14,6 +14,9 @@ from garimpo import fixed_values as fv
 
 _RAW_LINE = "_raw_line"
 
+# Files whose first lines are looked at in one job.
+_FILES_PER_CHECK = 64
+
 CSV_OPTIONS = {
     "sep": fv.CSV_DELIMITER,
     "quote": fv.CSV_QUOTE,
@@ -160,7 +163,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> list[str]:
     """File paths below ``path``. Lists names only; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        found = reader.option("pathGlobFilter", glob).load(path).select("path").distinct()
+        found = reader.option("pathGlobFilter", glob).load(path).select("path")
         return sorted(row.path for row in found.collect())
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
@@ -194,8 +197,13 @@ def check_layout(
 
     Looks at the first ``sample`` lines of every file; an empty file passes.
     """
-    if not files:
-        return
+    for start in range(0, len(files), _FILES_PER_CHECK):
+        _check_heads(spark, columns, files[start : start + _FILES_PER_CHECK], sample)
+
+
+def _check_heads(
+    spark: SparkSession, columns: Sequence[str], files: Sequence[str], sample: int
+) -> None:
     heads = [
         spark.read.text(path).limit(sample).select(
             F.lit(path).alias("arquivo"), F.col("value")
