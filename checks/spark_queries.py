@@ -577,8 +577,10 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partners are listed per company, so their key repeats."""
-    tables = {name: role(spark, sf_dir, name) for name in ("empresas", "simples", "socios")}
-    return audit.duplicate_keys(tables, ["cnpj_basico"])
+    names = ("empresas", "simples", "socios")
+    return audit.duplicate_keys(
+        {name: (role(spark, sf_dir, name), "cnpj_basico") for name in names}
+    )
 
 
 QUERIES: dict[str, Query] = {

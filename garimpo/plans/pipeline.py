@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from garimpo import fixed_values as fv
 from garimpo.operators import reports
@@ -29,6 +31,7 @@ from garimpo.sources.registry import (
     list_files,
     read_table,
     slice_paths,
+    string_schema,
     suffix_glob,
 )
 
@@ -126,17 +129,22 @@ def ingest_state_debt(
 def load_tables(spark: SparkSession, stage: str) -> Tables:
     """Clean tables of a stage folder; findings sources not loaded are empty."""
 
-    def present(table: str) -> bool:
-        return bool(list_files(spark, f"{stage}/{table}", "*.parquet"))
-
-    def optional(table: str, empty) -> DataFrame:
-        return read_stage(spark, f"{stage}/{table}") if present(table) else empty(spark)
+    def optional(table: str, source: ModuleType) -> DataFrame:
+        try:
+            return read_stage(spark, f"{stage}/{table}", source.SCHEMA)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return source.empty(spark)
+            raise
 
     return Tables(
-        registry={name: read_stage(spark, f"{stage}/{name}") for name in fv.REGISTRY_LAYOUTS},
-        debts=optional("divida_ativa_uniao", federal_debt.empty),
-        state_debts=optional("divida_ativa_mg", state_debt.empty),
-        sanctions=optional("sancoes", sanctions.empty),
+        registry={
+            name: read_stage(spark, f"{stage}/{name}", string_schema(columns))
+            for name, columns in fv.REGISTRY_LAYOUTS.items()
+        },
+        debts=optional("divida_ativa_uniao", federal_debt),
+        state_debts=optional("divida_ativa_mg", state_debt),
+        sanctions=optional("sancoes", sanctions),
     )
 
 
@@ -183,9 +191,9 @@ def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str,
     """
     tables = load_tables(spark, stage)
     require_unique(
-        {name: tables.registry[name] for name in ("empresas", "simples")}, ["cnpj_basico"]
+        {name: (tables.registry[name], "cnpj_basico") for name in ("empresas", "simples")}
+        | {name: (codes, "codigo") for name, codes in tables.lookups.items()}
     )
-    require_unique(tables.lookups, ["codigo"])
     wide = replace_stage(build_rows(tables, params), f"{stage}/universo_com_apontamentos")
     whole_universe = wide.withColumn("saiu_do_simples", F.col("saiu_do_simples_registro"))
     return {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -30,21 +30,21 @@ def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return rows.observe(observation, F.count(F.lit(1)).alias("linhas")), observation
 
 
-def duplicate_keys(tables: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
-    """Keys with more than one row: (tabela, chave, linhas)."""
+def duplicate_keys(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Keys with more than one row, from ``{table: (rows, key)}``: (tabela, chave, linhas)."""
     found = [
-        rows.groupBy(F.concat_ws("|", *key).alias("chave"))
+        rows.groupBy(F.col(key).alias("chave"))
         .agg(F.count("*").alias("linhas"))
         .where(F.col("linhas") > 1)
         .select(F.lit(table).alias("tabela"), "chave", "linhas")
-        for table, rows in tables.items()
+        for table, (rows, key) in tables.items()
     ]
     return reduce(DataFrame.unionAll, found)
 
 
-def require_unique(tables: Mapping[str, DataFrame], key: Sequence[str]) -> None:
+def require_unique(tables: Mapping[str, tuple[DataFrame, str]]) -> None:
     """Raise :class:`DuplicateKeys` if a table repeats a key: joins would multiply rows."""
-    worst = duplicate_keys(tables, key).orderBy(F.desc("linhas")).limit(5).collect()
+    worst = duplicate_keys(tables).orderBy(F.desc("linhas")).limit(5).collect()
     if worst:
         examples = ", ".join(f"{r.tabela} {r.chave} ({r.linhas} rows)" for r in worst)
         raise DuplicateKeys(examples)

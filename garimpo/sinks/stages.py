@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import types as T
 
 
 def _writer(rows: DataFrame, mode: str, partition_by: Sequence[str]) -> DataFrameWriter:
@@ -30,8 +31,12 @@ def append_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     return read_stage(rows.sparkSession, path)
 
 
-def read_stage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_stage(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """A stage; with a declared schema no file is opened while planning."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
 
 
 def save_keyed_table(rows: DataFrame, table: str, buckets: int, key: str = "cnpj_basico") -> None:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.sources.registry import CSV_OPTIONS
+from garimpo.sources.registry import CSV_OPTIONS, read_positional_csv
 
 Aliases = Mapping[str, Sequence[str]]
 
@@ -33,10 +33,34 @@ def resolve_names(names: Iterable[str], aliases: Aliases) -> dict[str, str | Non
     }
 
 
-def read_header_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Header CSV, every column a string. All ``paths`` must share one header."""
+def header_names(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the header line of a file (or of the files of a folder).
+
+    A name that was there before, in whatever case, gets a number, a missing one too.
+    """
+    first = spark.read.options(header="false", **CSV_OPTIONS).csv(path).first()
+    names: list[str] = []
+    seen: set[str] = set()
+    for position, name in enumerate(first or ()):
+        unique = name or f"column{position}"
+        if unique.lower() in seen:
+            unique = f"{unique}_{position}"
+        seen.add(unique.lower())
+        names.append(unique)
+    return names
+
+
+def read_header_csv(
+    spark: SparkSession, paths: str | Sequence[str], names: Sequence[str] | None = None
+) -> DataFrame:
+    """Header CSV, every column a string. All ``paths`` must share one header.
+
+    Short lines are filled with NULL, lines that are too wide are left out.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.options(header="true", inferSchema="false", **CSV_OPTIONS).csv(paths)
+    names = names or header_names(spark, paths[0])
+    plain = [f"c{position}" for position in range(len(names))]
+    return read_positional_csv(spark, plain, paths, header=True).toDF(*names)
 
 
 def to_canonical(rows: DataFrame, aliases: Aliases) -> DataFrame | None:
@@ -65,10 +89,11 @@ def read_canonical(
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in files:
-        by_header.setdefault(tuple(read_header_csv(spark, path).columns), []).append(path)
+        if names := tuple(header_names(spark, path)):
+            by_header.setdefault(names, []).append(path)
     parts = [
         part
-        for paths in by_header.values()
-        if (part := to_canonical(read_header_csv(spark, paths), aliases)) is not None
+        for names, paths in by_header.items()
+        if (part := to_canonical(read_header_csv(spark, paths, names), aliases)) is not None
     ]
     return reduce(DataFrame.unionByName, parts) if parts else None

@@ -56,11 +56,20 @@ def line_width(line: Column) -> Column:
 
 
 def _parse(
-    spark: SparkSession, columns: Sequence[str], paths: Sequence[str], glob: str | None
+    spark: SparkSession,
+    columns: Sequence[str],
+    paths: Sequence[str],
+    glob: str | None,
+    header: bool = False,
 ) -> DataFrame:
     # Column pruning inside the CSV parser would hide the true width of a line, so it
     # is off: every line that is not exactly as wide as declared keeps its raw text.
-    options = dict(CSV_OPTIONS, columnNameOfCorruptRecord=_RAW_LINE, columnPruning="false")
+    options = dict(
+        CSV_OPTIONS,
+        header=str(header).lower(),
+        columnNameOfCorruptRecord=_RAW_LINE,
+        columnPruning="false",
+    )
     if glob:
         options |= {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
     schema = string_schema([*columns, _RAW_LINE])
@@ -93,15 +102,16 @@ def read_positional_csv(
     paths: str | Sequence[str],
     uf: str | None = None,
     glob: str | None = None,
+    header: bool = False,
 ) -> DataFrame:
-    """Header-less CSV with declared columns, all strings.
+    """CSV with declared columns, all strings; a header line is skipped if there is one.
 
     Short lines are filled with NULL, lines that are too wide are left out (see
     :func:`rejected_lines`). ``uf`` keeps one state while scanning, for layouts
     that have that column.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    rows = _parse(spark, columns, paths, glob).where(~_too_wide(columns))
+    rows = _parse(spark, columns, paths, glob, header).where(~_too_wide(columns))
     if uf is not None and "uf" in columns:
         rows = rows.where(F.col("uf") == uf)
     return rows.select(*columns)

@@ -6,7 +6,7 @@ import pytest
 
 from garimpo.operators import reports
 from garimpo.parameters import Parameters
-from garimpo.plans import pipeline
+from garimpo.plans import job, pipeline
 from garimpo.sinks.audit import DuplicateKeys
 from tests.sample import AS_OF, write_landing
 
@@ -18,17 +18,7 @@ def stage(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("landing")
     write_landing(root)
     target = str(tmp_path_factory.mktemp("stage"))
-    loaded = pipeline.ingest_registry(spark, f"{root}/receita", target, PARAMS).rows
-    folders = {
-        "Dívida Ativa - Geral": f"{root}/pgfn/geral",
-        "Dívida Ativa - Previdenciária": f"{root}/pgfn/previdenciaria",
-        "Dívida Ativa - FGTS": f"{root}/pgfn/fgts",
-    }
-    loaded |= pipeline.ingest_federal_debt(spark, folders, target, PARAMS).rows
-    loaded |= pipeline.ingest_sanctions(spark, f"{root}/transparencia", target, AS_OF).rows
-    loaded |= pipeline.ingest_state_debt(
-        spark, f"{root}/mg/divida_mg.csv", target, PARAMS, AS_OF
-    ).rows
+    loaded = job.ingest(spark, str(root), target, PARAMS, AS_OF)
     pipeline.transform(spark, target, PARAMS)
     return target, loaded
 
@@ -243,3 +233,16 @@ def test_repeated_company_is_refused(spark, stage, tmp_path):
     append_stage(again, str(tmp_path / "empresas"))
     with pytest.raises(DuplicateKeys, match="empresas 10000001"):
         pipeline.transform(spark, str(tmp_path), PARAMS)
+
+
+def test_job_steps(spark, stage, tmp_path, capsys):
+    settings = tmp_path / "run.json"
+    settings.write_text('{"uf": "mg", "universo": {"somente_com_apontamento": false}}')
+    assert not job.read_settings(spark, str(settings)).somente_com_apontamento
+    job.main(["--stage", stage[0], "summary"])
+    assert "Descartadas por não terem apontamento: 1" in capsys.readouterr().out
+    job.main(["--stage", stage[0], "export", "--folder", str(tmp_path), "--min-findings", "2"])
+    path = capsys.readouterr().out.strip()
+    assert spark.read.options(header="true", sep=";").csv(path).count() == 3
+    with pytest.raises(ValueError, match="unknown source"):
+        job.ingest(spark, "x", "y", PARAMS, AS_OF, ["other"])

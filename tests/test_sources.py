@@ -183,6 +183,17 @@ def test_federal_debt_state_filter(spark, tmp_path):
     assert sorted(r.numero_inscricao for r in read.collect()) == ["0", "1", "2"]
 
 
+def test_header_csv_odd_lines(spark, tmp_path):
+    write(tmp_path / "a.csv", "CNPJ;Nome;NOME;a.b;\n1;x;y;z;w\n2;x\n3;x;y;z;w;v\n")
+    read = header_csv.read_header_csv(spark, str(tmp_path / "a.csv"))
+    assert read.columns == ["CNPJ", "Nome", "NOME_2", "a.b", "column4"]
+    assert rows_of(read) == [("1", "x", "y", "z", "w"), ("2", "x", None, None, None)]
+    write(tmp_path / "empty.csv", "")
+    assert header_csv.read_canonical(
+        spark, [str(tmp_path / "empty.csv")], fv.SANCTION_ALIASES
+    ) is None
+
+
 def test_one_scan_per_header(spark, tmp_path):
     for name in ("a", "b", "c"):
         write(tmp_path / name, FEDERAL_DEBT)
