@@ -185,6 +185,17 @@ _ALL_FINDINGS = f"""
                    '{fv.TEXT_UNKNOWN_DATE}'), NULL)) AS apontamentos_texto
     FROM juntos"""
 
+# Regime and confidence as a pair.
+_REGIME = f"""CASE
+        WHEN left(cnae_fiscal_principal, 4) IN {_in(fv.MANDATORY_LUCRO_REAL_ACTIVITIES)}
+        THEN ['{fv.REGIME_MANDATORY}', '{fv.CONFIDENCE_HIGH}']
+        WHEN porte_empresa = '05'
+        THEN [if(coalesce(capital_social, 0) >= {PARAMS.capital_lucro_real},
+                 '{fv.REGIME_REAL}', '{fv.REGIME_PRESUMED}'), '{fv.CONFIDENCE_MEDIUM}']
+        WHEN porte_empresa IN ('01', '03')
+        THEN ['{fv.REGIME_PRESUMED_SMALL}', '{fv.CONFIDENCE_LOW}']
+        ELSE ['{fv.REGIME_UNKNOWN}', '{fv.CONFIDENCE_NONE}'] END"""
+
 _ALL_LEADS = f"""
     SELECT *,
            regexp_replace(cnpj, '^(..)(...)(...)(....)(..)$', '\\1.\\2.\\3/\\4-\\5')
@@ -193,16 +204,14 @@ _ALL_LEADS = f"""
                  '03': 'Empresa de pequeno porte', '05': 'Demais'}}[porte_empresa] AS porte,
            MAP {{'02': 'Ativa', '03': 'Suspensa', '04': 'Inapta'}}[situacao_cadastral]
                AS situacao,
-           regime.regime_provavel,
-           regime.regime_confianca,
+           ({_REGIME})[1] AS regime_provavel,
+           ({_REGIME})[2] AS regime_confianca,
            {_score(PARAMS.weights)} AS score,
            {_score(OTHER_WEIGHTS.weights)} AS outro_score,
            CAST(tem_divida_ativa_uniao AS INTEGER) + CAST(tem_divida_ativa_mg AS INTEGER)
                + CAST(situacao_irregular AS INTEGER) + CAST(tem_sancao AS INTEGER)
                + CAST(saiu_do_simples AS INTEGER) AS qtd_apontamentos
-    FROM @findings
-    LEFT JOIN regime ON regime.cnpj_basico_do_regime = cnpj_basico
-        AND regime.cnpj_do_regime = cnpj"""
+    FROM @findings"""
 
 
 def _universe(kind: str) -> str:
@@ -224,24 +233,6 @@ def _described(base: str) -> str:
     LEFT JOIN motivos AS mo ON mo.codigo = b.motivo_situacao_cadastral"""
 
 
-def _regime(universe: str) -> str:
-    mandatory = f"left(cnae_fiscal_principal, 4) IN {_in(fv.MANDATORY_LUCRO_REAL_ACTIVITIES)}"
-    return f"""
-    SELECT cnpj_basico AS cnpj_basico_do_regime, cnpj AS cnpj_do_regime, grupo[1]
-           AS regime_provavel, grupo[2] AS regime_confianca
-    FROM (SELECT cnpj_basico, cnpj,
-                 CASE WHEN {mandatory}
-                      THEN ['{fv.REGIME_MANDATORY}', '{fv.CONFIDENCE_HIGH}']
-                      WHEN porte_empresa = '05'
-                      THEN [if(coalesce(capital_social, 0) >= {PARAMS.capital_lucro_real},
-                               '{fv.REGIME_REAL}', '{fv.REGIME_PRESUMED}'),
-                            '{fv.CONFIDENCE_MEDIUM}']
-                      WHEN porte_empresa IN ('01', '03')
-                      THEN ['{fv.REGIME_PRESUMED_SMALL}', '{fv.CONFIDENCE_LOW}']
-                      ELSE ['{fv.REGIME_UNKNOWN}', '{fv.CONFIDENCE_NONE}'] END AS grupo
-          FROM {universe})"""
-
-
 CTES: dict[str, str] = {
     **{name: roles.check_sql(name) for name in roles.ROLES},
     # --- cleaning ---
@@ -320,7 +311,6 @@ CTES: dict[str, str] = {
     # --- findings and leads ---
     "apontados": _ALL_FINDINGS.replace("@universe", "universo"),
     "apontados_todas": _ALL_FINDINGS.replace("@universe", "universo_todas"),
-    "regime": _regime("universo_todas"),
     "leads_todos": _ALL_LEADS.replace("@findings", "apontados"),
     "leads_unidades": _ALL_LEADS.replace("@findings", "apontados_todas"),
     "leads": f"SELECT * FROM leads_todos WHERE {_HAS_FINDING}",
@@ -342,15 +332,15 @@ for _name in ("kpi", "kpi_todos"):
     CTES[_name] = CTES[_name].replace("@kpi", _KPI)
 
 
-def _with_ctes(query: str) -> str:
+def _with_ctes(query: str, ctes: dict[str, str]) -> str:
     """The query behind the CTEs it needs, in an order that defines before use."""
     done: dict[str, str] = {}
 
     def need(text: str, me: str = "") -> None:
-        for name in CTES:
+        for name in ctes:
             if name != me and name not in done and re.search(rf"(FROM|JOIN) {name}\b", text):
-                need(CTES[name], name)
-                done[name] = CTES[name]
+                need(ctes[name], name)
+                done[name] = ctes[name]
 
     need(query)
     head = ",\n".join(f"{name} AS ({text})" for name, text in done.items())
@@ -370,18 +360,18 @@ _ESTABLISHMENTS_READ_BACK = """SELECT * REPLACE (
 def _overview(universe_lines: str, kpi: str) -> str:
     """Overview lines; the head differs with the findings cut."""
 
-    def counted(title: str, column: str) -> str:
+    def counted(title: str, column: str) -> tuple[str, ...]:
         text = (
             f"{_br_whole(column)} || if(total > 0, printf('  (%.1f%%)', "
             f"100.0 * {column} / total), '')"
         )
-        return f"('{title}', {column}, NULL, {text})"
+        return title, column, "NULL", text
 
-    def amount(title: str, column: str) -> str:
-        return f"('{title}', NULL, {column}, 'R$ ' || {_br_amount(column)})"
+    def amount(title: str, column: str) -> tuple[str, ...]:
+        return title, "NULL", column, f"'R$ ' || {_br_amount(column)}"
 
-    def plain(title: str, number: str) -> str:
-        return f"('{title}', {number}, NULL, {_br_whole(number)})"
+    def plain(title: str, number: str) -> tuple[str, ...]:
+        return title, number, "NULL", _br_whole(number)
 
     if universe_lines == "cut":
         head = [
@@ -406,24 +396,12 @@ def _overview(universe_lines: str, kpi: str) -> str:
         counted(fv.OVERVIEW_SANCTIONED, "sancionadas"),
         counted(fv.OVERVIEW_LEFT_SIMPLES, "ex_simples"),
     ]
-    selects = [
-        f"SELECT CAST({n} AS INTEGER) AS ordem, t.* FROM r, LATERAL (SELECT {line[1:-1]}) "
-        "AS t(indicador, quantidade, valor, texto)"
-        for n, line in enumerate(lines, start=1)
-    ]
-    source = f"(SELECT k.*, (SELECT count(*) FROM universo) AS no_universo FROM {kpi} AS k) AS r"
+    source = f"(SELECT k.*, (SELECT count(*) FROM universo) AS no_universo FROM {kpi} AS k)"
     return " UNION ALL ".join(
-        s.replace("FROM r,", f"FROM {source},").replace(
-            "SELECT CAST(", "SELECT CAST(", 1
-        )
-        for s in selects
-    )
-
-
-def _typed_overview(text: str) -> str:
-    return (
-        "SELECT ordem, indicador, CAST(quantidade AS BIGINT) AS quantidade, "
-        f"CAST(valor AS DOUBLE) AS valor, texto FROM ({text})"
+        f"SELECT CAST({n} AS INTEGER) AS ordem, '{title}' AS indicador, "
+        f"CAST({count} AS BIGINT) AS quantidade, CAST({value} AS DOUBLE) AS valor, "
+        f"{text} AS texto FROM {source}"
+        for n, (title, count, value, text) in enumerate(lines, start=1)
     )
 
 
@@ -556,8 +534,8 @@ _QUERIES: dict[str, str] = {
     "forecast_labels": "SELECT cnpj, cnd_federal_prognostico, cdt_estadual_mg_prognostico "
     "FROM apontados",
     "findings_text": "SELECT cnpj, apontamentos_texto FROM apontados",
-    "regime": """SELECT cnpj_do_regime AS cnpj, regime_provavel, regime_confianca FROM regime
-        WHERE cnpj_do_regime IN (SELECT cnpj FROM universo)""",
+    "regime": f"""SELECT cnpj, ({_REGIME})[1] AS regime_provavel,
+        ({_REGIME})[2] AS regime_confianca FROM universo""",
     "lead_score": "SELECT cnpj, outro_score AS score, qtd_apontamentos FROM leads_todos",
     "leads": f"SELECT {_LEAD_COLUMNS} FROM leads",
     "leads_all": f"SELECT {_LEAD_COLUMNS} FROM leads_todos",
@@ -569,8 +547,8 @@ _QUERIES: dict[str, str] = {
            || '{fv.SHARE_SUFFIX}') AS texto
         FROM (UNPIVOT (SELECT * FROM kpi_todos) ON {", ".join(_SHARE_NAMES)}
               INTO NAME indicador VALUE valor)""",
-    "panorama": _typed_overview(_overview("cut", "kpi")),
-    "panorama_all": _typed_overview(_overview("all", "kpi_todos")),
+    "panorama": _overview("cut", "kpi"),
+    "panorama_all": _overview("all", "kpi_todos"),
     "top_municipalities": _TOP,
     "by_regime": "SELECT regime_provavel AS regime, count(*) AS total FROM leads GROUP BY 1",
     "municipality_list": "SELECT DISTINCT municipio FROM leads WHERE municipio IS NOT NULL",
@@ -659,21 +637,15 @@ _QUERIES: dict[str, str] = {
 }
 
 
-def _without_findings() -> str:
-    """Every lead as if no debt or sanction were on file."""
-    emptied = dict(CTES)
-    for name in ("divida_uniao", "divida_mg", "sancoes_limpas"):
-        emptied[name] = f"SELECT * FROM ({CTES[name]}) WHERE FALSE"
-    return emptied
+def _no_findings_sources() -> dict[str, str]:
+    """The CTEs as if no debt or sanction were on file."""
+    sources = ("divida_uniao", "divida_mg", "sancoes_limpas")
+    return CTES | {name: f"SELECT * FROM ({CTES[name]}) WHERE FALSE" for name in sources}
 
 
 def oracle_sql() -> dict[str, str]:
     """Check SQL per query name."""
-    texts = {name: _with_ctes(query) for name, query in _QUERIES.items()}
-    full = dict(CTES)
-    CTES.update(_without_findings())
-    try:
-        texts["leads_no_findings"] = _with_ctes(f"SELECT {_LEAD_COLUMNS} FROM leads_todos")
-    finally:
-        CTES.update(full)
+    texts = {name: _with_ctes(query, CTES) for name, query in _QUERIES.items()}
+    every_lead = f"SELECT {_LEAD_COLUMNS} FROM leads_todos"
+    texts["leads_no_findings"] = _with_ctes(every_lead, _no_findings_sources())
     return texts

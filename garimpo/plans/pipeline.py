@@ -59,9 +59,11 @@ class Loaded:
     rows: dict[str, int] = field(default_factory=dict)
 
 
-def _write(rows: DataFrame, path: str, table: str, loaded: Loaded) -> None:
+def _write(
+    rows: DataFrame, path: str, table: str, loaded: Loaded, partition_by: Sequence[str] = ()
+) -> None:
     counted, observation = observed(rows, f"load_{table}")
-    replace_stage(counted, path)
+    replace_stage(counted, path, partition_by)
     loaded.rows[table] = observation.get["linhas"]
 
 
@@ -70,7 +72,9 @@ def ingest_registry(
 ) -> Loaded:
     """Registry of the newest month to Parquet, one state only where ``uf`` is known.
 
-    Every file is checked against its declared layout before anything is written.
+    A load of the whole country is laid out by state, so that a later run for one
+    state reads that state only. Every file is checked against its declared layout
+    before its table is written.
     """
     root = latest_period_folder(spark, landing)
     loaded = Loaded()
@@ -86,7 +90,8 @@ def ingest_registry(
             raise SourceMissing(f"no files for table {table} under {root}")
         check_layout(spark, columns, files)
         rows = read_table(spark, root, table, slices=params.fatias, uf=params.uf)
-        _write(rows, f"{stage}/{table}", table, loaded)
+        by_state = ["uf"] if params.uf is None and "uf" in columns else []
+        _write(rows, f"{stage}/{table}", table, loaded, by_state)
     return loaded
 
 

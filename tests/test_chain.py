@@ -246,3 +246,21 @@ def test_job_steps(spark, stage, tmp_path, capsys):
     assert spark.read.options(header="true", sep=";").csv(path).count() == 3
     with pytest.raises(ValueError, match="unknown source"):
         job.ingest(spark, "x", "y", PARAMS, AS_OF, ["other"])
+
+
+def test_whole_country_is_laid_out_by_state(spark, tmp_path):
+    write_landing(tmp_path)
+    country = PARAMS.replace(uf=None, somente_com_apontamento=False)
+    target = str(tmp_path / "stage")
+    loaded = job.ingest(spark, str(tmp_path), target, country, AS_OF)
+    assert loaded["estabelecimentos"] == 10 and loaded["divida_ativa_uniao"] == 4
+    tables = pipeline.load_tables(spark, target)
+    everywhere = pipeline.build_leads(tables, country)
+    assert {r.uf: r["count"] for r in everywhere.groupBy("uf").count().collect()} == {
+        "MG": 5,
+        "SP": 1,
+    }
+    one_state = pipeline.build_leads(tables, country.replace(uf="SP"))
+    assert [r.cnpj_basico for r in one_state.collect()] == ["10000009"]
+    plan = one_state._jdf.queryExecution().executedPlan().toString()
+    assert "= SP)]" in plan and "PartitionFilters: [isnotnull(uf#" in plan
