@@ -1,9 +1,9 @@
 """Command line of the job, for spark-submit.
 
-    spark-submit job.py --stage S --settings run.json ingest --landing L --as-of 2026-07-29
-    spark-submit job.py --stage S transform
-    spark-submit job.py --stage S summary
-    spark-submit job.py --stage S export --folder out --limit 5000
+    spark-submit run.py --stage S --settings run.json ingest --landing L --as-of 2026-07-29
+    spark-submit run.py --stage S transform
+    spark-submit run.py --stage S summary
+    spark-submit run.py --stage S export --folder out --limit 5000
 
 The landing zone holds the unpacked files: ``receita/<month>/...``, ``pgfn/<quarter>/
 {geral,previdenciaria,fgts}``, ``transparencia/<register>_<date>`` and ``mg``.

@@ -17,12 +17,13 @@ from garimpo.operators.facts import facts_by_company
 from garimpo.operators.findings import COLUMNS as FINDING_COLUMNS
 from garimpo.operators.findings import add_findings
 from garimpo.operators.leads import leads as lead_rows
+from garimpo.operators.search import ORDERINGS
 from garimpo.operators.universe import COLUMNS as UNIVERSE_COLUMNS
 from garimpo.operators.universe import LOOKUPS, base_rows, enrich, universe
 from garimpo.parameters import Parameters
-from garimpo.sinks.audit import observed, require_unique
+from garimpo.sinks.audit import require_unique
 from garimpo.sinks.export import default_target, write_sheet
-from garimpo.sinks.stages import read_stage, replace_stage
+from garimpo.sinks.stages import read_stage, replace_ordered_stage, replace_stage
 from garimpo.sources import federal_debt, sanctions, state_debt
 from garimpo.sources.periods import latest_period_folder, latest_snapshot_files
 from garimpo.sources.registry import (
@@ -62,9 +63,9 @@ class Loaded:
 def _write(
     rows: DataFrame, path: str, table: str, loaded: Loaded, partition_by: Sequence[str] = ()
 ) -> None:
-    counted, observation = observed(rows, f"load_{table}")
-    replace_stage(counted, path, partition_by)
-    loaded.rows[table] = observation.get["linhas"]
+    # Counted on what was written: Parquet footers hold the number, and a task that ran
+    # twice does not count twice.
+    loaded.rows[table] = replace_stage(rows, path, partition_by).count()
 
 
 def ingest_registry(
@@ -204,7 +205,12 @@ def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str,
     return {
         "universo": replace_stage(whole_universe.select(*UNIVERSE_COLUMNS), f"{stage}/universo"),
         "apontamentos": replace_stage(wide.select(*FINDING_COLUMNS), f"{stage}/apontamentos"),
-        "leads": replace_stage(lead_rows(wide, params), f"{stage}/leads"),
+        "leads": replace_ordered_stage(
+            lead_rows(wide, params),
+            f"{stage}/leads",
+            ORDERINGS["score"],
+            lookups=["cnpj", "cnpj_basico", "municipio"],
+        ),
     }
 
 

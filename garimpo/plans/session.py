@@ -17,6 +17,9 @@ SETTINGS = {
     # Checkpoint files go once nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # The JVM leaves methods beyond 8,000 bytes of code uncompiled. Operators whose fused
+    # code would be larger, like the wide lead rows, run unfused and compiled instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Label sets per company are tiny: aggregate them in memory well beyond the default
     # of 128 companies per task before falling back to a sort.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import types as T
 
+from garimpo.operators.ordering import SortKey, sort_columns
+
 
 def _writer(rows: DataFrame, mode: str, partition_by: Sequence[str]) -> DataFrameWriter:
     if not partition_by:
@@ -25,6 +27,20 @@ def replace_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ())
     return read_stage(rows.sparkSession, path)
 
 
+def replace_ordered_stage(
+    rows: DataFrame, path: str, keys: Sequence[SortKey], lookups: Sequence[str]
+) -> DataFrame:
+    """A stage in a total order, with Bloom filters on columns that are looked up.
+
+    The order narrows the range of the leading keys in each file, so that filters on
+    them skip files; the Bloom filters let a lookup of one value skip the rest.
+    """
+    blooms = {f"parquet.bloom.filter.enabled#{column}": "true" for column in lookups}
+    ordered = rows.orderBy(*sort_columns(keys))
+    ordered.write.mode("overwrite").options(**blooms).parquet(path)
+    return read_stage(rows.sparkSession, path)
+
+
 def append_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add late slices to a stage and return the whole stage."""
     _writer(rows, "append", partition_by).parquet(path)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import spark_queries
 from garimpo.operators import search, universe
 from garimpo.operators.reports import top_municipalities
-from garimpo.sinks.stages import replace_stage
+from garimpo.sinks.stages import replace_ordered_stage, replace_stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,6 +106,27 @@ def test_state_partitions_are_pruned(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[isnotnull\(uf#\d+\), \(uf#\d+ = ASIA\)\]", plan)
 
 
+def test_ordered_stage_narrows_scores_and_finds_ids(spark, tmp_path):
+    rows = spark_queries.leads_all(spark, SF)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        leads = replace_ordered_stage(
+            rows, str(tmp_path / "l"), search.ORDERINGS["score"], ["cnpj"]
+        )
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = (
+        leads.groupBy("_metadata.file_name")
+        .agg(F.min("score").alias("low"), F.max("score").alias("high"))
+        .orderBy("file_name")
+        .collect()
+    )
+    assert len(files) > 3
+    assert all(later.high <= earlier.low for earlier, later in zip(files, files[1:]))
+    one = leads.first().cnpj
+    assert leads.where(F.col("cnpj") == one).count() == 1
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, big_tables):
     from garimpo.sinks.stages import save_keyed_table
 
