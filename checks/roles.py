@@ -183,7 +183,8 @@ ROLES = {
         SELECT * FROM (VALUES ('F', 'Sócio-Administrador'), ('O', 'Sócio'))
             AS lista(codigo, descricao)""",
     "divida_bruta": f"""
-        SELECT CASE WHEN NOT ({_DEBTOR}) THEN lpad(CAST(o_orderkey % 100000000000 AS STRING), 11, '0')
+        SELECT CASE WHEN NOT ({_DEBTOR})
+                    THEN lpad(CAST(o_orderkey % 100000000000 AS STRING), 11, '0')
                     WHEN o_orderkey % 2 = 0 THEN {_cnpj("o_custkey")}
                     ELSE {_punctuated("o_custkey")} END AS cpf_cnpj,
                CASE WHEN {_DEBTOR} THEN 'PJ' ELSE 'PF' END AS tipo_pessoa,

@@ -87,7 +87,7 @@ def _entries(
     """
     led = [name for name, _ in first]
     keys = [*first, *((name, "asc") for name in columns if name not in led), ("_copia", "asc")]
-    own = children.join(owners.select(KEY), KEY, "left_semi")
+    own = children.select(KEY, *columns, "_copia").join(owners.select(KEY), KEY, "left_semi")
     return with_position(own, keys, by=[KEY]).select(KEY, "posicao", *columns)
 
 

@@ -53,16 +53,16 @@ def ingest(
         raise ValueError(f"unknown source: {', '.join(sorted(unknown))}")
     loaded: dict[str, int] = {}
     if "receita" in sources:
-        loaded |= pipeline.ingest_registry(spark, f"{landing}/receita", stage, params).rows
+        loaded |= pipeline.ingest_registry(spark, f"{landing}/receita", stage, params)
     if "pgfn" in sources:
         quarter = f"{landing}/pgfn/{params.federal_debt_folder}"
         folders = {name: f"{quarter}/{folder}" for name, folder in _CATEGORY_FOLDERS.items()}
-        loaded |= pipeline.ingest_federal_debt(spark, folders, stage, params).rows
+        loaded |= pipeline.ingest_federal_debt(spark, folders, stage, params)
     if "mg_divida" in sources:
-        loaded |= pipeline.ingest_state_debt(spark, f"{landing}/mg", stage, params, as_of).rows
+        loaded |= pipeline.ingest_state_debt(spark, f"{landing}/mg", stage, params, as_of)
     if "transparencia" in sources:
         folder = f"{landing}/transparencia"
-        loaded |= pipeline.ingest_sanctions(spark, folder, stage, as_of).rows
+        loaded |= pipeline.ingest_sanctions(spark, folder, stage, as_of)
     return loaded
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,24 +53,20 @@ class Tables:
         return {name: self.registry[name] for name in LOOKUPS}
 
 
-@dataclass
-class Loaded:
-    """Rows written per table."""
-
-    rows: dict[str, int] = field(default_factory=dict)
-
-
 def _write(
-    rows: DataFrame, path: str, table: str, loaded: Loaded, partition_by: Sequence[str] = ()
-) -> None:
-    # Counted on what was written: Parquet footers hold the number, and a task that ran
-    # twice does not count twice.
-    loaded.rows[table] = replace_stage(rows, path, partition_by).count()
+    rows: DataFrame, stage: str, table: str, partition_by: Sequence[str] = ()
+) -> dict[str, int]:
+    """Write a table and return its number of rows by name.
+
+    Counted on what was written: Parquet footers hold the number, and a task that ran
+    twice does not count twice.
+    """
+    return {table: replace_stage(rows, f"{stage}/{table}", partition_by).count()}
 
 
 def ingest_registry(
     spark: SparkSession, landing: str, stage: str, params: Parameters
-) -> Loaded:
+) -> dict[str, int]:
     """Registry of the newest month to Parquet, one state only where ``uf`` is known.
 
     A load of the whole country is laid out by state, so that a later run for one
@@ -78,7 +74,7 @@ def ingest_registry(
     before its table is written.
     """
     root = latest_period_folder(spark, landing)
-    loaded = Loaded()
+    loaded: dict[str, int] = {}
     for table, columns in fv.REGISTRY_LAYOUTS.items():
         folder = fv.REGISTRY_FOLDERS[table]
         wanted = (
@@ -92,29 +88,25 @@ def ingest_registry(
         check_layout(spark, columns, files)
         rows = read_table(spark, root, table, slices=params.fatias, uf=params.uf)
         by_state = ["uf"] if params.uf is None and "uf" in columns else []
-        _write(rows, f"{stage}/{table}", table, loaded, by_state)
+        loaded |= _write(rows, stage, table, by_state)
     return loaded
 
 
 def ingest_federal_debt(
     spark: SparkSession, folders: Mapping[str, str], stage: str, params: Parameters
-) -> Loaded:
+) -> dict[str, int]:
     """Federal debt from ``{category: folder}`` to Parquet."""
-    loaded = Loaded()
     files = {name: list_files(spark, path, _HEADER_FILES) for name, path in folders.items()}
     rows = federal_debt.read(spark, files, params.uf)
-    _write(rows, f"{stage}/divida_ativa_uniao", "divida_ativa_uniao", loaded)
-    return loaded
+    return _write(rows, stage, "divida_ativa_uniao")
 
 
 def ingest_sanctions(
     spark: SparkSession, landing: str, stage: str, as_of: dt.date
-) -> Loaded:
+) -> dict[str, int]:
     """Newest snapshot of each register to Parquet."""
-    loaded = Loaded()
     files = latest_snapshot_files(spark, landing, as_of)
-    _write(sanctions.read(spark, files), f"{stage}/sancoes", "sancoes", loaded)
-    return loaded
+    return _write(sanctions.read(spark, files), stage, "sancoes")
 
 
 def ingest_state_debt(
@@ -123,13 +115,10 @@ def ingest_state_debt(
     stage: str,
     params: Parameters,
     as_of: dt.date,
-) -> Loaded:
+) -> dict[str, int]:
     """State debt of the last days to Parquet."""
-    loaded = Loaded()
     cells = state_debt.read_cells(spark, paths)
-    rows = state_debt.clean(cells, as_of, params.janela_dias)
-    _write(rows, f"{stage}/divida_ativa_mg", "divida_ativa_mg", loaded)
-    return loaded
+    return _write(state_debt.clean(cells, as_of, params.janela_dias), stage, "divida_ativa_mg")
 
 
 def load_tables(spark: SparkSession, stage: str) -> Tables:

@@ -55,15 +55,18 @@ def line_width(line: Column) -> Column:
     return F.length(F.regexp_replace(without_quoted, f"[^{fv.CSV_DELIMITER}]", "")) + 1
 
 
-def _parse(
+def read_with_raw_line(
     spark: SparkSession,
     columns: Sequence[str],
-    paths: Sequence[str],
-    glob: str | None,
+    paths: str | Sequence[str],
+    glob: str | None = None,
     header: bool = False,
 ) -> DataFrame:
-    # Column pruning inside the CSV parser would hide the true width of a line, so it
-    # is off: every line that is not exactly as wide as declared keeps its raw text.
+    """CSV rows as strings; a line that is not as wide as declared keeps its raw text.
+
+    Such a line still gives a row, cut or filled with NULL to the declared width.
+    """
+    # Column pruning inside the CSV parser would hide the true width of a line.
     options = dict(
         CSV_OPTIONS,
         header=str(header).lower(),
@@ -73,27 +76,28 @@ def _parse(
     if glob:
         options |= {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
     schema = string_schema([*columns, _RAW_LINE])
+    paths = [paths] if isinstance(paths, str) else list(paths)
     try:
-        return spark.read.schema(schema).options(**options).csv(list(paths))
+        return spark.read.schema(schema).options(**options).csv(paths)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise SourceMissing(f"no files under {', '.join(paths)}") from error
         raise
 
 
-def odd_width(raw_line: str, a_column: str) -> Column:
+def odd_width(a_column: str) -> Column:
     """Width of a line that is not as wide as declared, 0 for a regular line.
 
     Spark refuses queries that read nothing but the raw line, as a count of rows would.
     The second term, always 0, has the query read ``a_column`` too.
     """
     return F.coalesce(
-        line_width(F.col(raw_line)), F.least(F.length(a_column), F.lit(0)), F.lit(0)
+        line_width(F.col(_RAW_LINE)), F.least(F.length(a_column), F.lit(0)), F.lit(0)
     )
 
 
 def _too_wide(columns: Sequence[str]) -> Column:
-    return odd_width(_RAW_LINE, columns[0]) > len(columns)
+    return odd_width(columns[0]) > len(columns)
 
 
 def read_positional_csv(
@@ -110,8 +114,7 @@ def read_positional_csv(
     :func:`rejected_lines`). ``uf`` keeps one state while scanning, for layouts
     that have that column.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    rows = _parse(spark, columns, paths, glob, header).where(~_too_wide(columns))
+    rows = read_with_raw_line(spark, columns, paths, glob, header).where(~_too_wide(columns))
     if uf is not None and "uf" in columns:
         rows = rows.where(F.col("uf") == uf)
     return rows.select(*columns)
@@ -124,9 +127,8 @@ def rejected_lines(
     glob: str | None = None,
 ) -> DataFrame:
     """Lines left out by :func:`read_positional_csv`: file, width and raw text."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
     return (
-        _parse(spark, columns, paths, glob)
+        read_with_raw_line(spark, columns, paths, glob)
         .withColumn("arquivo", F.input_file_name())
         .where(_too_wide(columns))
         .select(

@@ -16,30 +16,19 @@ from garimpo import fixed_values as fv
 from garimpo.functions.dates import serial_to_iso, window_start_serial
 from garimpo.functions.identity import company_key, digits, is_company_id
 from garimpo.functions.money import MONEY, parse_float, parse_plain
-from garimpo.sources.registry import CSV_OPTIONS, odd_width, string_schema
+from garimpo.sources.registry import odd_width, read_with_raw_line
 
 SCHEMA = (
     "cpf_cnpj string, cnpj_basico string, nome_devedor string, numero_cda string, "
     f"data_inscricao string, especie string, saldo_cda {MONEY}, saldo_nucleo {MONEY}"
 )
 
-_RAW_LINE = "_raw_line"
-
 
 def read_cells(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
     """Rows with at least seven cells; cells beyond the seventh are ignored."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    schema = string_schema([*fv.STATE_DEBT_CELLS, _RAW_LINE])
-    options = dict(
-        CSV_OPTIONS,
-        header=str(header).lower(),
-        enforceSchema="true",
-        columnNameOfCorruptRecord=_RAW_LINE,
-        columnPruning="false",
-    )
-    width = odd_width(_RAW_LINE, fv.STATE_DEBT_CELLS[0])
+    width = odd_width(fv.STATE_DEBT_CELLS[0])
     short = (width > 0) & (width < len(fv.STATE_DEBT_CELLS))
-    rows = spark.read.schema(schema).options(**options).csv(paths)
+    rows = read_with_raw_line(spark, fv.STATE_DEBT_CELLS, paths, header=header)
     return rows.where(~short).select(*fv.STATE_DEBT_CELLS)
 
 

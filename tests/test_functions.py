@@ -55,12 +55,14 @@ def test_identity(spark):
     pairs = spark.createDataFrame(
         [("31", "33001000"), ("", "1"), ("31", ""), (None, "1"), ("31", None)], "a string, b string"
     )
-    phones = [r.p for r in pairs.select(identity.phone(F.col("a"), F.col("b")).alias("p")).collect()]
+    text = identity.phone(F.col("a"), F.col("b")).alias("text")
+    phones = [r.text for r in pairs.select(text).collect()]
     assert phones == ["(31) 33001000", None, None, None, None]
 
 
 def test_dates(spark):
-    assert apply(spark, dates.serial_to_iso, [45658.0, 45658.99, 0.0, -0.5, None, 1e9], "double") == [
+    serials = [45658.0, 45658.99, 0.0, -0.5, None, 1e9]
+    assert apply(spark, dates.serial_to_iso, serials, "double") == [
         "2025-01-01", "2025-01-01", "1899-12-30", "1899-12-30", None, None,
     ]
     shown = apply(

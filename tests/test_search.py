@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 
 from checks import spark_queries
 from garimpo.operators import dossier, reports, search
@@ -84,6 +87,32 @@ def test_text_search(leads):
     assert found("") == leads.count()
 
 
+NAMES = ["Ação 1%", "AÇÃO_2", "back\\slash", "a.b*c", "line\nbreak", "x\x01y", "", None]
+
+
+def _like(value: str | None, text: str) -> bool:
+    """Case-insensitive containment where % is any run and _ any one character."""
+    wild = {"%": ".*", "_": "."}
+    pattern = "".join(wild.get(c, re.escape(c)) for c in text.lower())
+    return value is not None and re.search(pattern, value.lower(), re.DOTALL) is not None
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text(alphabet="aAçÇ%_\\.*1b \n\x01", min_size=1, max_size=4))
+@example("\\")
+@example("%_")
+def test_text_search_against_brute_force(spark, text):
+    records = [(name, other, f"{10 * i:014d}") for i, name in enumerate(NAMES) for other in NAMES]
+    rows = spark.createDataFrame(records, "razao_social string, nome_fantasia string, cnpj string")
+    found = rows.where(search.text_matches(text)).collect()
+    digits = "".join(c for c in text if c.isdigit())
+    expected = [
+        r for r in records
+        if _like(r[0], text) or _like(r[1], text) or (digits and digits in r[2])
+    ]
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
+
+
 @pytest.mark.parametrize(
     "bad", [{"ordenar": "size"}, {"pagina": 0}, {"por_pagina": 0}, {"por_pagina": 501}]
 )
