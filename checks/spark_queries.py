@@ -446,11 +446,11 @@ def kpi_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panorama(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.panorama(_universe(spark, sf_dir), leads(spark, sf_dir), True)
+    return reports.panorama(universe_base(spark, sf_dir), leads(spark, sf_dir), True)
 
 
 def panorama_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.panorama(_universe(spark, sf_dir), leads_all(spark, sf_dir), False)
+    return reports.panorama(universe_base(spark, sf_dir), leads_all(spark, sf_dir), False)
 
 
 def top_municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from garimpo import fixed_values as fv
 from garimpo.functions.identity import company_key, digits, is_company_id
 from garimpo.functions.money import MONEY, parse_money_br
 from garimpo.sources.header_csv import read_canonical
+from garimpo.sources.optional import empty_table
 
 SCHEMA = (
     "cpf_cnpj string, cnpj_basico string, tipo_pessoa string, tipo_devedor string, "
@@ -59,7 +60,7 @@ def union_categories(parts: Sequence[DataFrame]) -> DataFrame:
 
 def empty(spark: SparkSession) -> DataFrame:
     """Stand-in for a source that was not loaded."""
-    return spark.createDataFrame([], SCHEMA)
+    return empty_table(spark, SCHEMA)
 
 
 def read(

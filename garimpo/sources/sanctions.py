@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from garimpo import fixed_values as fv
 from garimpo.functions.identity import company_key, digits, is_company_id
 from garimpo.sources.header_csv import read_canonical
+from garimpo.sources.optional import empty_table
 
 SCHEMA = (
     "cpf_cnpj string, cnpj_basico string, cadastro string, nome string, "
@@ -47,7 +48,7 @@ def union_registers(parts: Sequence[DataFrame]) -> DataFrame:
 
 def empty(spark: SparkSession) -> DataFrame:
     """Stand-in for a source that was not loaded."""
-    return spark.createDataFrame([], SCHEMA)
+    return empty_table(spark, SCHEMA)
 
 
 def read(spark: SparkSession, files: Mapping[str, Sequence[str]]) -> DataFrame:

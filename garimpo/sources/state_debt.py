@@ -16,6 +16,7 @@ from garimpo import fixed_values as fv
 from garimpo.functions.dates import serial_to_iso, window_start_serial
 from garimpo.functions.identity import company_key, digits, is_company_id
 from garimpo.functions.money import MONEY, parse_float, parse_plain
+from garimpo.sources.optional import empty_table
 from garimpo.sources.registry import odd_width, read_with_raw_line
 
 SCHEMA = (
@@ -57,4 +58,4 @@ def clean(cells: DataFrame, as_of: dt.date | Column, days: int) -> DataFrame:
 
 def empty(spark: SparkSession) -> DataFrame:
     """Stand-in for a source that was not loaded."""
-    return spark.createDataFrame([], SCHEMA)
+    return empty_table(spark, SCHEMA)

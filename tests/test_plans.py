@@ -51,6 +51,12 @@ def test_company_side_is_joined_before_establishments(spark, big_tables):
     assert len(re.findall(r"Exchange hashpartitioning\(cnpj_basico#\d+, \d+\)", plan)) == 3
 
 
+def test_missing_sources_cost_nothing(spark):
+    plan = plan_of(spark_queries.leads_no_findings(spark, SF))
+    assert "ExistingRDD" not in plan and "Aggregate" not in plan
+    assert not re.search(r"orders|lineitem|events", plan)
+
+
 def test_facts_combine_before_each_shuffle(spark):
     plan = plan_of(spark_queries.QUERIES["debt_by_company"](spark, SF))
     assert plan.count("partial_count(1)") == 1 and "partial_sum(" in plan
