@@ -12,8 +12,8 @@ import time
 
 from pyspark.sql import DataFrame
 
-from checks import spark_queries as q
-from checks.roles import role
+from garimpo_checks import spark_queries as q
+from garimpo_checks.roles import role
 from garimpo import fixed_values as fv
 from garimpo.operators import dossier, reports, search
 from garimpo.plans import pipeline

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 
-from checks import roles
-from checks.spark_queries import (
+from garimpo_checks import roles
+from garimpo_checks.spark_queries import (
     BY_ID,
     BY_TEXT,
     FILTERED,

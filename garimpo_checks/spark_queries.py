@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.roles import role, table
+from garimpo_checks.roles import role, table
 from garimpo import fixed_values as fv
 from garimpo.functions import dates, identity, money
 from garimpo.operators import dossier as dossiers

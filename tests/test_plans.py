@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from checks import spark_queries
+from garimpo_checks import spark_queries
 from garimpo.operators import search, universe
 from garimpo.operators.reports import top_municipalities
 from garimpo.sinks.stages import replace_ordered_stage, replace_stage

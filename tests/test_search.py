@@ -7,7 +7,7 @@ import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from checks import spark_queries
+from garimpo_checks import spark_queries
 from garimpo.operators import dossier, reports, search
 from garimpo.sinks import export
 from garimpo.sinks.stages import replace_stage
