@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
+from garimpo.functions.money import MONEY
 from garimpo.operators.ordering import TOP_K_ROWS, SortKey, slice_of_order, sort_columns
 
 SHEET_ORDER: tuple[SortKey, ...] = (
@@ -30,6 +31,16 @@ def lead_sheet(leads: DataFrame, limit: int | None = None, min_findings: int = 0
     return ordered.select(*[F.col(name).alias(title) for name, title in fv.EXPORT_COLUMNS])
 
 
+def _plain_amounts(sheet: DataFrame) -> DataFrame:
+    """Amounts as ``12000000.00``: text files would show large doubles as ``1.2E7``."""
+    return sheet.select(
+        *[
+            F.col(f"`{name}`").cast(MONEY).alias(name) if kind == "double" else F.col(f"`{name}`")
+            for name, kind in sheet.dtypes
+        ]
+    )
+
+
 def write_sheet(
     leads: DataFrame,
     target: str,
@@ -44,9 +55,8 @@ def write_sheet(
     sheet = lead_sheet(leads, limit, min_findings)
     if limit and limit <= TOP_K_ROWS:
         sheet = sheet.coalesce(1)
-    writer = sheet.write.mode("overwrite")
     if file_format == "csv":
-        writer.options(
+        _plain_amounts(sheet).write.mode("overwrite").options(
             header="true",
             sep=fv.CSV_DELIMITER,
             escape=fv.CSV_QUOTE,
@@ -54,5 +64,5 @@ def write_sheet(
             ignoreTrailingWhiteSpace="false",
         ).csv(target)
     else:
-        writer.format(file_format).save(target)
+        sheet.write.mode("overwrite").format(file_format).save(target)
     return target

@@ -194,6 +194,8 @@ def test_export(spark, stage, tmp_path):
     sheet = spark.read.options(header="true", sep=";", escape='"').csv(path)
     assert sheet.columns[:2] == ["CNPJ", "Razão social"] and len(sheet.columns) == 20
     assert [r.Score for r in sheet.collect()] == ["85", "50", "45"]
+    amounts = [r["Capital social"] for r in sheet.collect()]
+    assert amounts == ["300000.00", "12000000.00", "120000.00"]
     everything = pipeline.export(spark, stage[0], str(tmp_path / "all"), PARAMS)
     assert spark.read.options(header="true", sep=";").csv(everything).count() == 4
 
