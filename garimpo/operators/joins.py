@@ -18,7 +18,7 @@ def join_to_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner"
     key, beside the wide rows of ``many`` that move anyway. Small sides are broadcast as
     always.
     """
-    second = F.crc32(key)
+    second = F.hash(key)
     return many.withColumn(_SECOND_KEY, second).join(
         one.withColumn(_SECOND_KEY, second), [key, _SECOND_KEY], how
     ).drop(_SECOND_KEY)
