@@ -23,10 +23,10 @@ from garimpo.llm.common import as_bytes, code_points, doc_crc, map_batches, stor
 
 #: Labelled documents that the model is fitted on, at most; those of least id hash.
 SAMPLE_ROWS = 12_000
-TREES, DEPTH, BINS, LEAST_IN_NODE, RATE = 40, 3, 32, 20, 0.3
+TREES, DEPTH, BINS, LEAST_IN_NODE, RATE = 30, 3, 32, 20, 0.3
 #: Weight of the lasso penalty against the mean log loss.
 PENALTY = 5e-4
-STEPS = 400
+STEPS = 300
 
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -202,27 +202,33 @@ def rule_matrix(rules: list[Rule], values: np.ndarray) -> np.ndarray:
 def lasso_logistic(x: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray]:
     """Intercept and weights by accelerated proximal gradient steps."""
     n, width = x.shape
+    # One kind of number throughout: mixed kinds would copy the matrix at every product.
+    labels = labels.astype(np.float32)
+    back = np.ascontiguousarray(x.T)
     rate = float(np.clip(labels.mean(), 0.5 / n, 1 - 0.5 / n))
-    intercept, weights = np.log(rate / (1 - rate)), np.zeros(width)
+    point = np.zeros(width + 1, np.float32)
+    point[0] = np.log(rate / (1 - rate))
     # Largest eigenvalue of the curvature, by power iteration, bounds the step.
-    v = np.ones(width + 1)
-    for _ in range(20):
+    v = np.ones(width + 1, np.float32)
+    for _ in range(15):
         u = x @ v[1:] + v[0]
-        v = np.concatenate([[u.sum()], x.T @ u])
+        v = np.concatenate([[u.sum()], back @ u]).astype(np.float32)
         v /= np.linalg.norm(v) or 1
-    top = np.linalg.norm(x @ v[1:] + v[0]) ** 2 / n
-    step = 1 / (0.25 * 1.1 * top + 1e-9)
-    point, momentum, last = np.concatenate([[intercept], weights]), 1.0, None
-    ahead = point.copy()
+    top = float(np.linalg.norm(x @ v[1:] + v[0])) ** 2 / n
+    step = np.float32(1 / (0.25 * 1.1 * top + 1e-9))
+    ahead, momentum = point, 1.0
     for _ in range(STEPS):
         error = 1 / (1 + np.exp(-(x @ ahead[1:] + ahead[0]))) - labels
-        slope = np.concatenate([[error.mean()], x.T @ error / n])
+        slope = np.concatenate([[error.mean()], back @ error / n]).astype(np.float32)
         last, point = point, ahead - step * slope
-        point[1:] = np.sign(point[1:]) * np.maximum(np.abs(point[1:]) - step * PENALTY, 0)
+        shrunk = np.maximum(np.abs(point[1:]) - step * np.float32(PENALTY), 0)
+        point[1:] = np.sign(point[1:]) * shrunk
+        if np.abs(point - last).max() < 1e-5:
+            break
         faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = point + (momentum - 1) / faster * (point - last)
+        ahead = point + np.float32((momentum - 1) / faster) * (point - last)
         momentum = faster
-    return float(point[0]), point[1:]
+    return float(point[0]), point[1:].astype(float)
 
 
 def fit(values: np.ndarray, labels: np.ndarray) -> RuleModel:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import bpe, packing, quality_classifier, quality_rules
+from garimpo.llm import bpe, near_dedup, packing, quality_classifier, quality_rules
 from garimpo.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -39,6 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
     "op10_bpe": op10_bpe,
