@@ -4,8 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from garimpo.llm import bpe, near_dedup, packing, quality_classifier, quality_rules
+from pyspark.sql import functions as F
+
+from garimpo.llm import (
+    bpe,
+    context_tree,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    topk_search,
+)
 from garimpo.llm.common import table
 
 
@@ -36,6 +46,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, word_vocabulary(), with_ids=False)
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a layout by source, where one shard holds a third of the bytes, to equal ones."""
+    docs = table(spark, sf_dir, "documents")
+    source = F.coalesce(F.col("source").cast("binary"), F.lit(b""))
+    return sharding.reshard_documents(docs, F.crc32(source) % sharding.OLD_SHARDS)
+
+
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, word_vocabulary(), with_ids=False)
@@ -46,6 +71,9 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
+    "op7_topk_search": op7_topk_search,
+    "op8_sharding": op8_sharding,
+    "op9_context_tree": op9_context_tree,
     "op10_bpe": op10_bpe,
 }
 
