@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from garimpo.llm import (
     bpe,
+    chat_tree,
     context_tree,
     near_dedup,
     packing,
@@ -15,6 +16,7 @@ from garimpo.llm import (
     quality_rules,
     sharding,
     topk_search,
+    url_filter,
 )
 from garimpo.llm.common import table
 
@@ -41,11 +43,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, word_vocabulary(), with_ids=False)
 
 
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are made of control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    hard = spark.createDataFrame(more, "conv_id bigint, turn bigint, role string, text string")
+    return chat_tree.read_back(chat_tree.pack_conversations(turns.unionByName(hard)))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -70,7 +85,9 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_chat_tree": op6_chat_tree,
     "op7_topk_search": op7_topk_search,
     "op8_sharding": op8_sharding,
     "op9_context_tree": op9_context_tree,
