@@ -11,32 +11,40 @@ posterior that half of the prior mass on each leads to. A probability mixes the
 all depths on the path of its context by these weights; where the path ends for want of
 training, the rest of the mass says one half.
 
-As Spark jobs: documents are dealt into blocks of bounded bytes; a block gives its distinct
-words; their training counts, summed over blocks, are the vocabulary. The vocabulary, again
-in blocks, gives byte n-grams with counts; n-grams that share their last two context bytes
-form a group, in which the trees below depth 2 are built. The trees above are sums over
-groups, 255 choices times 257 contexts at most. Scores flow back the same way: n-grams to
-blocks of words, words to blocks of documents. No table is held whole anywhere.
+As Spark jobs: a task turns its documents into blocks of bounded bytes, and each block's
+distinct words with their training counts into one compressed row for each shard of words.
+A shard sums the counts of its words over all blocks and gives their byte n-grams; n-grams
+that share their last two context bytes form a group, in which the trees below depth 2 are
+built. The trees above are sums over groups, 255 choices times 256 contexts at most. Scores
+flow back the same way: n-grams to shards, words to blocks, where documents are scored. The
+number of shards follows the size of the corpus, so no task sees more of it when it grows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from garimpo.llm.common import as_bytes, doc_crc, stored, words
+from garimpo.llm.common import ROWS_AT_ONCE, as_bytes, doc_crc, stored, words
 from garimpo.operators.joins import join_to_unique
 
-#: Bytes of context, at most; an n-gram of seven and the byte itself fill a long.
-DEPTH = 7
-#: Text bytes of a block of documents, and words of a block of words, about.
+#: Bytes of context, at most 7: with the byte itself an n-gram must fit into a long.
+DEPTH = 5
+#: Text bytes of a block of documents, and of the corpus to one shard of words, about.
 BLOCK_BYTES = 24 << 20
-BLOCK_WORDS = 150_000
+SHARD_BYTES = 96 << 20
+#: Words whose n-grams are worked out at once.
+WORDS_AT_ONCE = 50_000
 #: Added to every count of the base model.
 BASE_ADD = 0.1
 
@@ -176,55 +184,125 @@ def top_of_trees(context, tree, zeros, ones, log_all) -> tuple[np.ndarray, np.nd
     return mixed, rest
 
 
-# On tables --------------------------------------------------------------------------
+# Blocks and shards --------------------------------------------------------------------
 
+_BLOCKS = "block bigint, shard int, words binary, counts binary, docs binary"
 
 
-def _doc_blocks(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, held_out, text bytes and block number; blocks follow the size of the table."""
-    read = docs.select("doc_id", as_bytes(text).alias("_bytes"))
-    total = read.agg(F.sum(F.octet_length("_bytes") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    held_out = F.coalesce(doc_crc() % 10 == 0, F.lit(True))
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("_bytes")), F.lit(blocks))
-    return read.select("doc_id", held_out.alias("held_out"), "_bytes", block.alias("block"))
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def _list(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split()
+
+
+class _Block:
+    """Documents and their words, until they are enough for a block."""
 
+    def __init__(self, id_type: pa.DataType):
+        self.id_type = id_type
+        self.ids: list = []
+        self.held_out: list[bool] = []
+        self.texts: list[bytes] = []
+        self.size = 0
+        self.trained: Counter = Counter()
+        self.seen: set[bytes] = set()
 
-def _words_of_block(block: pa.Table) -> pa.Table:
-    trained: Counter = Counter()
-    seen: set[bytes] = set()
-    training_texts = 0
-    for held_out, text in zip(block["held_out"].to_pylist(), block["_bytes"].to_pylist()):
+    def add(self, number: object, held_out: bool, text: bytes) -> None:
         found = words(text.lower())
+        self.ids.append(number)
+        self.held_out.append(held_out)
+        self.texts.append(b" ".join(found))
+        self.size += len(text) + 64
         if held_out:
-            seen.update(found)
+            self.seen.update(found)
         else:
-            trained.update(found)
-            training_texts += 1
-    trained[_END] = training_texts
-    seen.difference_update(trained)
-    number = block["block"][0].as_py()
-    size = len(trained) + len(seen)
-    return pa.table(
-        {
-            "block": pa.array(np.full(size, number), pa.int64()),
-            "word": pa.array([*trained, *seen], pa.binary()),
-            "n": pa.array([*trained.values(), *([0] * len(seen))], pa.int64()),
-        }
-    )
-
+            self.trained.update(found)
 
-def _grams_of_words(depth: int):
-    def work(block: pa.Table) -> pa.Table:
-        grams, owner = byte_grams(block["word"].to_pylist(), depth)
-        n = block["n"].to_numpy().astype(float)
-        grams, counts = _summed(grams, n[owner])
-        number = block["word_block"][0].as_py()
+    def rows(self, number: int, shards: int) -> Iterator[tuple]:
+        docs = pa.table(
+            [pa.array(self.ids, self.id_type), pa.array(self.held_out, pa.bool_()),
+             pa.array(self.texts, pa.large_binary())],
+            names=["doc_id", "held_out", "text"],
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema) as writer:
+            writer.write_table(docs)
+        yield number, -1, None, None, _squeezed(sink.getvalue().to_pybytes())
+        counts = dict.fromkeys(self.seen, 0)
+        counts.update(self.trained)
+        parts: list[list[bytes]] = [[] for _ in range(shards)]
+        for word in sorted(counts):
+            parts[xxhash.xxh32_intdigest(word) % shards].append(word)
+        for shard, part in enumerate(parts):
+            n = np.array([counts[word] for word in part], np.int64)
+            yield number, shard, _squeezed(b" ".join(part)), _squeezed(n.tobytes()), None
+
+
+def _make_blocks(id_type: pa.DataType, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        block = _Block(id_type)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for row in block.rows(number, shards):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([value], kind) for value, kind in
+                     zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                    names=["block", "shard", "words", "counts", "docs"],
+                )
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                for row in zip(*(column.to_pylist() for column in part.columns)):
+                    block.add(*row)
+                    if block.size >= BLOCK_BYTES:
+                        yield from done()
+                        number, block = number + 1, _Block(id_type)
+        if block.ids:
+            yield from done()
+
+    return run
+
+
+def _vocabulary(shard: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int], np.ndarray]:
+    """Words by block, their places in the vocabulary of the shard, and counts."""
+    lists = [_list(data) for data in shard["words"].to_pylist()]
+    place: dict[bytes, int] = {}
+    for part in lists:
+        for word in part:
+            place.setdefault(word, len(place))
+    total = np.zeros(len(place), np.int64)
+    for part, counts in zip(lists, shard["counts"].to_pylist()):
+        at = np.fromiter(map(place.__getitem__, part), np.int64, len(part))
+        total[at] += _numbers(counts, np.int64)
+    return lists, place, total
+
+
+def _grams_of_shard(depth: int):
+    def work(shard: pa.Table) -> pa.Table:
+        _, place, total = _vocabulary(shard)
+        vocabulary = list(place)
+        grams, counts = np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(vocabulary), WORDS_AT_ONCE):
+            some, owner = byte_grams(vocabulary[start : start + WORDS_AT_ONCE], depth)
+            n = total[start : start + WORDS_AT_ONCE].astype(float)
+            some, n = _summed(some, n[owner])
+            grams, counts = _summed(np.concatenate([grams, some]), np.concatenate([counts, n]))
+        # The sizes of the vocabulary ride on a row without a gram.
+        number = pa.array([shard["shard"][0].as_py()] * (len(grams) + 1), pa.int32())
         return pa.table(
             {
-                "word_block": pa.array(np.full(len(grams), number), pa.int64()),
-                "gram": grams,
-                "n": counts.astype(np.int64),
+                "shard": number,
+                "gram": pa.array([None, *grams.tolist()], pa.int64()),
+                "n": np.concatenate([[total.sum()], counts]).astype(np.int64),
+                "known": np.concatenate([[(total > 0).sum()], np.zeros(len(grams))]).astype(np.int64),
             }
         )
 
@@ -260,47 +338,79 @@ def _scores_of_grams(depth: int, mixed: np.ndarray, rest: np.ndarray):
 
 
 def _scores_of_words(depth: int):
-    def work(block: pa.Table, scored: pa.Table) -> pa.Table:
+    def work(shard: pa.Table, scored: pa.Table) -> pa.Table:
         order = np.argsort(scored["gram"].to_numpy())
         known = scored["gram"].to_numpy()[order]
         log10 = scored["log10"].to_numpy()[order]
-        grams, owner = byte_grams(block["word"].to_pylist(), depth)
-        total = np.bincount(owner, log10[np.searchsorted(known, grams)], block.num_rows)
-        return pa.table({"word": block["word"], "n": block["n"], "log10": total})
+        lists, place, total = _vocabulary(shard)
+        vocabulary = list(place)
+        scores = np.zeros(len(vocabulary))
+        for start in range(0, len(vocabulary), WORDS_AT_ONCE):
+            some = vocabulary[start : start + WORDS_AT_ONCE]
+            grams, owner = byte_grams(some, depth)
+            found = log10[np.searchsorted(known, grams)]
+            scores[start : start + len(some)] = np.bincount(owner, found, len(some))
+        counts, scored_words = [], []
+        for part in lists:
+            at = np.fromiter(map(place.__getitem__, part), np.int64, len(part))
+            counts.append(_squeezed(total[at].tobytes()))
+            scored_words.append(_squeezed(scores[at].tobytes()))
+        return pa.table(
+            {
+                "block": shard["block"],
+                "words": shard["words"],
+                "counts": pa.array(counts, pa.binary()),
+                "scores": pa.array(scored_words, pa.binary()),
+            }
+        )
 
     return work
 
 
-def _scores_of_docs(train_tokens: int, train_words: int):
-    scale = train_tokens + BASE_ADD * (train_words + 1)
+def _scores_of_docs(train_tokens: int, known_words: int, ends: int, end_score: float):
+    scale = train_tokens + BASE_ADD * (known_words + 1)
 
     def work(block: pa.Table, scored: pa.Table) -> pa.Table:
-        place = {word: i for i, word in enumerate(scored["word"].to_pylist())}
-        n = scored["n"].to_numpy()
-        base, model = np.log10((n + BASE_ADD) / scale), scored["log10"].to_numpy()
-        known = n > 0
-        rows = []
-        for text in block["_bytes"].to_pylist():
-            found = words(text.lower())
-            found.append(_END)
-            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-            rows.append((len(at), int(known[at].sum()), base[at].sum(), model[at].sum()))
-        tokens, known_tokens, base_scores, scores = zip(*rows) if rows else ((),) * 4
-        return pa.table(
-            {
-                "doc_id": block["doc_id"],
-                "held_out": block["held_out"],
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "n_known": pa.array(known_tokens, pa.int64()),
-                "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()),
-                "base_score": pa.array(base_scores, pa.float64()),
-                "score": pa.array(scores, pa.float64()),
-            }
-        )
+        place: dict[bytes, int] = {_END: 0}
+        counts, scores = [np.array([ends])], [np.array([end_score])]
+        for name in scored["words"].to_pylist():
+            for word in _list(name):
+                place[word] = len(place)
+        counts += [_numbers(data, np.int64) for data in scored["counts"].to_pylist()]
+        scores += [_numbers(data, np.float64) for data in scored["scores"].to_pylist()]
+        n, model = np.concatenate(counts), np.concatenate(scores)
+        base, known = np.log10((n + BASE_ADD) / scale), n > 0
+        outs = []
+        for data in block["docs"].to_pylist():
+            docs = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+            rows = []
+            for text in docs["text"]:
+                found = text.as_py().split()
+                found.append(_END)
+                at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+                rows.append((len(at), int(known[at].sum()), base[at].sum(), model[at].sum()))
+            tokens, known_tokens, base_scores, sums = zip(*rows)
+            outs.append(
+                pa.table(
+                    {
+                        "doc_id": docs["doc_id"],
+                        "held_out": docs["held_out"],
+                        "n_tokens": pa.array(tokens, pa.int64()),
+                        "n_known": pa.array(known_tokens, pa.int64()),
+                        "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()),
+                        "base_score": pa.array(base_scores, pa.float64()),
+                        "score": pa.array(sums, pa.float64()),
+                    }
+                )
+            )
+        return pa.concat_tables(outs)
 
     return work
 
 
+# On tables --------------------------------------------------------------------------
+
+
 def score(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
     """Both models' log10 probability of every text, learnt from those not held out.
 
@@ -310,32 +420,34 @@ def score(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
     an empty one. Code length per byte is ``-score / log10(2)`` over the bytes of the words
     and one more for each token.
     """
-    dealt = _doc_blocks(docs, text)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    of_blocks = stored(
-        dealt.groupBy("block").applyInArrow(
-            _words_of_block, "block bigint, word binary, n bigint"
+    held_out = F.coalesce(doc_crc() % 10 == 0, F.lit(True))
+    read = docs.select("doc_id", held_out.alias("held_out"), as_bytes(text).alias("_bytes"))
+    size = read.agg(
+        F.coalesce(F.sum(F.octet_length("_bytes") + 64), F.lit(0)).alias("bytes"),
+        F.count_if(~F.col("held_out")).alias("ends"),
+    ).first()
+    shards = max(1, -(-size.bytes // SHARD_BYTES))
+    schema = read.schema["doc_id"].dataType
+    blocks = stored(read.mapInArrow(_make_blocks(to_arrow_type(schema), shards), _BLOCKS), "blocks")
+    of_words = blocks.where("shard >= 0").select("block", "shard", "words", "counts")
+    of_shards = stored(
+        of_words.groupBy("shard").applyInArrow(
+            _grams_of_shard(depth), "shard int, gram bigint, n bigint, known bigint"
         ),
-        "block-words",
+        "shard-grams",
     )
-    vocabulary = stored(of_blocks.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    size = vocabulary.agg(
-        F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
-        F.count_if(F.col("n") > 0).alias("known"),
+    totals = of_shards.where("gram is null").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")
     ).first()
-    word_blocks = max(1, -(-size.words // BLOCK_WORDS))
-    words_dealt = vocabulary.withColumn(
-        "word_block", F.pmod(F.xxhash64("word"), F.lit(word_blocks))
-    )
-    of_words = stored(
-        words_dealt.groupBy("word_block").applyInArrow(
-            _grams_of_words(depth), "word_block bigint, gram bigint, n bigint"
-        ),
-        "word-grams",
+    # The end of a text is a token of its own, as often there as training texts.
+    end_grams, _ = byte_grams([_END], depth)
+    ends = docs.sparkSession.createDataFrame(
+        [(-1, int(gram), size.ends) for gram in end_grams], "shard int, gram bigint, n bigint"
     )
+    every = of_shards.where("gram is not null").select("shard", "gram", "n").unionAll(ends)
     pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     grams = stored(
-        of_words.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("pair", pair), "grams"
+        every.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("pair", pair), "grams"
     )
     # Depths 0 and 1: at most 256 contexts of 255 trees, whatever the size of the corpus.
     top = (
@@ -351,23 +463,30 @@ def score(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
         .toPandas()
     )
     mixed, rest = top_of_trees(*(top[name].to_numpy() for name in top.columns))
-    of_grams = grams.groupBy("pair").applyInArrow(
-        _scores_of_grams(depth, mixed, rest), "gram bigint, log10 double"
+    of_grams = stored(
+        grams.groupBy("pair").applyInArrow(
+            _scores_of_grams(depth, mixed, rest), "gram bigint, log10 double"
+        ),
+        "gram-scores",
     )
-    back = join_to_unique(of_words.select("word_block", "gram"), of_grams, "gram")
+    end_score = of_grams.where(F.col("gram").isin([int(g) for g in end_grams]))
+    end_score = sum(r.log10 for r in end_score.collect())  # two n-grams
+    back = join_to_unique(every.where("shard >= 0").select("shard", "gram"), of_grams, "gram")
     scored_words = (
-        words_dealt.groupBy("word_block")
-        .cogroup(back.groupBy("word_block"))
-        .applyInArrow(_scores_of_words(depth), "word binary, n bigint, log10 double")
+        of_words.groupBy("shard")
+        .cogroup(back.groupBy("shard"))
+        .applyInArrow(
+            _scores_of_words(depth), "block bigint, words binary, counts binary, scores binary"
+        )
     )
-    # The size of the vocabulary has no bound, so its scores go where they are needed.
-    needed = join_to_unique(of_blocks.select("block", "word"), scored_words, "word")
     return (
-        dealt.groupBy("block")
-        .cogroup(needed.groupBy("block"))
+        blocks.where("shard < 0").select("block", "docs").groupBy("block")
+        .cogroup(scored_words.groupBy("block"))
         .applyInArrow(
-            _scores_of_docs(size.tokens, size.known),
-            f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, "
-            "train_tokens bigint, base_score double, score double",
+            _scores_of_docs(
+                totals.n + size.ends, totals.known + int(size.ends > 0), size.ends, end_score
+            ),
+            f"doc_id {schema.simpleString()}, held_out boolean, n_tokens bigint, "
+            "n_known bigint, train_tokens bigint, base_score double, score double",
         )
     )

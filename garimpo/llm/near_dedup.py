@@ -5,13 +5,13 @@
    stands for it. However many copies a text has, its links are looked for once.
 2. Four minima make a band, so there are 28. Classes that agree in a band meet in a bucket.
    Two sets of similarity 0.8 agree in no band at all with probability 4e-7.
-3. In a bucket every class is first compared with one of them, the least. What is linked by
-   then is in one component and needs no comparison any more: a bucket full of near copies
-   is settled by as many comparisons as it has classes. A second round compares with the
-   greatest, and only what is still in different components of one bucket is compared each
-   with each. No bucket is cut short.
+3. Every class is first compared with one other, the least class it meets in any bucket,
+   then with the greatest, then with the least of each bucket. What is linked by then is in
+   one component and needs no comparison any more: a crowd of near copies is settled by
+   about as many comparisons as it has classes. Only what is still in different components
+   of one bucket is then compared each with each. No bucket is cut short.
 4. A comparison looks at signatures first (one byte of each minimum; pairs of similarity 0.8
-   pass but for one in 1e8), then at the full sets of shingles, rebuilt from the whole texts.
+   pass but for one in 1e6), then at the full sets of shingles, rebuilt from the whole texts.
 5. Links make components by large-star and small-star.
 """
 
@@ -35,9 +35,13 @@ PERCENT = 80
 BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
 #: Equal signature bytes of 112 from which full sets are compared.
-ALIKE = 64
+ALIKE = 70
 _LONGS = MINIMA // 8
 
+#: Bits of the map of wanted ids: 2 MB, sent to every task that reads texts.
+MAP_BITS = 1 << 24
+_MAP_PAGE = 1 << 15  # bits of one bitmap of Spark's
+
 # Bytes hashed at once, to bound the memory that a very long text takes.
 _PIECE = 1 << 21
 
@@ -233,40 +237,60 @@ def _confirm(columns: dict[str, list]) -> dict[str, list]:
     return {"linked": linked}
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """The texts of some documents.
+
+    A map of a fixed number of bits, one set for the hash of each wanted id, is broadcast
+    and lets hardly any other text into the shuffle of the exact join behind it.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    page, place = F.floor(bit / _MAP_PAGE), bit % _MAP_PAGE
+    pages = (
+        ids.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    )
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    is_set = F.call_function("shiftright", byte.cast("int"), (place % 8).cast("int")) % 2 == 1
+    read = docs.select("doc_id", as_bytes(text).alias("_bytes"), page.alias("_page"))
+    wanted = read.join(F.broadcast(pages), "_page").where(is_set).select("doc_id", "_bytes")
+    return wanted.join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
     pairs = stored(pairs, "candidate-pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", as_bytes(text).alias("_bytes"))
-    texts = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "_bytes"])
+    texts = _texts_of(docs, ids, text).dropDuplicates(["doc_id", "_bytes"])
     texts = stored(texts, "candidate-texts")
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("_bytes").alias("a_text")), "u")
-        .join(texts.select(F.col("doc_id").alias("v"), F.col("_bytes").alias("b_text")), "v")
-        .select("u", "v", F.col("u").alias("_u"), F.col("v").alias("_v"), "a_text", "b_text")
+    one, other = (
+        texts.select(F.col("doc_id").alias(side), F.col("_bytes").alias(f"{name}_text"))
+        for side, name in (("u", "a"), ("v", "b"))
+    )
+    # Texts are large and pairs many at any size that matters: no side is ever broadcast.
+    both = pairs.hint("merge").join(one, "u").hint("merge").join(other, "v")
+    both = both.select(
+        "u", "v", F.col("u").alias("_u"), F.col("v").alias("_v"), "a_text", "b_text"
     )
     schema = T.StructType().add("linked", "boolean")
     checked = map_batches(both, lambda: _confirm, schema, ("u", "v"))
     return checked.where("linked").select("u", "v")
 
 
-def _against(buckets: DataFrame, classes: DataFrame, least: bool) -> DataFrame:
-    """Candidate pairs of every class with the least (or greatest) class of its buckets.
+def _against(buckets: DataFrame, classes: DataFrame, pick, once: bool) -> DataFrame:
+    """Candidate pairs of classes with one class (least or greatest) of their buckets.
 
     ``buckets`` has (bucket, doc_id, component); classes already in the component of the
-    class they would be compared with are left alone.
+    class they would be compared with are left alone. ``once``: one pair for each class.
     """
-    pick = F.min if least else F.max
     one = buckets.groupBy("bucket").agg(
         pick(F.struct("doc_id", "component")).alias("one"),
         F.min("component").alias("low"), F.max("component").alias("high"),
     ).where("low <> high").select("bucket", "one.*").toDF("bucket", "_one", "_component")
-    pairs = (
-        join_to_unique(buckets, one, "bucket")
-        .where("component <> _component")
-        .select(F.least("doc_id", "_one").alias("a"), F.greatest("doc_id", "_one").alias("b"))
-        .distinct()
-    )
+    met = join_to_unique(buckets, one, "bucket").where("component <> _component")
+    if once:
+        met = met.groupBy("doc_id").agg(pick("_one").alias("_one"))
+    pairs = met.select(
+        F.least("doc_id", "_one").alias("a"), F.greatest("doc_id", "_one").alias("b")
+    ).distinct()
     measured = join_to_unique(pairs, _named(classes, "a"), "a")
     measured = join_to_unique(measured, _named(classes, "b"), "b")
     return measured.where(_alike("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -275,7 +299,8 @@ def _against(buckets: DataFrame, classes: DataFrame, least: bool) -> DataFrame:
 def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs of all classes of different components that share a bucket.
 
-    The signatures are compared inside the join, so only likely links come out of it.
+    Signatures are compared inside the join, and a pair comes out of the first bucket only
+    that it shares.
     """
     mixed = (
         buckets.groupBy("bucket")
@@ -284,18 +309,19 @@ def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
         .select("bucket")
     )
     rows = join_to_unique(buckets, mixed, "bucket")
-    rows = rows.join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    rows = rows.join(classes.select("doc_id", "n_shingles", "signature", "bands"), "doc_id")
     sides = [
         rows.select(
             F.col("bucket").alias(f"{side}_bucket"), F.col("component").alias(f"{side}_component"),
             F.col("doc_id").alias(side), F.col("n_shingles").alias(f"{side}_size"),
-            F.col("signature").alias(f"{side}_signature"),
+            F.col("signature").alias(f"{side}_signature"), F.col("bands").alias(f"{side}_bands"),
         )
         for side in ("a", "b")
     ]
+    shared = F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == F.col("a_bucket")
     on = (
         (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a") < F.col("b"))
-        & (F.col("a_component") != F.col("b_component")) & _alike("a", "b")
+        & (F.col("a_component") != F.col("b_component")) & _alike("a", "b") & shared
     )
     return (
         sides[0].join(sides[1], on)
@@ -304,6 +330,16 @@ def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after the links: components are joined as wholes."""
+    ends = join_to_unique(links, labels.toDF("u", "_u"), "u")
+    ends = join_to_unique(ends, labels.toDF("v", "_v"), "v")
+    merged = components(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    merged = merged.toDF("component", "_joined")
+    out = join_to_unique(labels, merged, "component", "left")
+    return out.select("node", F.coalesce("_joined", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -331,22 +367,21 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # Buckets of one class are most of all; they are gone from here on.
     buckets = stored(join_to_unique(rows, shared, "bucket"), "buckets")
 
-    labels = buckets.select(F.col("doc_id").alias("node")).limit(0)
-    labels = labels.withColumn("component", F.col("node"))
+    node = F.col("doc_id").alias("node")
+    labels = stored(
+        buckets.select(node).distinct().withColumn("component", F.col("node")), "labels"
+    )
     for candidates in (
-        lambda now: _against(now, classes, True),
-        lambda now: _against(now, classes, False),
+        lambda now: _against(now, classes, F.min, True),
+        lambda now: _against(now, classes, F.max, True),
+        lambda now: _against(now, classes, F.min, False),
         lambda now: _across(now, classes),
     ):
-        now = join_to_unique(
-            buckets.withColumnRenamed("doc_id", "node"), labels, "node", "left"
-        ).select(
-            F.col("node").alias("doc_id"), "bucket", F.coalesce("component", "node").alias("component")
-        )
+        placed = labels.select(F.col("node").alias("doc_id"), "component")
+        now = join_to_unique(buckets, placed, "doc_id")
         links = stored(confirmed(candidates(now), docs, text), "links")
-        known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         if not links.isEmpty():
-            labels = components(known.unionAll(links))
+            labels = stored(_relabelled(labels, links), "labels")
 
     of_class = labels.select(F.col("node").alias("class_id"), "component")
     placed = join_to_unique(members, of_class, "class_id", "left").select(
