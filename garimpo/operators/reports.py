@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
@@ -177,8 +177,8 @@ def municipality_list(leads: DataFrame) -> DataFrame:
 def relative_to_max(ranking: DataFrame, value: str = "total") -> DataFrame:
     """Value of each group in percent of the largest group.
 
-    For rankings of a few rows: all of them meet in one window.
+    The largest is a scalar subquery, so rows of a ranking of any size stay where they are.
     """
-    largest = F.max(value).over(Window.partitionBy())
+    largest = ranking.agg(F.max(value)).scalar()
     percent = F.coalesce(F.try_divide(F.col(value), largest) * 100, F.lit(0.0))
     return ranking.withColumn("percentual_do_maior", percent)

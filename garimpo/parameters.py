@@ -8,6 +8,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 
+def _whole(value: object) -> int | None:
+    return None if value is None else int(value)
+
+
 @dataclass(frozen=True)
 class ScoreWeights:
     """Points each signal adds to the 0-100 score."""
@@ -28,7 +32,7 @@ class Parameters:
     pgfn_ano: int = 2026
     pgfn_trimestre: int = 2
     janela_dias: int = 365
-    fatias: int = 10
+    fatias: int | None = None
     situacoes_cadastrais: tuple[str, ...] = ("02", "03", "04")
     prefixo_natureza_juridica: str = "2"
     somente_matriz: bool = True
@@ -60,7 +64,7 @@ class Parameters:
             pgfn_ano=int(settings.get("pgfn", {}).get("ano", base.pgfn_ano)),
             pgfn_trimestre=int(settings.get("pgfn", {}).get("trimestre", base.pgfn_trimestre)),
             janela_dias=int(settings.get("mg_divida", {}).get("janela_dias", base.janela_dias)),
-            fatias=int(settings.get("receita", {}).get("fatias", base.fatias)),
+            fatias=_whole(settings.get("receita", {}).get("fatias", base.fatias)),
             situacoes_cadastrais=tuple(
                 str(code)
                 for code in universe.get("situacoes_cadastrais", base.situacoes_cadastrais)

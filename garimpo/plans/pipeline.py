@@ -33,10 +33,12 @@ from garimpo.sources.registry import (
     read_table,
     slice_paths,
     string_schema,
+    rejected_lines,
     suffix_glob,
+    suffix_globs,
 )
 
-_HEADER_FILES = "*.{csv,CSV,Csv,txt,TXT,Txt}"
+_HEADER_FILES = suffix_globs("csv", "txt")
 
 
 @dataclass
@@ -70,25 +72,29 @@ def ingest_registry(
     """Registry of the newest month to Parquet, one state only where ``uf`` is known.
 
     A load of the whole country is laid out by state, so that a later run for one
-    state reads that state only. Every file is checked against its declared layout
-    before its table is written.
+    state reads that state only. Every line of every file is held against the declared
+    layout before a table is written; lines too wide for it go to ``<table>_recusadas``
+    and are counted like the rows of a table, so none is left out unseen.
     """
     root = latest_period_folder(spark, landing)
     loaded: dict[str, int] = {}
     for table, columns in fv.REGISTRY_LAYOUTS.items():
         folder = fv.REGISTRY_FOLDERS[table]
         wanted = (
-            slice_paths(root, folder, range(params.fatias))
+            slice_paths(root, folder, None if params.fatias is None else range(params.fatias))
             if table in fv.SLICED_TABLES
             else f"{root}/{folder}"
         )
-        files = list_files(spark, wanted, suffix_glob(fv.REGISTRY_SUFFIXES[table]))
+        suffix = suffix_glob(fv.REGISTRY_SUFFIXES[table])
+        files = list_files(spark, wanted, suffix)
         if not files:
             raise SourceMissing(f"no files for table {table} under {root}")
         check_layout(spark, columns, files)
         rows = read_table(spark, root, table, slices=params.fatias, uf=params.uf)
         by_state = ["uf"] if params.uf is None and "uf" in columns else []
         loaded |= _write(rows, stage, table, by_state)
+        rejected = rejected_lines(spark, columns, wanted, suffix)
+        loaded |= _write(rejected, stage, f"{table}_recusadas")
     return loaded
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
@@ -15,22 +16,26 @@ Aliases = Mapping[str, Sequence[str]]
 
 
 def normalise_name(name: str) -> str:
-    """``Órgão Sancionador`` to ``orgao_sancionador``."""
-    plain = unicodedata.normalize("NFKD", name).lower()
-    letters = (c if c.isalnum() else " " for c in plain if not unicodedata.combining(c))
-    return "_".join("".join(letters).split())
+    """``Órgão Sancionador`` to ``orgao_sancionador``: bare letters and digits, in lower case."""
+    bare = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", name))
+    return "_".join(re.findall(r"[^\W_]+", bare.lower()))
 
 
 def resolve_names(names: Iterable[str], aliases: Aliases) -> dict[str, str | None]:
     """Real column for each canonical name, or None.
 
-    The first alias found wins; of two names that normalise alike the last counts.
+    Every header name that is an alias applies for its canonical column with the alias's
+    rank; the lowest rank gets it, and of equal ranks the name that stands last.
     """
-    known = {normalise_name(name): name for name in names}
-    return {
-        canonical: next((known[a] for a in options if a in known), None)
-        for canonical, options in aliases.items()
-    }
+    ranks: dict[str, list[tuple[str, int]]] = {}
+    for canonical, options in aliases.items():
+        for rank, alias in enumerate(options):
+            ranks.setdefault(alias, []).append((canonical, rank))
+    offers: dict[str, list[tuple[int, int, str]]] = {canonical: [] for canonical in aliases}
+    for place, name in enumerate(names):
+        for canonical, rank in ranks.get(normalise_name(name), ()):
+            offers[canonical].append((rank, -place, name))
+    return {canonical: min(found)[2] if found else None for canonical, found in offers.items()}
 
 
 def header_names(spark: SparkSession, path: str) -> list[str]:

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
-from garimpo.sources.registry import SourceMissing, list_files
+from garimpo.sources.registry import SourceMissing, list_files, suffix_globs
 
-_MONTH_FOLDER = r"/(?:competencia=)?([0-9]{4}-[0-9]{2})/"
+_MONTH_FOLDER = r"^/(?:competencia=)?([0-9]{4}-[0-9]{2})/"
+_SNAPSHOT_FILES = suffix_globs("csv", "txt")
+
+
+def _below(root: str) -> Column:
+    """``path`` without the root, which may itself hold something like a month."""
+    plain = re.sub("^[A-Za-z0-9]+:/*", "/", root)
+    after = F.locate(plain, F.col("path")) + F.lit(len(plain))
+    return F.col("path").substr(after, F.lit(1 << 20))
 
 
 def latest_period_folder(spark: SparkSession, root: str) -> str:
@@ -20,6 +29,7 @@ def latest_period_folder(spark: SparkSession, root: str) -> str:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
+        .select(_below(root).alias("path"))
         .select(F.regexp_extract("path", _MONTH_FOLDER, 1).alias("mes"), "path")
     )
     newest = names.agg(
@@ -69,9 +79,12 @@ def latest_snapshot(
 def latest_snapshot_files(
     spark: SparkSession, folder: str, as_of: dt.date, days: int = fv.SNAPSHOT_DAYS
 ) -> dict[str, list[str]]:
-    """Newest dated files per register: ``<register>_AAAAMMDD`` anywhere in the path."""
+    """Newest dated files per register: ``<register>_AAAAMMDD`` anywhere below the folder.
+
+    Only tables count, so an archive beside an older unpacked day does not hide it.
+    """
     stamps = [(as_of - dt.timedelta(days=back)).strftime("%Y%m%d") for back in range(days)]
-    paths = list_files(spark, folder)
+    paths = list_files(spark, folder, _SNAPSHOT_FILES)
     newest = {}
     for register in fv.SANCTION_REGISTERS:
         for stamp in stamps:

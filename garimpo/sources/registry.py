@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +13,6 @@ from garimpo import fixed_values as fv
 
 _RAW_LINE = "_raw_line"
 
-# Files whose first lines are looked at in one job.
-_FILES_PER_CHECK = 64
-
 CSV_OPTIONS = {
     "sep": fv.CSV_DELIMITER,
     "quote": fv.CSV_QUOTE,
@@ -44,6 +40,11 @@ def suffix_glob(suffix: str) -> str:
     )
 
 
+def suffix_globs(*suffixes: str) -> str:
+    """One glob for several suffixes, in any case."""
+    return "{" + ",".join(suffix_glob(f".{suffix}") for suffix in suffixes) + "}"
+
+
 def string_schema(columns: Iterable[str]) -> T.StructType:
     """All columns as strings: codes keep their leading zeros."""
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
@@ -139,8 +140,10 @@ def rejected_lines(
     )
 
 
-def slice_paths(root: str, folder: str, slices: Iterable[int]) -> str:
-    """One glob over the wanted slice folders; absent slices simply do not match."""
+def slice_paths(root: str, folder: str, slices: Iterable[int] | None = None) -> str:
+    """One glob over all numbered slice folders, or over the wanted ones that are there."""
+    if slices is None:
+        return f"{root.rstrip('/')}/{folder}[0-9]*"
     return f"{root.rstrip('/')}/{folder}{{{','.join(str(i) for i in slices)}}}"
 
 
@@ -148,18 +151,18 @@ def read_table(
     spark: SparkSession,
     root: str,
     table: str,
-    slices: int = 10,
+    slices: int | None = None,
     uf: str | None = None,
     suffix: str | None = None,
 ) -> DataFrame:
     """One registry table from the landing zone ``root``.
 
     ``empresas``, ``estabelecimentos`` and ``socios`` come in numbered folders, of
-    which the first ``slices`` are read as one scan; the others have one folder.
+    which all, or the first ``slices``, are read as one scan; the others have one folder.
     """
     folder = fv.REGISTRY_FOLDERS[table]
     if table in fv.SLICED_TABLES:
-        path = slice_paths(root, folder, range(slices))
+        path = slice_paths(root, folder, None if slices is None else range(slices))
     else:
         path = f"{root.rstrip('/')}/{folder}"
     return read_positional_csv(
@@ -199,38 +202,27 @@ def layout_profile(
     )
 
 
-def check_layout(
-    spark: SparkSession,
-    columns: Sequence[str],
-    files: Sequence[str],
-    sample: int = 50,
-) -> None:
-    """Raise :class:`LayoutMismatch` unless each file has lines of the declared width.
+def check_layout(spark: SparkSession, columns: Sequence[str], files: Sequence[str]) -> None:
+    """Raise :class:`LayoutMismatch` unless most lines of each file have the declared width.
 
-    Looks at the first ``sample`` lines of every file; an empty file passes.
+    Looks at every line of every file, in one job; an empty file passes. Single odd lines
+    are no mismatch: they are what :func:`rejected_lines` lists.
     """
-    for start in range(0, len(files), _FILES_PER_CHECK):
-        _check_heads(spark, columns, files[start : start + _FILES_PER_CHECK], sample)
-
-
-def _check_heads(
-    spark: SparkSession, columns: Sequence[str], files: Sequence[str], sample: int
-) -> None:
-    heads = [
-        spark.read.text(path).limit(sample).select(
-            F.lit(path).alias("arquivo"), F.col("value")
-        )
-        for path in files
-    ]
-    widths = (
-        reduce(DataFrame.unionAll, heads)
-        .where(F.length("value") > 0)
+    if not files:
+        return
+    usual = (
+        layout_profile(spark, files)
         .groupBy("arquivo")
-        .agg(F.sort_array(F.collect_set(line_width(F.col("value")))).alias("larguras"))
-        .where(~F.array_contains("larguras", len(columns)))
+        .agg(
+            F.max_by("largura", F.struct("linhas", "largura")).alias("usual"),
+            F.sort_array(F.collect_set("largura")).alias("larguras"),
+        )
+        .where(F.col("usual") != len(columns))
         .orderBy("arquivo")
     )
-    for row in widths.collect():
+    worst = usual.first()
+    if worst:
         raise LayoutMismatch(
-            f"{row.arquivo}: {len(columns)} columns declared, lines have {list(row.larguras)}"
+            f"{worst.arquivo}: {len(columns)} columns declared, "
+            f"lines have {list(worst.larguras)}, most of them {worst.usual}"
         )

@@ -81,6 +81,8 @@ def test_slices_and_suffixes(spark, tmp_path):
         read = registry.read_table(spark, str(tmp_path), "empresas", slices=slices)
         return sorted(r.cnpj_basico for r in read.collect())
 
+    write(tmp_path / "Empresas11" / "D.EMPRECSV", "11;X;2062;49;1,00;05;\n")
+    assert keys(None) == ["0", "11", "3", "7"]
     assert keys(10) == ["0", "3", "7"]
     assert keys(4) == ["0", "3"]
     assert keys(1) == ["0"]
