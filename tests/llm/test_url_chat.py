@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 from collections import Counter
@@ -80,9 +79,9 @@ def test_trees_learn_what_urls_look_like(spark):
         path = "".join(chance.choices("0123456789" if bad else "abcdefg", k=30))
         return f"http://{host}/{path}"
 
-    hosts = [("good.site", False), ("bad.site", True), ("x.net", False), ("x.net", True)]
+    hosts = [("fine.site", False), ("evil.site", True), ("x.net", False), ("x.net", True)]
     rows = [(i, url(*hosts[i % 4])) for i in range(1200)]
-    rules = (uf.Rule("good.site", "/", "allow"), uf.Rule("bad.site", "/", "block"))
+    rules = (uf.Rule("fine.site", "/", "allow"), uf.Rule("evil.site", "/", "block"))
     got = uf.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()
     right = [(r.verdict == "block") == hosts[r.page_id % 4][1] for r in got if r.host == "x.net"]
     assert len(right) == 600 and sum(right) >= 0.95 * len(right)
@@ -101,7 +100,9 @@ def test_main_path_is_native(spark):
 
 # Chat -------------------------------------------------------------------------------
 
-NASTY = st.text(st.sampled_from(list("[]<>/\\ab\n ") + ["[INST]", "</s>", "[/INST]", "[ROLE]"]))
+NASTY = st.lists(
+    st.sampled_from([*"[]<>/\\ab\n ", "[INST]", "</s>", "[/INST]", "[ROLE]"])
+).map("".join)
 
 
 @settings(max_examples=200, deadline=None)
@@ -118,7 +119,8 @@ def _plain_digests(rows):
         )
     out = {}
     for number, turns in by.items():
-        turns = [(role or "", text or "") for _, (_, role), (_, text) in sorted(turns, key=str)]
+        turns.sort(key=lambda t: (t[0][0], t[0][1] or 0, t[1][0], t[1][1] or "", t[2][0]))
+        turns = [(role or "", text or "") for _, (_, role), (_, text) in turns]
         said = "".join(f"{role}\n{text}\n" for role, text in turns)
         learnt = "".join(text for role, text in turns if role == "assistant")
         out[number] = (
@@ -242,7 +244,3 @@ def test_pipeline_on_ugly_rows(spark, ugly, empty):
             out = stage(spark, frame, SF)
             assert out.schema == frame.schema
             assert out.count() <= frame.count()
-
-
-def test_entropy_has_no_surprises():
-    assert math.log2(4) == 2
