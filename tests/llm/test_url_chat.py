@@ -188,7 +188,9 @@ def test_trees(spark, monkeypatch):
             assert text not in keys  # every start is there once
             keys.add(text)
         formatted += sum(len(chat.path_text(pack, node)) for node in pack["last_nodes"])
-    assert written < 0.7 * formatted
+    # But for the long conversation, which shares nothing, most text is there once.
+    alone = _plain_digests(rows)[1000][-1]
+    assert written - alone < 0.5 * (formatted - alone)
 
 
 def test_ugly_turns(spark):
