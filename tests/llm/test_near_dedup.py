@@ -100,7 +100,7 @@ def test_chains_hubs_and_crowds(spark):
 
 
 def test_very_long_text_is_hashed_in_stretches(monkeypatch):
-    words = [b"word%d" % (i * 7 % 1001) for i in range(5000)]
+    words = [b"word%d" % (i * 10 % 1001) for i in range(5000)]
     text = b" ".join(words)
     whole = nd.WordHashes()(text)
     monkeypatch.setattr(nd, "_PIECE", 500)

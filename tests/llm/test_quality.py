@@ -171,7 +171,8 @@ def test_expression_equals_matrix(spark):
     assert np.allclose(scores, 1 / (1 + np.exp(-odds)))
 
 
-def test_lasso_drops_rules():
+def test_lasso_drops_rules(monkeypatch):
+    monkeypatch.setattr(qc, "PENALTY", 0.03)
     chance = np.random.default_rng(2)
     x = (chance.random((500, 40)) < 0.5).astype(np.float32)
     intercept, weights = qc.lasso_logistic(x, x[:, 7])
