@@ -99,6 +99,43 @@ def test_chains_hubs_and_crowds(spark):
     _check(rows, texts)
 
 
+def test_texts_just_too_far_apart_cost_no_full_comparison(spark, monkeypatch):
+    """A crowd around one text, each a little below 0.8 of all others: few pairs are read."""
+    chance = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 90):
+        own = [*base]
+        for place in chance.sample(range(0, 200, 5), 7):
+            own[place] = f"v{i}x{place}"
+        texts.append((i, " ".join(own)))
+    read = []
+    confirmed = nd.confirmed
+
+    def counted(pairs, docs, text):
+        read.append(pairs.count())
+        return confirmed(pairs, docs, text)
+
+    monkeypatch.setattr(nd, "confirmed", counted)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    _check(nd.near_duplicates(docs).collect(), texts)
+    assert sum(read) < 3 * len(texts)
+
+
+def test_parities_never_part_what_is_similar():
+    """Bits that differ are at most the shingles that only one set has, at any size."""
+    chance = np.random.default_rng(2)
+    for n in (1, 4, 30, 300, 3000, 30_000):
+        pool = nd._mix(chance.integers(0, 1 << 62, 2 * n, dtype=np.uint64))
+        for own in {0, n // 9, n // 2, n}:
+            a, b = pool[:n], pool[own : own + n]
+            apart = sum(int(x).bit_count() for x in
+                        (nd.parity_of(a) ^ nd.parity_of(b)).view(np.uint64))
+            assert apart <= 2 * own
+            if 20 * n <= nd.PARITY_BITS * 10 and own:
+                assert apart >= own
+
+
 def test_very_long_text_is_hashed_in_stretches(monkeypatch):
     words = [b"word%d" % (i * 10 % 1001) for i in range(5000)]
     text = b" ".join(words)
