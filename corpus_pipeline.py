@@ -19,8 +19,13 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble takes for good; it learns from ``labels``."""
-    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the rule ensemble takes for good.
+
+    It learns from labelled rows of the whole corpus: nearly all that are labelled bad are
+    gone from ``docs``.
+    """
+    corpus = table(spark, sf_dir, "documents")
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), corpus)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

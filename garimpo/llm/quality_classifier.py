@@ -299,10 +299,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows predicted good, with exactly their columns, whatever those are."""
+def keep_good(
+    docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None
+) -> DataFrame:
+    """The rows predicted good, with exactly their columns, whatever those are.
+
+    ``learn_from`` (doc_id, text) has the texts of labelled rows, ``docs`` if not given.
+    Documents that an earlier filter has passed hold too few bad ones to learn from.
+    """
     sample = label_sample(labels)
-    learnt = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
+    texts = (docs if learn_from is None else learn_from).select("doc_id", "text")
+    learnt = texts.join(F.broadcast(sample.select("doc_id")), "doc_id")
     model = _fit_rows(with_statistics(learnt, ("doc_id",)), sample)
     rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"),
                        "text")

@@ -203,6 +203,20 @@ def test_ugly_rows_of_the_classifier(spark, ugly, empty):
     assert qc.classify(empty, labels).count() == 0
 
 
+def test_filtered_documents_are_judged_by_the_whole_corpus(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    passed = qr.keep_good(docs)
+    good = qc.classify(docs, labels).where("predicted = 1").select("doc_id")
+    kept = qc.keep_good(passed, labels, docs)
+    assert kept.columns == docs.columns
+    wanted = passed.join(good, "doc_id", "left_semi")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in wanted.collect())
+    # Documents of one label only: nothing to learn from among themselves.
+    bad = docs.join(labels.where("quality = 0"), "doc_id", "left_semi")
+    assert qc.keep_good(bad, labels, docs).count() <= 0.1 * bad.count()
+
+
 def test_label_sample_is_bounded(spark):
     labels = duckdb.sql(f"SELECT * FROM '{SF}/labels.parquet'").df()
     sample = qc.label_sample(spark.createDataFrame(labels), 5).collect()
