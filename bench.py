@@ -85,6 +85,9 @@ def main() -> None:
     people = (tables.registry["socios"], tables.registry["qualificacoes"])
     sources = (tables.debts, tables.state_debts, tables.sanctions)
     timed("dossier_overview", lambda: run_all(dossier.overview(leads, *sources, *people)))
+    timed("dossier_one", lambda: run_all(
+        dossier.dossier(leads, q.LOOKED_UP, *sources, *people).inscricoes_divida
+    ))
     timed("dossier_federal", lambda: run_all(dossier.federal_entries(leads, tables.debts)))
     timed("dossier_partners", lambda: run_all(dossier.partner_entries(leads, *people)))
 

@@ -53,10 +53,22 @@ class Dossier:
     socios: DataFrame
 
 
+def _bare(cnpjs: Sequence[str]) -> list[str]:
+    return ["".join(c for c in cnpj if c in "0123456789") for cnpj in cnpjs]
+
+
 def find_leads(leads: DataFrame, cnpjs: Sequence[str]) -> DataFrame:
     """Leads with the given ids, written with or without punctuation."""
-    keys = ["".join(c for c in cnpj if c.isdigit()) for cnpj in cnpjs]
-    return leads.where(F.col("cnpj").isin(*keys))
+    return leads.where(F.col("cnpj").isin(*_bare(cnpjs)))
+
+
+def of_companies(children: DataFrame, cnpjs: Sequence[str]) -> DataFrame:
+    """Entries of the companies of the given ids.
+
+    The keys are literals, so they reach the scan: a stage ordered by company is read
+    where those companies stand.
+    """
+    return children.where(F.col(KEY).isin(*sorted({cnpj[:8] for cnpj in _bare(cnpjs)})))
 
 
 def not_found(leads: DataFrame, wanted: DataFrame, cnpj: str = "cnpj") -> DataFrame:
@@ -123,20 +135,22 @@ def partner_entries(
 
 
 def dossier(
-    owners: DataFrame,
+    leads: DataFrame,
+    cnpjs: Sequence[str],
     debts: DataFrame,
     state_debts: DataFrame,
     sanctions: DataFrame,
     partners: DataFrame,
     qualifications: DataFrame,
 ) -> Dossier:
-    """Dossier of the given lead rows."""
+    """Dossier of the leads with the given ids; every source is looked up, not read whole."""
+    owners = find_leads(leads, cnpjs)
     return Dossier(
         lead=owners,
-        inscricoes_divida=federal_entries(owners, debts),
-        inscricoes_divida_mg=state_entries(owners, state_debts),
-        sancoes=sanction_entries(owners, sanctions),
-        socios=partner_entries(owners, partners, qualifications),
+        inscricoes_divida=federal_entries(owners, of_companies(debts, cnpjs)),
+        inscricoes_divida_mg=state_entries(owners, of_companies(state_debts, cnpjs)),
+        sancoes=sanction_entries(owners, of_companies(sanctions, cnpjs)),
+        socios=partner_entries(owners, of_companies(partners, cnpjs), qualifications),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from garimpo import fixed_values as fv
+from garimpo.operators import dossier as dossiers
 from garimpo.operators import reports
 from garimpo.operators.facts import facts_by_company
 from garimpo.operators.findings import COLUMNS as FINDING_COLUMNS
@@ -23,7 +24,12 @@ from garimpo.operators.universe import LOOKUPS, base_rows, enrich, universe
 from garimpo.parameters import Parameters
 from garimpo.sinks.audit import require_unique
 from garimpo.sinks.export import default_target, write_sheet
-from garimpo.sinks.stages import read_stage, replace_ordered_stage, replace_stage
+from garimpo.sinks.stages import (
+    read_stage,
+    replace_keyed_stage,
+    replace_ordered_stage,
+    replace_stage,
+)
 from garimpo.sources import federal_debt, sanctions, state_debt
 from garimpo.sources.periods import latest_period_folder, latest_snapshot_files
 from garimpo.sources.registry import (
@@ -66,6 +72,11 @@ def _write(
     return {table: replace_stage(rows, f"{stage}/{table}", partition_by).count()}
 
 
+def _write_keyed(rows: DataFrame, stage: str, table: str) -> dict[str, int]:
+    """The same for a table that dossiers look up by company."""
+    return {table: replace_keyed_stage(rows, f"{stage}/{table}", dossiers.KEY).count()}
+
+
 def ingest_registry(
     spark: SparkSession, landing: str, stage: str, params: Parameters
 ) -> dict[str, int]:
@@ -92,7 +103,10 @@ def ingest_registry(
         check_layout(spark, columns, files)
         rows = read_table(spark, root, table, slices=params.fatias, uf=params.uf)
         by_state = ["uf"] if params.uf is None and "uf" in columns else []
-        loaded |= _write(rows, stage, table, by_state)
+        if table == "socios":
+            loaded |= _write_keyed(rows, stage, table)
+        else:
+            loaded |= _write(rows, stage, table, by_state)
         rejected = rejected_lines(spark, columns, wanted, suffix)
         loaded |= _write(rejected, stage, f"{table}_recusadas")
     return loaded
@@ -104,7 +118,7 @@ def ingest_federal_debt(
     """Federal debt from ``{category: folder}`` to Parquet."""
     files = {name: list_files(spark, path, _HEADER_FILES) for name, path in folders.items()}
     rows = federal_debt.read(spark, files, params.uf)
-    return _write(rows, stage, "divida_ativa_uniao")
+    return _write_keyed(rows, stage, "divida_ativa_uniao")
 
 
 def ingest_sanctions(
@@ -112,7 +126,7 @@ def ingest_sanctions(
 ) -> dict[str, int]:
     """Newest snapshot of each register to Parquet."""
     files = latest_snapshot_files(spark, landing, as_of)
-    return _write(sanctions.read(spark, files), stage, "sancoes")
+    return _write_keyed(sanctions.read(spark, files), stage, "sancoes")
 
 
 def ingest_state_debt(
@@ -124,7 +138,8 @@ def ingest_state_debt(
 ) -> dict[str, int]:
     """State debt of the last days to Parquet."""
     cells = state_debt.read_cells(spark, paths)
-    return _write(state_debt.clean(cells, as_of, params.janela_dias), stage, "divida_ativa_mg")
+    rows = state_debt.clean(cells, as_of, params.janela_dias)
+    return _write_keyed(rows, stage, "divida_ativa_mg")
 
 
 def load_tables(spark: SparkSession, stage: str) -> Tables:
@@ -218,6 +233,20 @@ def summary(spark: SparkSession, stage: str, params: Parameters) -> DataFrame:
     )
 
 
+def dossier(spark: SparkSession, stage: str, cnpjs: Sequence[str]) -> dossiers.Dossier:
+    """Everything on file about the given leads of a finished stage folder."""
+    tables = load_tables(spark, stage)
+    return dossiers.dossier(
+        read_stage(spark, f"{stage}/leads"),
+        cnpjs,
+        tables.debts,
+        tables.state_debts,
+        tables.sanctions,
+        tables.registry["socios"],
+        tables.registry["qualificacoes"],
+    )
+
+
 def export(
     spark: SparkSession,
     stage: str,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimpo.operators.ordering import SortKey, sort_columns
@@ -41,6 +42,18 @@ def replace_ordered_stage(
     return read_stage(rows.sparkSession, path)
 
 
+def replace_keyed_stage(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """A stage ordered by a key that many rows may share, for lookups of single keys.
+
+    The scan mark behind the key lets a hot key spread over several files.
+    """
+    marked = rows.withColumn("_marca", F.monotonically_increasing_id())
+    ordered = marked.orderBy(key, "_marca").drop("_marca")
+    bloom = {f"parquet.bloom.filter.enabled#{key}": "true"}
+    ordered.write.mode("overwrite").options(**bloom).parquet(path)
+    return read_stage(rows.sparkSession, path)
+
+
 def append_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add late slices to a stage and return the whole stage."""
     _writer(rows, "append", partition_by).parquet(path)
@@ -61,8 +74,3 @@ def save_keyed_table(rows: DataFrame, table: str, buckets: int, key: str = "cnpj
     Tables with the same number of buckets join on the key without a shuffle.
     """
     rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-
-
-def replace_view(rows: DataFrame, name: str) -> None:
-    """Create or replace a view over a stage."""
-    rows.createOrReplaceTempView(name)

@@ -14,6 +14,7 @@ from garimpo_checks.spark_queries import (
     BY_TEXT,
     FILTERED,
     IN_MUNICIPALITY,
+    LOOKED_UP,
     OTHER_WEIGHTS,
     PARAMS,
     SECOND_PAGE,
@@ -625,6 +626,19 @@ _QUERIES: dict[str, str] = {
                  s.data_entrada_sociedade, s.faixa_etaria
           FROM socios AS s LEFT JOIN qualificacoes AS q ON q.codigo = s.qualificacao_socio
           WHERE s.cnpj_basico IN (SELECT cnpj_basico FROM leads))""",
+    "dossier_one": """SELECT 'divida' AS lista, cnpj_basico, row_number() OVER (
+        PARTITION BY cnpj_basico ORDER BY valor_consolidado DESC NULLS LAST) AS posicao,
+        CAST(valor_consolidado AS DOUBLE) AS valor, CAST(NULL AS VARCHAR) AS nome
+    FROM divida_uniao WHERE cnpj_basico IN (SELECT cnpj_basico FROM procurados)
+    UNION ALL
+    SELECT 'socio', cnpj_basico, row_number() OVER (
+        PARTITION BY cnpj_basico ORDER BY nome_socio_razao_social, data_entrada_sociedade),
+        NULL, nome_socio_razao_social
+    FROM socios WHERE cnpj_basico IN (SELECT cnpj_basico FROM procurados)""".replace(
+        "(SELECT cnpj_basico FROM procurados)",
+        "(SELECT cnpj_basico FROM leads_todos WHERE cnpj IN ("
+        + ", ".join(f"'{re.sub('[^0-9]', '', cnpj)}'" for cnpj in LOOKED_UP) + "))",
+    ),
     "dossier_not_found": """SELECT cpf_cnpj AS procurado FROM divida_uniao
         WHERE cpf_cnpj NOT IN (SELECT cnpj FROM leads)""",
     "stage_roundtrip": f"SELECT {_LEAD_COLUMNS} FROM leads",

@@ -39,6 +39,12 @@ OTHER_WEIGHTS = EVERY_LEAD.replace(
 )
 STATE = "AMERICA"
 
+# Ids to look up: plain, punctuated, and one of no company.
+LOOKED_UP = (
+    "00000004000104", "00.000.008/0001-08", "00000016000116", "00000040000140",
+    "00.000.044/0001-44", "00000100000103", "99999999000199",
+)
+
 # One search with every kind of filter, and texts with and without digits.
 FILTERED = search.SearchSpec(
     regime="presumido", com_divida=True, com_sancao=False, score_minimo=30, ordenar="divida"
@@ -528,6 +534,23 @@ def dossier_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dossiers.partner_entries(leads(spark, sf_dir), *_partners(spark, sf_dir))
 
 
+def dossier_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Federal debts and partners of a few given ids."""
+    tables = _tables(spark, sf_dir)
+    found = dossiers.dossier(
+        pipeline.build_leads(tables, EVERY_LEAD), LOOKED_UP, tables.debts, tables.state_debts,
+        tables.sanctions, *_partners(spark, sf_dir),
+    )
+    debts = found.inscricoes_divida.select(
+        F.lit("divida").alias("lista"), "cnpj_basico", "posicao",
+        F.col("valor_consolidado").cast("double").alias("valor"), F.lit(None).alias("nome"),
+    )
+    partners = found.socios.select(
+        F.lit("socio").alias("lista"), "cnpj_basico", "posicao", F.lit(None).alias("valor"), "nome"
+    )
+    return debts.unionByName(partners)
+
+
 def dossier_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debtors that are no lead."""
     return dossiers.not_found(
@@ -645,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "dossier_state": dossier_state,
     "dossier_sanctions": dossier_sanctions,
     "dossier_partners": dossier_partners,
+    "dossier_one": dossier_one,
     "dossier_not_found": dossier_not_found,
     "stage_roundtrip": stage_roundtrip,
     "append_slices": append_slices,

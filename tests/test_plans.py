@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from garimpo_checks import spark_queries
-from garimpo.operators import search, universe
+from garimpo.operators import dossier, search, universe
 from garimpo.operators.reports import top_municipalities
-from garimpo.sinks.stages import replace_ordered_stage, replace_stage
+from garimpo.sinks.stages import replace_keyed_stage, replace_ordered_stage, replace_stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,6 +89,19 @@ def test_search_is_pushed_to_the_scan(spark, tmp_path):
     assert "TakeOrderedAndProject(limit=150" in plan
 
 
+@pytest.mark.parametrize("source", ["debts", "state_debts", "sanctions", "socios"])
+def test_dossier_looks_companies_up(spark, tmp_path, source):
+    tables = spark_queries._tables(spark, SF)
+    partners = spark_queries._partners(spark, SF)[0]
+    rows = partners if source == "socios" else getattr(tables, source)
+    stage = replace_keyed_stage(rows, str(tmp_path / source), dossier.KEY)
+    assert stage.count() == rows.count() and stage.columns == rows.columns
+    own = dossier.of_companies(stage, ["00.000.008/0001-08", "00000004000104"])
+    plan = plan_of(dossier._mark_copies(own))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan, re.S).group(1)
+    assert "In(cnpj_basico, [00000004,00000008])" in pushed
+
+
 def test_universe_filters_sit_below_the_joins(spark, tmp_path, big_tables):
     tables = {
         name: replace_stage(rows, str(tmp_path / name))
