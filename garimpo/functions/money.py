@@ -1,4 +1,4 @@
-"""Brazilian number text to exact decimals and back."""
+"""Brazilian number text to exact decimals or doubles, and back."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
 # Intl-style amounts keep a no-break space between the sign and the number.
 _CURRENCY = "R$\u00a0"
 
@@ -20,19 +22,23 @@ def parse_plain(text: Column) -> Column:
     return text.try_cast(MONEY)
 
 
+def parse_float(text: Column) -> Column:
+    """Number text with a decimal dot to double, every digit counted; else NULL.
+
+    The shape is checked first: a cast alone would take "1d" and "NaN".
+    """
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
 def parse_decimal_comma(text: Column) -> Column:
-    """``5000000,00`` to money. No thousands marks expected."""
-    return parse_plain(F.replace(text, F.lit(","), F.lit(".")))
+    """``5000000,00`` to double. No thousands marks expected."""
+    return parse_float(F.replace(text, F.lit(","), F.lit(".")))
 
 
 def parse_money_br(text: Column) -> Column:
     """``1.234.567,89`` to money; dots are thousands marks."""
-    return parse_decimal_comma(F.replace(text, F.lit("."), F.lit("")))
-
-
-def parse_float(text: Column) -> Column:
-    """Number text to double by way of a decimal; anything else is NULL."""
-    return text.try_cast("decimal(38,12)").cast("double")
+    bare = F.replace(text, F.lit("."), F.lit(""))
+    return parse_plain(F.replace(bare, F.lit(","), F.lit(".")))
 
 
 def format_money_br(amount: Column) -> Column:

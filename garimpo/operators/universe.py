@@ -98,7 +98,7 @@ def companies_outside_simples(
             "razao_social",
             "natureza_juridica",
             "porte_empresa",
-            parse_decimal_comma(F.col("capital_social")).cast("double").alias("capital_social"),
+            parse_decimal_comma(F.col("capital_social")).alias("capital_social"),
         )
         .join(status, "cnpj_basico", "left")
         .where(inactive("simples_ativo") & inactive("mei_ativo"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
-from garimpo.functions.money import MONEY
 from garimpo.operators.ordering import TOP_K_ROWS, SortKey, slice_of_order, sort_columns
 
+# Two decimals as shown, and room for any capital on file.
+_AMOUNT = "decimal(38,2)"
+
 SHEET_ORDER: tuple[SortKey, ...] = (
     ("score", "desc"),
     ("dau_valor_total", "desc"),
@@ -35,7 +37,7 @@ def _plain_amounts(sheet: DataFrame) -> DataFrame:
     """Amounts as ``12000000.00``: text files would show large doubles as ``1.2E7``."""
     return sheet.select(
         *[
-            F.col(f"`{name}`").cast(MONEY).alias(name) if kind == "double" else F.col(f"`{name}`")
+            F.col(f"`{name}`").cast(_AMOUNT).alias(name) if kind == "double" else F.col(f"`{name}`")
             for name, kind in sheet.dtypes
         ]
     )

@@ -132,7 +132,7 @@ _HAS_FINDING = (
 # Company columns that establishments of a company share.
 _COMPANY = f"""
     SELECT e.cnpj_basico, e.razao_social, e.natureza_juridica, e.porte_empresa,
-           CAST({_number("replace(e.capital_social, ',', '.')")} AS DOUBLE) AS capital_social,
+           {_number("replace(e.capital_social, ',', '.')", "DOUBLE")} AS capital_social,
            s.simples_ativo, s.mei_ativo, s.saiu_do_simples, s.data_exclusao_simples
     FROM empresas AS e
     LEFT JOIN situacao_simples AS s ON s.cnpj_basico = e.cnpj_basico
@@ -495,7 +495,7 @@ _QUERIES: dict[str, str] = {
     "parse_money_br": f"""SELECT numero_inscricao, valor_consolidado AS texto,
         CAST({_money("valor_consolidado")} AS DOUBLE) AS valor FROM divida_bruta""",
     "parse_decimal_comma": f"""SELECT cnpj_basico,
-        CAST({_number("replace(capital_social, ',', '.')")} AS DOUBLE) AS capital
+        {_number("replace(capital_social, ',', '.')", "DOUBLE")} AS capital
         FROM empresas""",
     "format_money_br": f"""SELECT o_orderkey,
         {_br_amount("CAST(o_totalprice AS DECIMAL(18,2)) * 1000")} AS milhares,

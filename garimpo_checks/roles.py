@@ -134,6 +134,8 @@ ROLES = {
                     ELSE '2062' END AS natureza_juridica,
                CASE c_custkey % 2 WHEN 0 THEN '49' ELSE '10' END AS qualificacao_responsavel,
                CASE WHEN c_custkey % 50 = 7 THEN 'N/D'
+                    WHEN c_custkey % 50 = 12 THEN '7999,9951'
+                    WHEN c_custkey % 50 = 28 THEN '12345678901234567,89'
                     ELSE replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING), '.', ',')
                     END AS capital_social,
                CASE WHEN c_acctbal < 0 THEN '00' WHEN c_acctbal < 2500 THEN '01'

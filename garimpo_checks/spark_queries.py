@@ -279,7 +279,7 @@ def parse_money_br(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_decimal_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role(spark, sf_dir, "empresas").select(
         "cnpj_basico",
-        money.parse_decimal_comma(F.col("capital_social")).cast("double").alias("capital"),
+        money.parse_decimal_comma(F.col("capital_social")).alias("capital"),
     )
 
 

@@ -23,7 +23,10 @@ def test_parse_money(spark):
     assert [float(v) if v is not None else None for v in got] == [
         1234567.89, 55.5, 10.0, None, None, None, None, None, -3.25, 12.0,
     ]
-    assert float(apply(spark, money.parse_decimal_comma, ["5000000,00"])[0]) == 5000000.0
+    texts = ["5000000,00", "1,2349", "12345678901234567,89", "1d", "NaN", "", None, " -,5 "]
+    assert apply(spark, money.parse_decimal_comma, texts) == [
+        5000000.0, 1.2349, 12345678901234567.89, None, None, None, None, -0.5,
+    ]
 
 
 @settings(max_examples=1, deadline=None)
