@@ -10,8 +10,9 @@ them in question are read to the end of their entries, which resolves their scor
 The table is dealt into blocks of vectors, the queries into blocks of queries, and every
 pair of blocks is one step: lists are sorted once per block of vectors, and one dimension's
 list serves positive weights from one end and negative ones from the other, so the bounds of
-all pairs of a step come out of two matrix products per depth. Each step gives at most k
-rows a query; a ranking per query merges these.
+all pairs of a step come out of two matrix products per depth. Once few vectors of a block
+are in question for a query, reading goes on for these alone. Each step gives at most k rows
+a query; a ranking per query merges these.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ SCALE = 64
 K = 20
 #: Vectors and queries of a block.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
-#: Depths to which lists are read before what is in question is resolved.
-DEPTHS = (1 / 16, 1 / 4)
+#: Depths to which lists are read, one after the other; the last is their end.
+DEPTHS = (1 / 16, 1 / 4, 1 / 2, 0.8, 0.9, 0.95, 1)
+#: While more than this part of a block is in question, bounds are taken for the whole block.
+FEW = 1 / 16
 
 _LONG = np.iinfo(np.int64)
 
@@ -55,17 +58,25 @@ class SortedLists:
         np.put_along_axis(self.rank, order, np.arange(len(x))[:, None], axis=0)
         self.entry = np.take_along_axis(x, order, axis=0)
 
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores after reading ``depth`` entries of each list."""
-        x, n = self.x, len(self.x)
+    def bounds(
+        self, queries: np.ndarray, depth: int, rows: np.ndarray | slice = slice(None)
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of scores after reading ``depth`` entries of each list."""
+        x, rank, n = self.x[rows], self.rank[rows], len(self.x)
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        from_top, from_end = self.rank < depth, self.rank >= n - depth
+        from_top, from_end = rank < depth, rank >= n - depth
         seen = np.hstack([x * from_top, x * from_end]) @ np.hstack([plus, minus]).T
         unseen = np.hstack([~from_top, ~from_end]).astype(x.dtype)
         last = np.hstack([plus * self.entry[depth - 1], minus * self.entry[n - depth]])
         ends = np.hstack([plus * self.entry[-1], minus * self.entry[0]])
         return seen + unseen @ ends.T, seen + unseen @ last.T
 
+    def whole_at(self, query: np.ndarray, rows: np.ndarray) -> int:
+        """The depth at which all entries of these vectors have been read."""
+        rank = self.rank[rows]
+        deep = np.where(query > 0, rank.max(0) + 1, np.where(query < 0, len(self.x) - rank.min(0), 0))
+        return max(1, int(deep.max(initial=0)))
+
 
 def best_of_block(
     x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int
@@ -90,33 +101,47 @@ def best_of_block(
     n = len(x)
     lists = SortedLists(x)
     open_queries = np.arange(len(queries))
-    for depth in DEPTHS:
-        rows = max(1, int(n * depth))
-        if not len(open_queries) or n <= 4 * k:
+    for read in _depths(n):
+        if not len(open_queries):
             break
-        lower, upper = lists.bounds(queries[open_queries], rows)
+        bounds = lists.bounds(queries[open_queries], read)
         still = []
-        for column, query in enumerate(open_queries):
-            own = ids == query_ids[query]
-            low, high = lower[:, column], upper[:, column]
-            low[own], high[own] = -np.inf, -np.inf
-            least = np.partition(low, n - k)[n - k]
-            rest = np.flatnonzero(high >= least)
-            if len(rest) > n // 4:
-                still.append(query)  # outsiders may still qualify: read on
+        for query, low, high in zip(open_queries, *(np.ascontiguousarray(b.T) for b in bounds)):
+            others = np.flatnonzero(ids != query_ids[query])
+            rest = others[_in_question(low[others], high[others], k)]
+            if len(rest) > max(k, int(n * FEW)) and read < n:
+                still.append(query)
             else:
-                out += _resolved(x, ids, queries[query], query_ids[query], rest, k)
+                out += _resolved(lists, ids, queries[query], query_ids[query], rest, k, read)
         open_queries = np.array(still, np.int64)
-    if len(open_queries):
-        # Lists read to their ends: bounds meet in the scores.
-        scores = queries[open_queries] @ x.T
-        for row, query in zip(scores, open_queries):
-            out += _top(row, ids, query_ids[query], k)
     return out
 
 
-def _resolved(x, ids, query, number, rest, k):
-    return _top(x[rest] @ query, ids[rest], number, k)
+def _depths(n: int) -> list[int]:
+    return [max(1, int(n * depth)) for depth in DEPTHS]
+
+
+def _in_question(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Places of the vectors whose upper bound reaches the k-th best lower bound."""
+    if len(low) <= k:
+        return np.arange(len(low))
+    return np.flatnonzero(high >= np.partition(low, len(low) - k)[len(low) - k])
+
+
+def _resolved(lists, ids, query, number, rest, k, read):
+    """The k best of the vectors in question: the lists are read on for these alone.
+
+    First until no other is in question or the lists end, then to the last entry of those
+    that are left, where both bounds meet in the score.
+    """
+    if not len(rest):
+        return []
+    for depth in _depths(len(lists.x)):
+        if depth > read and len(rest) > k:
+            low, high = lists.bounds(query[None], depth, rest)
+            rest = rest[_in_question(low[:, 0], high[:, 0], k)]
+    scores, _ = lists.bounds(query[None], lists.whole_at(query, rest), rest)
+    return _top(scores[:, 0], ids[rest], number, k)
 
 
 def _top(scores, ids, number, k):

@@ -79,6 +79,29 @@ def test_reading_stops_early(monkeypatch):
     assert read and read[0] < 500
 
 
+def test_bounds_settle_all_queries_of_the_table(monkeypatch):
+    """64 dimensions, none of them strong: every query is settled before the lists end."""
+    rows = duckdb.sql(
+        "SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id"
+    ).fetchall()
+    ids, x = np.array([i for i, _ in rows]), ts.quantised([v for _, v in rows], 64)
+    asked = ids % 20 == 0
+    settled = []
+    resolved = ts._resolved
+    monkeypatch.setattr(
+        ts, "_resolved", lambda *a: settled.append((len(a[4]), a[6])) or resolved(*a)
+    )
+    found = ts.best_of_block(x, ids, x[asked], ids[asked], 20)
+    assert len(settled) == asked.sum() == 100
+    assert all(rest <= len(x) // 16 and read < len(x) for rest, read in settled)
+    wanted = set()
+    for number, query in zip(ids[asked], x[asked]):
+        scores = x @ query
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != number][:20]
+        wanted |= {(number, ids[i], scores[i]) for i in order}
+    assert set(found) == wanted and len(found) == 2000
+
+
 def test_bounds_hold():
     chance = np.random.default_rng(9)
     x = np.floor(64 * chance.normal(size=(300, 8)))
