@@ -12,6 +12,9 @@ from garimpo.llm import near_dedup, packing, quality_classifier, quality_rules
 from garimpo.llm.common import stored, table
 from garimpo.llm.queries import word_vocabulary
 
+#: Words of a shingle of the near-duplicates; the query op2_near_dedup has its own number.
+SHINGLE_WORDS = 5
+
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their group's thresholds."""
@@ -30,7 +33,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of least id."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, SHINGLE_WORDS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

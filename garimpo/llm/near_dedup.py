@@ -34,7 +34,8 @@ from garimpo.llm.common import as_bytes, map_batches, stored
 from garimpo.llm.components import components
 from garimpo.operators.joins import join_to_unique
 
-SHINGLE_WORDS = 4
+#: Words of a shingle, unless the caller names another number, and at most.
+SHINGLE_WORDS, MOST_WORDS = 4, 16
 #: Link from this many hundredths of the union.
 PERCENT = 80
 BANDS, ROWS = 28, 4
@@ -78,6 +79,8 @@ _PLACES = _odd(SHINGLE_WORDS)
 _SHORT = _odd(SHINGLE_WORDS)
 _FACTORS, _SHIFTS = _odd(MINIMA)[:, None], _odd(MINIMA)[:, None]
 _BAND_PLACES, _BAND_SEEDS = _odd(ROWS), _odd(BANDS)
+_PLACES = np.concatenate([_PLACES, _odd(MOST_WORDS - SHINGLE_WORDS)])
+_SHORT = np.concatenate([_SHORT, _odd(MOST_WORDS - SHINGLE_WORDS)])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -121,15 +124,15 @@ class WordHashes:
         return np.concatenate([self._of_piece(piece) for piece in _pieces(text)])
 
 
-def shingle_set(word_hashes: np.ndarray) -> np.ndarray:
+def shingle_set(word_hashes: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Distinct hashes of the shingles; of the whole sequence if it is shorter than one."""
     n = len(word_hashes)
     if not n:
         return word_hashes
-    if n < SHINGLE_WORDS:
+    if n < size:
         return _mix((word_hashes * _SHORT[:n]).sum(keepdims=True) + _U(n))
-    last = n - SHINGLE_WORDS + 1
-    mixed = sum(word_hashes[i : i + last] * _PLACES[i] for i in range(SHINGLE_WORDS))
+    last = n - size + 1
+    mixed = sum(word_hashes[i : i + last] * _PLACES[i] for i in range(size))
     return np.unique(_mix(mixed))
 
 
@@ -165,7 +168,7 @@ _SKETCH = (
 )
 
 
-def _make_sketch():
+def _make_sketch(size: int):
     hashes = WordHashes()
 
     def work(columns):
@@ -175,7 +178,7 @@ def _make_sketch():
             plain = b" ".join(text.lower().split())
             key = xxhash.xxh3_128_digest(plain)
             if key not in known:
-                shingles = shingle_set(hashes(plain))
+                shingles = shingle_set(hashes(plain), size)
                 bands = signature = parity = None
                 if len(shingles):
                     minima = minima_of(shingles)
@@ -190,10 +193,10 @@ def _make_sketch():
     return work
 
 
-def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, size of the shingle set, key of the words, bands, signature and parity."""
     read = docs.select("doc_id", as_bytes(text).alias("_bytes"))
-    return map_batches(read, _make_sketch, _SKETCH, ("doc_id",))
+    return map_batches(read, lambda: _make_sketch(size), _SKETCH, ("doc_id",))
 
 
 # Comparing --------------------------------------------------------------------------
@@ -236,29 +239,32 @@ def _named(classes: DataFrame, side: str, *more: str) -> DataFrame:
     )
 
 
-def _shingles(text: bytes) -> set:
+def _shingles(text: bytes, size: int) -> set:
     found = text.lower().split()
-    if len(found) < SHINGLE_WORDS:
+    if len(found) < size:
         return {tuple(found)} if found else set()
-    return set(zip(*(found[i:] for i in range(SHINGLE_WORDS))))
+    return set(zip(*(found[i:] for i in range(size))))
 
 
-def _confirm(columns: dict[str, list]) -> dict[str, list]:
-    known: dict[int, set] = {}
+def _make_confirm(size: int):
+    def confirm(columns: dict[str, list]) -> dict[str, list]:
+        known: dict[int, set] = {}
 
-    def shingles(number: int, text: bytes) -> set:
-        if number not in known:
-            if len(known) > 16:
-                known.clear()
-            known[number] = _shingles(text)
-        return known[number]
+        def shingles(number: int, text: bytes) -> set:
+            if number not in known:
+                if len(known) > 16:
+                    known.clear()
+                known[number] = _shingles(text, size)
+            return known[number]
 
-    linked = []
-    for u, v, a, b in zip(columns["_u"], columns["_v"], columns["a_text"], columns["b_text"]):
-        one, other = shingles(u, a), shingles(v, b)
-        common = len(one & other)
-        linked.append(100 * common >= PERCENT * (len(one) + len(other) - common))
-    return {"linked": linked}
+        linked = []
+        for u, v, a, b in zip(columns["_u"], columns["_v"], columns["a_text"], columns["b_text"]):
+            one, other = shingles(u, a), shingles(v, b)
+            common = len(one & other)
+            linked.append(100 * common >= PERCENT * (len(one) + len(other) - common))
+        return {"linked": linked}
+
+    return confirm
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
@@ -279,7 +285,9 @@ def _texts_of(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     return wanted.join(ids.hint("merge"), "doc_id", "left_semi")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def confirmed(
+    pairs: DataFrame, docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS
+) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
     pairs = stored(pairs, "candidate-pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -295,7 +303,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
         "u", "v", F.col("u").alias("_u"), F.col("v").alias("_v"), "a_text", "b_text"
     )
     schema = T.StructType().add("linked", "boolean")
-    checked = map_batches(both, lambda: _confirm, schema, ("u", "v"))
+    checked = map_batches(both, lambda: _make_confirm(size), schema, ("u", "v"))
     return checked.where("linked").select("u", "v")
 
 
@@ -365,16 +373,18 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("node", F.coalesce("_joined", "component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS
+) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
-    Words are parted by blanks, A-Z lower-cased; a set is the distinct shingles of four
-    words, of fewer words the whole sequence. A missing or empty text, or one without words,
+    Words are parted by blanks, A-Z lower-cased; a set is the distinct shingles of
+    ``size`` words, of fewer words the whole sequence. A missing or empty text, or one without words,
     has the empty set and is linked with nothing; a row without id keeps to itself:
     component_id is missing and kept true. Rows with one id are one document in links. Equal
     texts are in one component; other columns are left out; an empty table gives an empty one.
     """
-    sketched = stored(sketch(docs, text), "sketches")
+    sketched = stored(sketch(docs, text, size), "sketches")
     usable = sketched.where("doc_id is not null and n_shingles > 0")
     named = usable.groupBy("words_key").agg(F.min("doc_id").alias("class_id"))
     members = stored(
@@ -406,7 +416,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     ):
         placed = labels.join(nodes, "node").withColumnRenamed("node", "doc_id")
         now = join_to_unique(buckets, placed, "doc_id")
-        links = stored(confirmed(candidates(now), docs, text), "links")
+        more = () if size == SHINGLE_WORDS else (size,)
+        links = stored(confirmed(candidates(now), docs, text, *more), "links")
         if not links.isEmpty():
             labels = stored(_relabelled(labels, links), "labels")
 
@@ -424,12 +435,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each group of near-duplicates, with its columns, whatever those are.
 
     Rows without an id stay; of rows with one id one stays.
     """
-    judged = near_duplicates(docs).where("kept and doc_id is not null")
+    judged = near_duplicates(docs, size=size).where("kept and doc_id is not null")
     ids = judged.select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi")
     one = one.dropDuplicates(["doc_id"]).select(docs.columns)

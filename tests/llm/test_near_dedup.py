@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -122,6 +123,26 @@ def test_texts_just_too_far_apart_cost_no_full_comparison(spark, monkeypatch):
     assert sum(read) < 3 * len(texts)
 
 
+def test_words_of_a_shingle(spark, monkeypatch):
+    """A 40-word pair, one inner word apart: linked with four words, apart with five."""
+    words = [f"w{i}" for i in range(40)]
+    changed = [*words[:20], "other", *words[21:]]
+    texts = [(1, " ".join(words)), (2, " ".join(changed)), (3, "one two three four")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    four = {r.doc_id: (r.n_shingles, r.kept) for r in queries.op2_near_dedup(spark, "").collect()}
+    assert four == {1: (37, True), 2: (37, False), 3: (1, True)}
+    staged = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in staged) == [1, 2, 3]
+    five = nd.near_duplicates(docs, size=5).collect()
+    assert sorted((r.doc_id, r.n_shingles) for r in five) == [(1, 36), (2, 36), (3, 1)]
+    # Near copies are still found: two words of a hundred.
+    words = [f"w{i}" for i in range(100)]
+    near = [(1, " ".join(words)), (2, " ".join([*words[:98], "x", "y"]))]
+    near = spark.createDataFrame(near, "doc_id bigint, text string")
+    assert [r.doc_id for r in nd.keep_one(near, 5).collect()] == [1]
+
+
 def test_parities_never_part_what_is_similar():
     """Bits that differ are at most the shingles that only one set has, at any size."""
     chance = np.random.default_rng(2)
