@@ -31,6 +31,7 @@ from garimpo.sinks.stages import (
     replace_stage,
 )
 from garimpo.sources import federal_debt, sanctions, state_debt
+from garimpo.sources.header_csv import Aliases, rejected_canonical
 from garimpo.sources.periods import latest_period_folder, latest_snapshot_files
 from garimpo.sources.registry import (
     SourceMissing,
@@ -112,21 +113,45 @@ def ingest_registry(
     return loaded
 
 
+def _write_rejected(
+    spark: SparkSession,
+    files: Mapping[str, Sequence[str]],
+    aliases: Aliases,
+    stage: str,
+    table: str,
+) -> dict[str, int]:
+    """Check header files and write their rejected lines to ``<table>_recusadas``.
+
+    The table is always written; it is counted if there are any, in all and by file.
+    """
+    every = [path for paths in files.values() for path in paths]
+    rejected = rejected_canonical(spark, every, aliases)
+    written = replace_stage(rejected, f"{stage}/{table}_recusadas")
+    by_file = {
+        f"{table}_recusadas {row.arquivo}": row["count"]
+        for row in written.groupBy("arquivo").count().orderBy("arquivo").collect()
+    }
+    return {f"{table}_recusadas": sum(by_file.values()), **by_file} if by_file else {}
+
+
 def ingest_federal_debt(
     spark: SparkSession, folders: Mapping[str, str], stage: str, params: Parameters
 ) -> dict[str, int]:
-    """Federal debt from ``{category: folder}`` to Parquet."""
+    """Federal debt from ``{category: folder}`` to Parquet, rejected lines beside it."""
     files = {name: list_files(spark, path, _HEADER_FILES) for name, path in folders.items()}
+    table = "divida_ativa_uniao"
+    rejected = _write_rejected(spark, files, fv.FEDERAL_DEBT_ALIASES, stage, table)
     rows = federal_debt.read(spark, files, params.uf)
-    return _write_keyed(rows, stage, "divida_ativa_uniao")
+    return _write_keyed(rows, stage, table) | rejected
 
 
 def ingest_sanctions(
     spark: SparkSession, landing: str, stage: str, as_of: dt.date
 ) -> dict[str, int]:
-    """Newest snapshot of each register to Parquet."""
+    """Newest snapshot of each register to Parquet, rejected lines beside it."""
     files = latest_snapshot_files(spark, landing, as_of)
-    return _write_keyed(sanctions.read(spark, files), stage, "sancoes")
+    rejected = _write_rejected(spark, files, fv.SANCTION_ALIASES, stage, "sancoes")
+    return _write_keyed(sanctions.read(spark, files), stage, "sancoes") | rejected
 
 
 def ingest_state_debt(

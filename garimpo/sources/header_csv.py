@@ -10,7 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.sources.registry import CSV_OPTIONS, read_positional_csv
+from garimpo.sources.registry import (
+    CSV_OPTIONS,
+    check_layout,
+    read_positional_csv,
+    rejected_lines,
+)
 
 Aliases = Mapping[str, Sequence[str]]
 
@@ -60,12 +65,16 @@ def read_header_csv(
 ) -> DataFrame:
     """Header CSV, every column a string. All ``paths`` must share one header.
 
-    Short lines are filled with NULL, lines that are too wide are left out.
+    Short lines are filled with NULL, lines that are too wide or whose quotes do not
+    balance are left out (see :func:`rejected_canonical`).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     names = names or header_names(spark, paths[0])
-    plain = [f"c{position}" for position in range(len(names))]
-    return read_positional_csv(spark, plain, paths, header=True).toDF(*names)
+    return read_positional_csv(spark, _plain(names), paths, header=True).toDF(*names)
+
+
+def _plain(names: Sequence[str]) -> list[str]:
+    return [f"c{position}" for position in range(len(names))]
 
 
 def to_canonical(rows: DataFrame, aliases: Aliases) -> DataFrame | None:
@@ -85,6 +94,15 @@ def to_canonical(rows: DataFrame, aliases: Aliases) -> DataFrame | None:
     return rows.select(*[pick(canonical) for canonical in aliases])
 
 
+def _by_header(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header. Only the header line of each file is looked at."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in files:
+        if names := tuple(header_names(spark, path)):
+            found.setdefault(names, []).append(path)
+    return found
+
+
 def read_canonical(
     spark: SparkSession, files: Sequence[str], aliases: Aliases
 ) -> DataFrame | None:
@@ -92,13 +110,27 @@ def read_canonical(
 
     Only the header line of each file is looked at while planning.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in files:
-        if names := tuple(header_names(spark, path)):
-            by_header.setdefault(names, []).append(path)
     parts = [
         part
-        for names, paths in by_header.items()
+        for names, paths in _by_header(spark, files).items()
         if (part := to_canonical(read_header_csv(spark, paths, names), aliases)) is not None
     ]
     return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def rejected_canonical(
+    spark: SparkSession, files: Sequence[str], aliases: Aliases, check: bool = True
+) -> DataFrame:
+    """Lines left out by :func:`read_canonical`: file, width and raw text.
+
+    Files that are skipped for want of a company id are skipped here too. With ``check``,
+    a file most of whose lines are not as wide as its header raises ``LayoutMismatch``.
+    """
+    rejected = spark.createDataFrame([], "arquivo string, largura int, linha string")
+    for names, paths in _by_header(spark, files).items():
+        if resolve_names(names, aliases)["cpf_cnpj"] is None:
+            continue
+        if check:
+            check_layout(spark, names, paths)
+        rejected = rejected.unionByName(rejected_lines(spark, _plain(names), paths, header=True))
+    return rejected

@@ -97,8 +97,15 @@ def odd_width(a_column: str) -> Column:
     )
 
 
-def _too_wide(columns: Sequence[str]) -> Column:
-    return odd_width(columns[0]) > len(columns)
+def _refused(columns: Sequence[str]) -> Column:
+    """Is a line too wide, or of an odd width with quotes that do not balance?
+
+    A record with a line break inside quotes stands on lines of the second kind.
+    """
+    line = F.col(_RAW_LINE)
+    quotes = F.length(line) - F.length(F.replace(line, F.lit(fv.CSV_QUOTE), F.lit("")))
+    unbalanced = F.coalesce(quotes % 2 == 1, F.lit(False))
+    return (odd_width(columns[0]) > len(columns)) | unbalanced
 
 
 def read_positional_csv(
@@ -111,11 +118,11 @@ def read_positional_csv(
 ) -> DataFrame:
     """CSV with declared columns, all strings; a header line is skipped if there is one.
 
-    Short lines are filled with NULL, lines that are too wide are left out (see
-    :func:`rejected_lines`). ``uf`` keeps one state while scanning, for layouts
+    Short lines are filled with NULL, lines that are too wide or whose quotes do not
+    balance are left out (see :func:`rejected_lines`). ``uf`` keeps one state while scanning, for layouts
     that have that column.
     """
-    rows = read_with_raw_line(spark, columns, paths, glob, header).where(~_too_wide(columns))
+    rows = read_with_raw_line(spark, columns, paths, glob, header).where(~_refused(columns))
     if uf is not None and "uf" in columns:
         rows = rows.where(F.col("uf") == uf)
     return rows.select(*columns)
@@ -126,12 +133,13 @@ def rejected_lines(
     columns: Sequence[str],
     paths: str | Sequence[str],
     glob: str | None = None,
+    header: bool = False,
 ) -> DataFrame:
     """Lines left out by :func:`read_positional_csv`: file, width and raw text."""
     return (
-        read_with_raw_line(spark, columns, paths, glob)
+        read_with_raw_line(spark, columns, paths, glob, header)
         .withColumn("arquivo", F.input_file_name())
-        .where(_too_wide(columns))
+        .where(_refused(columns))
         .select(
             "arquivo",
             line_width(F.col(_RAW_LINE)).alias("largura"),

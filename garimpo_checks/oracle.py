@@ -467,6 +467,19 @@ _QUERIES: dict[str, str] = {
     "scan_slices": _ESTABLISHMENTS_READ_BACK,
     "scan_filter_uf": f"{_ESTABLISHMENTS_READ_BACK} WHERE uf = '{STATE}'",
     "scan_header_csv": "SELECT * FROM socios",
+    "rejected_lines": "SELECT CAST(4 AS INTEGER) AS largura, cnpj_basico || ';A;B;1,00' AS linha "
+    "FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 = 0",
+    "scan_quoted_break": """SELECT 'carregada' AS destino, cnpj_basico || ';A B;1,00' AS linha
+        FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 <> 0
+        UNION ALL SELECT 'recusada', cnpj_basico || ';"A'
+        FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 = 0
+        UNION ALL SELECT 'recusada', 'B";1,00'
+        FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 = 0""",
+    "layout_mismatch": """SELECT '3 columns declared, lines have [3, 4], most of them 4' AS motivo,
+        count(*) AS count FROM (
+            SELECT right(cnpj_basico, 1) FROM empresas GROUP BY 1
+            HAVING count_if(CAST(cnpj_basico AS BIGINT) % 7 >= 2)
+                >= 1 + count_if(CAST(cnpj_basico AS BIGINT) % 7 < 2))""",
     "header_aliases": f"SELECT {_DEBT_COLUMNS} FROM divida_uniao",
     "sanction_files": "SELECT * FROM sancoes_limpas",
     "state_debt_cells": "SELECT * FROM divida_mg_bruta",

@@ -175,6 +175,53 @@ def scan_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_csv.read_header_csv(spark, path)
 
 
+def _write_lines(rows: DataFrame, line: Column, header: str, path: str) -> None:
+    """Header files of raw lines, one for each last digit of the company."""
+    lines = rows.groupBy(F.right("cnpj_basico", F.lit(1)).alias("final")).agg(
+        F.concat_ws("\n", F.lit(header), F.array_sort(F.collect_list(line))).alias("value")
+    )
+    lines.write.partitionBy("final").text(path)
+
+
+def _lines_of_companies(spark: SparkSession, sf_dir: str, line: str) -> str:
+    path = work_folder(spark, "linhas")
+    _write_lines(role(spark, sf_dir, "empresas"), F.expr(line), "CPF_CNPJ;NOME;VALOR", path)
+    return path
+
+
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debts of a header file, some with a bare delimiter in the name."""
+    line = "concat(cnpj_basico, if(cnpj_basico % 7 = 0, ';A;B;1,00', ';A B;1,00'))"
+    path = _lines_of_companies(spark, sf_dir, line)
+    files = registry.list_files(spark, path, "*.txt")
+    found = header_csv.rejected_canonical(spark, files, fv.FEDERAL_DEBT_ALIASES)
+    return found.select("largura", "linha")
+
+
+def scan_quoted_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, some with a line break inside quotes: both of their lines are rejected."""
+    line = """concat(cnpj_basico, if(cnpj_basico % 7 = 0, ';"A\\nB";1,00', ';A B;1,00'))"""
+    path = _lines_of_companies(spark, sf_dir, line)
+    files = registry.list_files(spark, path, "*.txt")
+    loaded = header_csv.read_header_csv(spark, files)
+    rejected = header_csv.rejected_canonical(spark, files, fv.FEDERAL_DEBT_ALIASES)
+    lines = loaded.select(F.lit("carregada").alias("destino"), F.concat_ws(";", *loaded.columns).alias("linha"))
+    return lines.unionAll(rejected.select(F.lit("recusada"), "linha"))
+
+
+def layout_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header file whose later lines have drifted is refused, with its widths."""
+    line = "concat(cnpj_basico, if(cnpj_basico % 7 < 2, ';A B;1,00', ';A;B;1,00'))"
+    path = _lines_of_companies(spark, sf_dir, line)
+    refused = []
+    for name in registry.list_files(spark, path, "*.txt"):
+        try:
+            header_csv.rejected_canonical(spark, [name], fv.FEDERAL_DEBT_ALIASES)
+        except registry.LayoutMismatch as error:
+            refused.append((str(error).split(": ", 1)[1],))
+    return spark.createDataFrame(refused, "motivo string").groupBy("motivo").count()
+
+
 def _write_federal_files(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     rows = role(spark, sf_dir, "divida_bruta")
     canonical = list(fv.FEDERAL_DEBT_ALIASES)
@@ -611,6 +658,9 @@ QUERIES: dict[str, Query] = {
     "scan_slices": scan_slices,
     "scan_filter_uf": scan_filter_uf,
     "scan_header_csv": scan_header_csv,
+    "rejected_lines": rejected_lines,
+    "scan_quoted_break": scan_quoted_break,
+    "layout_mismatch": layout_mismatch,
     "header_aliases": header_aliases,
     "sanction_files": sanction_files,
     "state_debt_cells": state_debt_cells,
