@@ -18,6 +18,12 @@ that share their last two context bytes form a group, in which the trees below d
 built. The trees above are sums over groups, 255 choices times 256 contexts at most. Scores
 flow back the same way: n-grams to shards, words to blocks, where documents are scored. The
 number of shards follows the size of the corpus, so no task sees more of it when it grows.
+
+``score_running``, which the query uses, keeps no such border: the context of a byte is the
+RUNNING_DEPTH bytes before it in the text, whatever words they belong to. Each block's
+n-grams are summed before the shuffle, dealt into parts by their last two context bytes, and
+their scores go back to the blocks, where a text is the sum over its n-grams. The base is the
+same as that of ``score``.
 """
 
 from __future__ import annotations
@@ -40,6 +46,11 @@ from garimpo.operators.joins import join_to_unique
 
 #: Bytes of context, at most 7: with the byte itself an n-gram must fit into a long.
 DEPTH = 5
+#: The same where contexts run across words.
+RUNNING_DEPTH = 6
+#: Text bytes whose n-grams are worked out at once, and of the corpus to one part of n-grams.
+STRETCH_BYTES = 4 << 20
+PART_BYTES = 48 << 20
 #: Text bytes of a block of documents, and of the corpus to one shard of words, about.
 BLOCK_BYTES = 24 << 20
 SHARD_BYTES = 96 << 20
@@ -408,9 +419,257 @@ def _scores_of_docs(train_tokens: int, known_words: int, ends: int, end_score: f
     return work
 
 
+# Running text -------------------------------------------------------------------------
+
+_GRAM_BLOCKS = "block bigint, part int, grams binary, counts binary"
+_SCORED = "block bigint, kind string, keys binary, counts binary, scores binary"
+
+
+def _docs(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
+def _stretches(docs: pa.Table) -> Iterator[tuple[int, list[bytes]]]:
+    """Whole texts with their end marks, some at once, and the place of the first."""
+    first, texts, size = 0, [], 0
+    for place, text in enumerate(docs["text"]):
+        plain = text.as_py()
+        texts.append(plain + b" " + _END if plain else _END)
+        size += len(plain)
+        if size >= STRETCH_BYTES:
+            yield first, texts
+            first, texts, size = place + 1, [], 0
+    if texts:
+        yield first, texts
+
+
+def _packed_grams(grams: np.ndarray) -> bytes:
+    return _squeezed(np.diff(grams, prepend=0).tobytes())
+
+
+def _unpacked_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.int64))
+
+
+def _grams_of_block(depth: int, parts: int):
+    def work(block: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for number, data in zip(block["block"].to_pylist(), block["docs"].to_pylist()):
+            docs = _docs(data)
+            trained = ~np.array(docs["held_out"].to_pylist(), bool)
+            grams, counts = np.zeros(0, np.int64), np.zeros(0)
+            for first, texts in _stretches(docs):
+                some, owner = byte_grams(texts, depth)
+                some, n = _summed(some, trained[first + owner].astype(float))
+                grams, counts = _summed(np.concatenate([grams, some]), np.concatenate([counts, n]))
+            part = ((grams >> 8) & 0xFFFF) * 40503 % 65521 % parts
+            for p in range(parts):
+                at = part == p
+                n = counts[at].astype(np.int64)
+                rows.append((number, p, _packed_grams(grams[at]), _squeezed(n.tobytes())))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table(
+            [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)],
+            names=["block", "part", "grams", "counts"],
+        )
+
+    return work
+
+
+def _pairs_of_part(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """N-grams and counts over all blocks, by the last two bytes of the context."""
+    lists = [_unpacked_grams(data) for data in part["grams"].to_pylist()]
+    counts = [_numbers(data, np.int64) for data in part["counts"].to_pylist()]
+    grams, n = _summed(np.concatenate(lists), np.concatenate(counts))
+    pair = (grams >> 8) & 0xFFFF
+    order = np.argsort(pair, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
+        if len(at):
+            yield grams[at], n[at]
+
+
+def _second_level_of_part(depth: int):
+    def work(part: pa.Table) -> pa.Table:
+        nodes = [Subtree(grams, n, depth).nodes[2] for grams, n in _pairs_of_part(part)]
+        keys, zeros, ones, _, log_all = (
+            [np.concatenate(column) for column in zip(*nodes)] if nodes else [np.zeros(0)] * 5
+        )
+        keys, zeros, ones, log_all = _summed(keys.astype(np.int64) & 0xFFFF, zeros, ones, log_all)
+        return pa.table(
+            {"context": keys >> 8, "tree": keys & 255, "zeros": zeros, "ones": ones,
+             "log_all": log_all}
+        )
+
+    return work
+
+
+def _scores_of_part(depth: int, mixed: np.ndarray, rest: np.ndarray):
+    def work(part: pa.Table) -> pa.Table:
+        known, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for grams, n in _pairs_of_part(part):
+            nearest = int(grams[0] >> 8) & 255
+            tree = Subtree(grams, n, depth)
+            known.append(grams)
+            found = np.empty(len(grams))
+            for start in range(0, len(grams), WORDS_AT_ONCE):
+                some = grams[start : start + WORDS_AT_ONCE]
+                found[start : start + len(some)] = tree.log_probabilities(
+                    some, mixed[nearest], rest[nearest]
+                )
+            scores.append(found)
+        every, log10 = np.concatenate(known), np.concatenate(scores)
+        order = np.argsort(every)
+        every, log10 = every[order], log10[order]
+        back = [
+            _squeezed(log10[np.searchsorted(every, _unpacked_grams(data))].tobytes())
+            for data in part["grams"].to_pylist()
+        ]
+        rows = part.num_rows
+        return pa.table(
+            {
+                "block": part["block"], "kind": ["gram"] * rows, "keys": part["grams"],
+                "counts": pa.nulls(rows, pa.binary()), "scores": pa.array(back, pa.binary()),
+            }
+        )
+
+    return work
+
+
+def _counts_of_words(shard: pa.Table) -> pa.Table:
+    """Counts over all blocks of each block's words; those of the shard ride on its first."""
+    lists, place, total = _vocabulary(shard)
+    back = []
+    for part in lists:
+        at = np.fromiter(map(place.__getitem__, part), np.int64, len(part))
+        back.append(_squeezed(total[at].tobytes()))
+    more = [0] * (len(lists) - 1)
+    return pa.table(
+        {
+            "block": shard["block"], "keys": shard["words"],
+            "counts": pa.array(back, pa.binary()),
+            "n": pa.array([int(total.sum()), *more], pa.int64()),
+            "known": pa.array([int((total > 0).sum()), *more], pa.int64()),
+        }
+    )
+
+
+def _running_scores_of_docs(depth: int, train_tokens: int, known_words: int, ends: int):
+    scale = train_tokens + BASE_ADD * (known_words + 1)
+
+    def work(block: pa.Table, scored: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {_END: 0}
+        counts = [np.array([ends])]
+        known, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for row in scored.to_pylist():
+            if row["kind"] == "gram":
+                known.append(_unpacked_grams(row["keys"]))
+                scores.append(_numbers(row["scores"], np.float64))
+            else:
+                for word in _list(row["keys"]):
+                    place[word] = len(place)
+                counts.append(_numbers(row["counts"], np.int64))
+        grams, log10 = np.concatenate(known), np.concatenate(scores)
+        order = np.argsort(grams)
+        grams, log10 = grams[order], log10[order]
+        n = np.concatenate(counts)
+        base, seen = np.log10((n + BASE_ADD) / scale), n > 0
+        outs = []
+        for data in block["docs"].to_pylist():
+            docs = _docs(data)
+            rows, sums = [], []
+            for _, texts in _stretches(docs):
+                some, owner = byte_grams(texts, depth)
+                sums.append(np.bincount(owner, log10[np.searchsorted(grams, some)], len(texts)))
+                for text in texts:
+                    found = text.split()
+                    found.append(_END)
+                    at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+                    rows.append((len(at), int(seen[at].sum()), base[at].sum()))
+            tokens, known_tokens, base_scores = zip(*rows)
+            outs.append(
+                pa.table(
+                    {
+                        "doc_id": docs["doc_id"],
+                        "held_out": docs["held_out"],
+                        "n_tokens": pa.array(tokens, pa.int64()),
+                        "n_known": pa.array(known_tokens, pa.int64()),
+                        "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()),
+                        "base_score": pa.array(base_scores, pa.float64()),
+                        "score": pa.array(np.concatenate(sums), pa.float64()),
+                    }
+                )
+            )
+        return pa.concat_tables(outs)
+
+    return work
+
+
 # On tables --------------------------------------------------------------------------
 
 
+def _blocks(docs: DataFrame, text: str):
+    """Stored blocks with their words, the size of the corpus, the type of ids."""
+    held_out = F.coalesce(doc_crc() % 10 == 0, F.lit(True))
+    read = docs.select("doc_id", held_out.alias("held_out"), as_bytes(text).alias("_bytes"))
+    size = read.agg(
+        F.coalesce(F.sum(F.octet_length("_bytes") + 64), F.lit(0)).alias("bytes"),
+        F.count_if(~F.col("held_out")).alias("ends"),
+    ).first()
+    shards = max(1, -(-size.bytes // SHARD_BYTES))
+    schema = read.schema["doc_id"].dataType
+    blocks = read.mapInArrow(_make_blocks(to_arrow_type(schema), shards), _BLOCKS)
+    return stored(blocks, "blocks"), size, schema
+
+
+def score_running(docs: DataFrame, depth: int = RUNNING_DEPTH, text: str = "text") -> DataFrame:
+    """The columns of :func:`score`, contexts running across the words of a text."""
+    blocks, size, schema = _blocks(docs, text)
+    of_docs = blocks.where("shard < 0").select("block", "docs")
+    of_words = blocks.where("shard >= 0").select("block", "shard", "words", "counts")
+    counted = stored(
+        of_words.groupBy("shard").applyInArrow(
+            _counts_of_words, "block bigint, keys binary, counts binary, n bigint, known bigint"
+        ),
+        "word-counts",
+    )
+    totals = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")
+    ).first()
+    parts = max(1, -(-size.bytes // PART_BYTES))
+    grams = stored(
+        of_docs.groupBy("block").applyInArrow(_grams_of_block(depth, parts), _GRAM_BLOCKS),
+        "gram-blocks",
+    )
+    top = (
+        grams.groupBy("part")
+        .applyInArrow(
+            _second_level_of_part(depth),
+            "context bigint, tree bigint, zeros double, ones double, log_all double",
+        )
+        .groupBy("context", "tree")
+        .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"),
+             F.sum("log_all").alias("log_all"))
+        .orderBy("context", "tree")
+        .toPandas()
+    )
+    mixed, rest = top_of_trees(*(top[name].to_numpy() for name in top.columns))
+    of_grams = grams.groupBy("part").applyInArrow(_scores_of_part(depth, mixed, rest), _SCORED)
+    base = counted.select(
+        "block", F.lit("word").alias("kind"), "keys", "counts",
+        F.lit(None).cast("binary").alias("scores"),
+    )
+    return (
+        of_docs.groupBy("block")
+        .cogroup(of_grams.unionAll(base).groupBy("block"))
+        .applyInArrow(
+            _running_scores_of_docs(
+                depth, totals.n + size.ends, totals.known + int(size.ends > 0), size.ends
+            ),
+            f"doc_id {schema.simpleString()}, held_out boolean, n_tokens bigint, "
+            "n_known bigint, train_tokens bigint, base_score double, score double",
+        )
+    )
+
 def score(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
     """Both models' log10 probability of every text, learnt from those not held out.
 
@@ -420,15 +679,7 @@ def score(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
     an empty one. Code length per byte is ``-score / log10(2)`` over the bytes of the words
     and one more for each token.
     """
-    held_out = F.coalesce(doc_crc() % 10 == 0, F.lit(True))
-    read = docs.select("doc_id", held_out.alias("held_out"), as_bytes(text).alias("_bytes"))
-    size = read.agg(
-        F.coalesce(F.sum(F.octet_length("_bytes") + 64), F.lit(0)).alias("bytes"),
-        F.count_if(~F.col("held_out")).alias("ends"),
-    ).first()
-    shards = max(1, -(-size.bytes // SHARD_BYTES))
-    schema = read.schema["doc_id"].dataType
-    blocks = stored(read.mapInArrow(_make_blocks(to_arrow_type(schema), shards), _BLOCKS), "blocks")
+    blocks, size, schema = _blocks(docs, text)
     of_words = blocks.where("shard >= 0").select("block", "shard", "words", "counts")
     of_shards = stored(
         of_words.groupBy("shard").applyInArrow(

@@ -73,7 +73,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_tree.score(table(spark, sf_dir, "documents"))
+    return context_tree.score_running(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

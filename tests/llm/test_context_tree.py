@@ -115,6 +115,39 @@ def test_scores(spark, documents, depth, monkeypatch):
         assert _values(row) == pytest.approx(wanted[places[row.doc_id]], rel=1e-9)
 
 
+def test_contexts_run_across_words(spark, documents, monkeypatch):
+    """Against the plain recursion over whole texts; an order of words is worth its bytes."""
+    monkeypatch.setattr(ct, "PART_BYTES", 4000)
+    monkeypatch.setattr(ct, "STRETCH_BYTES", 700)
+    texts = [(i, t[:200]) for i, t in documents[:30]] + [(900, "Ünï 日本 x"), (901, "")]
+    texts += [(2000 + i, "one two three four") for i in range(20)] + [(None, "four two three one")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    whole = {n: b" ".join([*(t or "").encode().lower().split(), b"\n"]) for n, t in texts}
+    train = Counter(t for n, t in whole.items() if n is not None and zlib.crc32(str(n).encode()) % 10)
+    rows = ct.score_running(frame, 6).collect()
+    assert len(rows) == len(texts)
+    wanted, bases = _plain_scores(train, set(whole.values()), 6), _plain(texts, 2)
+    places = {number: key for key, (number, _) in enumerate(texts)}
+    for row in rows:
+        assert row.score == pytest.approx(wanted[whole[row.doc_id]], rel=1e-7)
+        assert _values(row)[:5] == pytest.approx(bases[places[row.doc_id]][:5], rel=1e-9)
+    by_id = {row.doc_id: row.score for row in rows}
+    assert by_id[2000] > by_id[None] + 0.5
+    monkeypatch.setattr(queries, "table", lambda *_: frame)
+    query = {r.doc_id: r.score for r in queries.op9_context_tree(spark, "").collect()}
+    assert query == pytest.approx(by_id, rel=1e-9)
+
+
+def test_running_ugly_rows(spark, ugly, empty):
+    rows = ct.score_running(ugly).collect()
+    assert len(rows) == ugly.count()
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (1, 2, 3)}) == 1
+    assert ct.score_running(empty).count() == 0
+    only_held_out = spark.createDataFrame([(None, "some text")], "doc_id bigint, text string")
+    assert [r.train_tokens for r in ct.score_running(only_held_out).collect()] == [0]
+
+
 def test_query_base(spark, documents):
     wanted = _plain([(n, t) for n, t in documents], 2)
     rows = {r.doc_id: r for r in queries.op9_context_tree(spark, SF).collect()}
