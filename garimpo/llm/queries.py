@@ -15,6 +15,7 @@ from garimpo.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    token_alignment,
     topk_search,
     url_filter,
 )
@@ -81,6 +82,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, word_vocabulary(), with_ids=False)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        with_groups=False,
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -92,6 +102,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_context_tree": op9_context_tree,
     "op10_bpe": op10_bpe,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {}
