@@ -28,8 +28,9 @@ import functools
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,10 @@ from garimpo.llm.common import ROWS_AT_ONCE, stored
 
 #: Characters of text after which a block is closed; a longer text is a block of its own.
 BLOCK_CHARS = 32_000_000
-#: Chunks that a Python worker keeps, and the length up to which it keeps them.
-KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
+#: Chunks beyond which a Python worker starts a new table of them at the next block.
+KEPT_CHUNKS = 800_000
 #: Characters of chunks that are tokenized at once.
-AT_ONCE = 200_000
+AT_ONCE = 100_000
 
 # Where a text may be cut: a single blank or line break between two other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -95,6 +96,7 @@ class Tokenizers:
         ]
         self.length_b = np.array([len(token) for token in self.bytes_b], np.int64)
         self.size_b = size
+        self._names: np.ndarray | None = None
         #: Whether texts may be cut at all; else each is one chunk.
         self.cuts = self._pattern_cuts(path_a) and not any(
             "\n" in piece or _PIECE_BLANK in piece.lstrip(_PIECE_BLANK) for piece in pieces
@@ -112,14 +114,23 @@ class Tokenizers:
             and not before.get("add_prefix_space")
         )
 
+    def names_with_marks(self) -> np.ndarray:
+        """Every id in decimal with each of the four marks that may stand behind it."""
+        if self._names is None:
+            every = range(max(len(self.length_a), self.size_b))
+            self._names = np.array([[f"{i}{mark}" for mark in ",|;\n"] for i in every], object)
+        return self._names
+
     def align(self, text: str) -> Aligned | None:
         """Tokens of ``text``, which starts with a blank; None if either loses bytes."""
         raw = text.encode()
         encoding = self.a.encode(text, add_special_tokens=False)
         a_ids = np.array(encoding.ids, np.int64)
-        offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-        found = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
-        b_ids, b_spans = np.array(found, np.int64).reshape(-1, 2).T
+        offsets = np.fromiter(chain.from_iterable(encoding.offsets), np.int64).reshape(-1, 2)
+        spans = self.b.encode(text[1:], return_type="proto").pieces
+        b_ids, b_spans = np.fromiter(
+            chain.from_iterable([(p.id, p.end) for p in spans]), np.int64
+        ).reshape(-1, 2).T
         if b"".join(map(self.bytes_a.__getitem__, a_ids)) != raw:
             return None
         if b"".join(map(self.bytes_b.__getitem__, b_ids)) != raw:
@@ -160,6 +171,17 @@ def load(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
+_KEPT: dict[tuple[str, str], Chunks] = {}
+
+
+def kept_chunks(path_a: str, path_b: str) -> Chunks:
+    """The worker's table of chunks, which outlives a task; a full one starts anew."""
+    chunks = _KEPT.get((path_a, path_b))
+    if chunks is None or len(chunks.number) > KEPT_CHUNKS:
+        chunks = _KEPT[path_a, path_b] = Chunks()
+    return chunks
+
+
 def split_chunks(text: str, cuts: bool = True) -> list[str]:
     """Chunks of a text as keys: the chunk without its blank in front, unless that would
     be taken for another chunk. :func:`chunk_text` undoes it."""
@@ -178,25 +200,36 @@ def chunk_text(key: str) -> str:
     return key if key[0] in " \n" else " " + key
 
 
-@dataclass
 class Chunks:
-    """What is known of chunks: counts, groups as text, id pairs of links."""
-
-    number: dict[str, int] = field(default_factory=dict)
-    counts: list[tuple[int, int, int]] = field(default_factory=list)
-    groups: list[bytes] = field(default_factory=list)
-    pairs: list[np.ndarray] = field(default_factory=list)
-    whole: list[bool] = field(default_factory=list)
-
-    def add(self, key: str, counts, groups: bytes, pairs: np.ndarray, whole: bool) -> None:
-        self.number[key] = len(self.counts)
-        self.counts.append(counts)
-        self.groups.append(groups)
-        self.pairs.append(pairs)
-        self.whole.append(whole)
+    """What is known of chunks by their numbers: counts, groups as text, pairs of links."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        #: n_a, n_b, n_groups, pairs; -1 pairs where a tokenizer loses bytes.
+        self.counts = np.zeros((0, 4), np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self._new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: list[str], counts: np.ndarray, groups: list[str], pairs: np.ndarray):
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+        self.groups.extend(groups)
+        self._new.append((counts, pairs))
+
+    def settle(self) -> None:
+        """Lay out what was added behind what was there."""
+        if self._new:
+            counts, pairs = zip(*self._new)
+            self._new = []
+            self.counts = np.concatenate([self.counts, *counts])
+            self.pairs = np.concatenate([self.pairs, *pairs])
+            sizes = np.maximum(self.counts[:, 3], 0)
+            self.starts = np.cumsum(sizes) - sizes
 
 
 _NO_PAIRS = np.zeros(0, np.int64)
+_LOST = np.array([[0, 0, 0, -1]])
 
 
 def _learn(chunks: Chunks, tokenizers: Tokenizers, keys: list[str]) -> None:
@@ -217,6 +250,7 @@ def _learn(chunks: Chunks, tokenizers: Tokenizers, keys: list[str]) -> None:
             batch, size = [], 0
     if batch:
         _learn_joined(chunks, tokenizers, batch)
+    chunks.settle()
 
 
 def _learn_joined(chunks: Chunks, tokenizers: Tokenizers, keys: list[str]) -> None:
@@ -226,7 +260,7 @@ def _learn_joined(chunks: Chunks, tokenizers: Tokenizers, keys: list[str]) -> No
     got = tokenizers.align(lead + "".join(texts))
     if got is None:
         if len(keys) == 1:
-            chunks.add(keys[0], (0, 0, 0), b"", _NO_PAIRS, False)
+            chunks.add(keys, _LOST, [""], _NO_PAIRS)
             return
         half = len(keys) // 2
         _learn_joined(chunks, tokenizers, keys[:half])
@@ -234,31 +268,41 @@ def _learn_joined(chunks: Chunks, tokenizers: Tokenizers, keys: list[str]) -> No
         return
 
     edges = np.cumsum([len(lead), *(len(text.encode()) for text in texts)])
-    ends = np.union1d(got.a_ends, got.b_ends)
+    ends = np.sort(np.concatenate([got.a_ends, got.b_ends]), kind="stable")
+    twice = ends[1:] == ends[:-1]
+    shared = ends[1:][twice]
+    ends = ends[np.concatenate([[True], ~twice])]
     of_a = np.searchsorted(got.a_ends, ends)
     of_b = np.searchsorted(got.b_ends, ends)
     pairs = got.a_ids[of_a] * tokenizers.size_b + got.b_ids[of_b]
-    shared = np.intersect1d(got.a_ends, got.b_ends)
-    link_at = np.searchsorted(ends, edges, "right")
-    cut_at = np.searchsorted(shared, edges, "right")
-    a_at = np.searchsorted(got.a_ends, shared, "right").tolist()
-    b_at = np.searchsorted(got.b_ends, shared, "right").tolist()
-    a_names = list(map(str, got.a_ids.tolist()))
-    b_names = list(map(str, got.b_ids.tolist()))
-    link_at, cut_at = link_at.tolist(), cut_at.tolist()
-    for place, key in enumerate(keys):
-        first, last = cut_at[place], cut_at[place + 1]
-        a = a_at[first - 1] if first else 0
-        b = b_at[first - 1] if first else 0
-        n_a, n_b = a_at[last - 1] - a, b_at[last - 1] - b
-        parts = []
-        for cut in range(first, last):
-            parts.append(",".join(a_names[a:a_at[cut]]) + "|" + ",".join(b_names[b:b_at[cut]]))
-            a, b = a_at[cut], b_at[cut]
-        chunks.add(
-            key, (n_a, n_b, last - first), ";".join(parts).encode(),
-            pairs[link_at[place]:link_at[place + 1]].copy(), True,
-        )
+    upto = [np.searchsorted(x, edges, "right") for x in (got.a_ends, got.b_ends, shared, ends)]
+    counts = np.diff(np.stack(upto, 1), axis=0)
+    groups = _group_texts(tokenizers, got, shared, edges)
+    chunks.add(keys, counts, groups, pairs[upto[3][0] : upto[3][-1]])
+
+
+def _group_texts(
+    tokenizers: Tokenizers, got: Aligned, shared: np.ndarray, edges: np.ndarray
+) -> list[str]:
+    """``a1,a2|b1;a3|b2`` of every chunk: tokens by group, A before B, each with the mark
+    that stands behind it."""
+    ends = np.concatenate([got.a_ends, got.b_ends])
+    side = np.repeat([0, 1], [len(got.a_ends), len(got.b_ends)])
+    names = np.concatenate([got.a_ids, got.b_ids])
+    group = np.searchsorted(shared, ends)
+    order = np.lexsort((ends, side, group))
+    order = order[ends[order] > edges[0]]
+    group, side = group[order], side[order]
+    chunk = np.searchsorted(edges, ends[order])
+    mark = np.zeros(len(order), np.int64)  # , | ; and the end of a chunk
+    mark[:-1] = np.where(
+        chunk[1:] != chunk[:-1], 3,
+        np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(np.int64)),
+    )
+    marked = tokenizers.names_with_marks()[names[order], mark]
+    if len(marked):
+        marked[-1] = marked[-1][:-1]
+    return "".join(marked.tolist()).split("\n")
 
 
 _RESULT = (
@@ -290,51 +334,69 @@ class _Block:
 
     def __init__(self, tokenizers: Tokenizers, chunks: Chunks, with_groups: bool):
         self.tokenizers, self.chunks, self.with_groups = tokenizers, chunks, with_groups
-        self.local: dict[int, int] = {}
-        self.used: list[int] = []
+        #: Numbers of the chunks used here, how often, and the place of each among them.
+        self.used = np.zeros(0, np.int64)
         self.times = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int64)
         self.chars = 0
 
     def documents(self, texts: list[str]) -> dict[str, list]:
-        known = self.chunks.number
+        chunks = self.chunks
+        known = chunks.number
         split = [split_chunks(text, self.tokenizers.cuts) if text else [] for text in texts]
-        new = dict.fromkeys(key for keys in split for key in keys if key not in known)
-        _learn(self.chunks, self.tokenizers, list(new))
-        out: dict[str, list] = {name: [] for name in (*_RESULT.names, "chunks")}
+        self.chars += sum(map(len, texts))
+        each = dict.fromkeys(chain.from_iterable(split))
+        _learn(chunks, self.tokenizers, [key for key in each if key not in known])
+
+        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
+        ends = np.cumsum([len(keys) for keys in split])
+        starts = ends - np.array([len(keys) for keys in split])
+        counts = chunks.counts[numbers]
+        lost = np.concatenate([[0], np.cumsum(counts[:, 3] < 0)])
+        whole = lost[ends] == lost[starts]
+        counts = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts, 0)])
+        counts = np.where(whole[:, None], counts[ends] - counts[starts], 0)
+        local = self._places(numbers[np.repeat(whole, ends - starts)])
+
+        n_a, n_b, n_groups, n_links = counts.T.tolist()
+        out: dict[str, list] = {
+            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links,
+            "groups_sha256": [], "chunks": [],
+        }
         if self.with_groups:
             out["groups"] = []
-        seen = []
-        for text, keys in zip(texts, split):
-            self.chars += len(text)
-            numbers = [known[key] for key in keys]
-            if not all([self.chunks.whole[i] for i in numbers]):
-                numbers = []
-            local = [self.local.setdefault(i, len(self.local)) for i in numbers]
-            place = np.array(local, np.uint32)
-            seen.append(place)
-            counts = np.array([self.chunks.counts[i] for i in numbers], np.int64)
-            n_a, n_b, n_groups = counts.reshape(-1, 3).sum(0).tolist()
-            groups = b";".join([self.chunks.groups[i] for i in numbers])
-            out["n_a"].append(n_a)
-            out["n_b"].append(n_b)
-            out["n_groups"].append(n_groups)
-            out["n_links"].append(n_a + n_b - n_groups)
-            out["groups_sha256"].append(sha256(groups).hexdigest() if numbers else "")
-            out["chunks"].append(_packed(place, "<u4"))
+        at = 0
+        numbers = numbers.tolist()
+        for start, end, good in zip(starts.tolist(), ends.tolist(), whole.tolist()):
+            size = end - start if good else 0
+            groups = ";".join(map(chunks.groups.__getitem__, numbers[start : start + size]))
+            out["groups_sha256"].append(sha256(groups.encode()).hexdigest() if size else "")
+            out["chunks"].append(_packed(local[at : at + size], "<u4"))
+            at += size
             if self.with_groups:
-                out["groups"].append(groups.decode())
-        self._count(seen)
+                out["groups"].append(groups)
         return out
 
-    def _count(self, seen: list[np.ndarray]) -> None:
-        more = np.bincount(np.concatenate(seen), minlength=len(self.local))
-        more[: len(self.times)] += self.times
-        self.times = more
+    def _places(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of chunks in this block, new ones behind the others; counts them too."""
+        more = np.full(len(self.chunks.number) - len(self.place), -1)
+        self.place = np.concatenate([self.place, more])
+        fresh = np.unique(numbers)
+        fresh = fresh[self.place[fresh] < 0]
+        self.place[fresh] = np.arange(len(self.used), len(self.used) + len(fresh))
+        self.used = np.concatenate([self.used, fresh])
+        local = self.place[numbers]
+        times = np.bincount(local, minlength=len(self.used))
+        times[: len(self.times)] += self.times
+        self.times = times
+        return local
 
     def row(self) -> dict[str, bytes]:
-        lists = [self.chunks.pairs[i] for i in self.local]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        every = np.concatenate([_NO_PAIRS, *lists])
+        chunks = self.chunks
+        sizes = chunks.counts[self.used, 3]
+        ends = np.cumsum(sizes)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        every = chunks.pairs[np.repeat(chunks.starts[self.used], sizes) + inside]
         pairs, places = np.unique(every, return_inverse=True)
         counts = np.bincount(places, np.repeat(self.times, sizes), len(pairs))
         return {
@@ -360,7 +422,7 @@ def _tokenized(
         schema = to_arrow_schema(out)
         tokenizers = load(path_a, path_b)
         task = TaskContext.get().partitionId()
-        chunks, block, number = Chunks(), None, 0
+        chunks, block, number = kept_chunks(path_a, path_b), None, 0
 
         def rows(columns: dict, length: int) -> pa.RecordBatch:
             columns["_block"] = pa.array([f"{task}-{number}"] * length)
@@ -386,8 +448,7 @@ def _tokenized(
                 if block.chars >= block_chars:
                     yield rows({name: [value] for name, value in block.row().items()}, 1)
                     block, number = None, number + 1
-                    if len(chunks.number) > KEPT_CHUNKS:
-                        chunks = Chunks()
+                    chunks = kept_chunks(path_a, path_b)
         if block is not None:
             yield rows({name: [value] for name, value in block.row().items()}, 1)
 
