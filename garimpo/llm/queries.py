@@ -12,6 +12,7 @@ from garimpo.llm import (
     context_tree,
     near_dedup,
     packing,
+    personal_data,
     quality_classifier,
     quality_rules,
     sharding,
@@ -91,6 +92,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"), with_texts=False)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -103,6 +108,7 @@ QUERIES = {
     "op9_context_tree": op9_context_tree,
     "op10_bpe": op10_bpe,
     "op11_token_alignment": op11_token_alignment,
+    "op12_personal_data": op12_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
