@@ -10,6 +10,7 @@ from garimpo.llm import (
     bpe,
     chat_tree,
     context_tree,
+    conversation_trie,
     near_dedup,
     packing,
     personal_data,
@@ -96,6 +97,10 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"), with_texts=False)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
@@ -109,6 +114,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_token_alignment": op11_token_alignment,
     "op12_personal_data": op12_personal_data,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {}
