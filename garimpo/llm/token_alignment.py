@@ -96,6 +96,8 @@ class Tokenizers:
         ]
         self.length_b = np.array([len(token) for token in self.bytes_b], np.int64)
         self.size_b = size
+        #: The least kind of whole number that holds a pair of ids.
+        self.pair_kind = np.min_scalar_type(-len(tokens_a) * size)
         self._names: np.ndarray | None = None
         #: Whether texts may be cut at all; else each is one chunk.
         self.cuts = self._pattern_cuts(path_a) and not any(
@@ -207,9 +209,9 @@ class Chunks:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         #: n_a, n_b, n_groups, pairs; -1 pairs where a tokenizer loses bytes.
-        self.counts = np.zeros((0, 4), np.int64)
+        self.counts = np.zeros((0, 4), np.int32)
         self.starts = np.zeros(0, np.int64)
-        self.pairs = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int32)
         self._new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: list[str], counts: np.ndarray, groups: list[str], pairs: np.ndarray):
@@ -222,13 +224,14 @@ class Chunks:
         if self._new:
             counts, pairs = zip(*self._new)
             self._new = []
-            self.counts = np.concatenate([self.counts, *counts])
-            self.pairs = np.concatenate([self.pairs, *pairs])
-            sizes = np.maximum(self.counts[:, 3], 0)
+            self.counts = np.concatenate([self.counts, *counts], dtype=np.int32)
+            kind = np.promote_types(self.pairs.dtype, np.result_type(*pairs))
+            self.pairs = np.concatenate([self.pairs, *pairs], dtype=kind)
+            sizes = np.maximum(self.counts[:, 3], 0).astype(np.int64)
             self.starts = np.cumsum(sizes) - sizes
 
 
-_NO_PAIRS = np.zeros(0, np.int64)
+_NO_PAIRS = np.zeros(0, np.int32)
 _LOST = np.array([[0, 0, 0, -1]])
 
 
@@ -274,7 +277,7 @@ def _learn_joined(chunks: Chunks, tokenizers: Tokenizers, keys: list[str]) -> No
     ends = ends[np.concatenate([[True], ~twice])]
     of_a = np.searchsorted(got.a_ends, ends)
     of_b = np.searchsorted(got.b_ends, ends)
-    pairs = got.a_ids[of_a] * tokenizers.size_b + got.b_ids[of_b]
+    pairs = (got.a_ids[of_a] * tokenizers.size_b + got.b_ids[of_b]).astype(tokenizers.pair_kind)
     upto = [np.searchsorted(x, edges, "right") for x in (got.a_ends, got.b_ends, shared, ends)]
     counts = np.diff(np.stack(upto, 1), axis=0)
     groups = _group_texts(tokenizers, got, shared, edges)
@@ -351,7 +354,7 @@ class _Block:
         numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
         ends = np.cumsum([len(keys) for keys in split])
         starts = ends - np.array([len(keys) for keys in split])
-        counts = chunks.counts[numbers]
+        counts = chunks.counts[numbers].astype(np.int64)
         lost = np.concatenate([[0], np.cumsum(counts[:, 3] < 0)])
         whole = lost[ends] == lost[starts]
         counts = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts, 0)])
@@ -393,7 +396,7 @@ class _Block:
 
     def row(self) -> dict[str, bytes]:
         chunks = self.chunks
-        sizes = chunks.counts[self.used, 3]
+        sizes = chunks.counts[self.used, 3].astype(np.int64)
         ends = np.cumsum(sizes)
         inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
         every = chunks.pairs[np.repeat(chunks.starts[self.used], sizes) + inside]
