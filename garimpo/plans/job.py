@@ -73,7 +73,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     steps = parser.add_subparsers(dest="step", required=True)
     load = steps.add_parser("ingest")
     load.add_argument("--landing", required=True)
-    load.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
+    load.add_argument("--as-of", type=dt.date.fromisoformat, required=True)
     load.add_argument("--source", action="append", choices=SOURCES)
     steps.add_parser("transform")
     steps.add_parser("summary")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from types import ModuleType
 
@@ -22,25 +22,25 @@ from garimpo.operators.search import ORDERINGS
 from garimpo.operators.universe import COLUMNS as UNIVERSE_COLUMNS
 from garimpo.operators.universe import LOOKUPS, base_rows, enrich, universe
 from garimpo.parameters import Parameters
+from garimpo.plans.load import CARRIED, Load, Shape, Source, load
+from garimpo.sinks import versions
 from garimpo.sinks.audit import require_unique
 from garimpo.sinks.export import default_target, write_sheet
-from garimpo.sinks.stages import (
-    read_stage,
-    replace_keyed_stage,
-    replace_ordered_stage,
-    replace_stage,
-)
+from garimpo.sinks.stages import ordered_writer, read_stage
 from garimpo.sources import federal_debt, sanctions, state_debt
-from garimpo.sources.header_csv import Aliases, rejected_canonical
+from garimpo.sources.header_csv import (
+    Aliases,
+    by_header,
+    plain_names,
+    resolve_names,
+    to_canonical,
+)
 from garimpo.sources.periods import latest_period_folder, latest_snapshot_files
+from garimpo.sources.records import SourceMissing
 from garimpo.sources.registry import (
-    SourceMissing,
-    check_layout,
     list_files,
-    read_table,
     slice_paths,
     string_schema,
-    rejected_lines,
     suffix_glob,
     suffix_globs,
 )
@@ -62,20 +62,49 @@ class Tables:
         return {name: self.registry[name] for name in LOOKUPS}
 
 
-def _write(
-    rows: DataFrame, stage: str, table: str, partition_by: Sequence[str] = ()
-) -> dict[str, int]:
-    """Write a table and return its number of rows by name.
+#: Registry tables that no result reads; a month without them is loaded all the same.
+UNREAD = ("paises",)
+
+AUDIT = "cargas"
+_AUDIT_SCHEMA = (
+    "tabela string, parte string, arquivo string, lidas long, carregadas long, recusadas long"
+)
+
+
+def load_audit(spark: SparkSession, stage: str) -> DataFrame:
+    """What was loaded: per table, part and file the lines read, the rows that the run asked
+    for and the lines that were rejected."""
+    if AUDIT not in versions.current(spark, stage):
+        return spark.createDataFrame([], _AUDIT_SCHEMA)
+    return read_stage(spark, f"{stage}/{AUDIT}", _AUDIT_SCHEMA)
 
-    Counted on what was written: Parquet footers hold the number, and a task that ran
-    twice does not count twice.
-    """
-    return {table: replace_stage(rows, f"{stage}/{table}", partition_by).count()}
 
+def _commit(spark: SparkSession, stage: str, loads: Mapping[str, Load]) -> None:
+    """Make loaded tables current together, with the account of what was loaded."""
+    rows = [(table, *line) for table, load in loads.items() for line in load.audit]
+    before = load_audit(spark, stage).where(~F.col("tabela").isin(*loads))
+    folder = versions.new_folder(AUDIT)
+    account = before.unionAll(spark.createDataFrame(rows, _AUDIT_SCHEMA))
+    account.coalesce(1).write.parquet(f"{stage}/{folder}")
+    tables = {AUDIT: versions.Version(folder)}
+    for load in loads.values():
+        tables |= load.versions
+    versions.commit(spark, stage, tables)
 
-def _write_keyed(rows: DataFrame, stage: str, table: str) -> dict[str, int]:
-    """The same for a table that dossiers look up by company."""
-    return {table: replace_keyed_stage(rows, f"{stage}/{table}", dossiers.KEY).count()}
+
+def _rejects(table: str, loaded: Load) -> dict[str, int]:
+    """Rejected lines of a table, in all and by file, if there are any."""
+    by_file = {f"{table}_recusadas {file}": n for _, file, _, _, n in loaded.audit if n}
+    return {f"{table}_recusadas": loaded.rejected, **by_file} if by_file else {}
+
+
+def _of_state(columns: Sequence[str], uf: str | None) -> Shape:
+    def shape(rows: DataFrame) -> DataFrame:
+        if uf is None or "uf" not in columns:
+            return rows
+        return rows.where((F.col("uf") == uf) | F.col("_recusada"))
+
+    return shape
 
 
 def ingest_registry(
@@ -83,66 +112,89 @@ def ingest_registry(
 ) -> dict[str, int]:
     """Registry of the newest month to Parquet, one state only where ``uf`` is known.
 
-    A load of the whole country is laid out by state, so that a later run for one
-    state reads that state only. Every line of every file is held against the declared
-    layout before a table is written; lines too wide for it go to ``<table>_recusadas``
-    and are counted like the rows of a table, so none is left out unseen.
+    All files are looked for before the first table is written, and all tables become
+    current together. A load of the whole country is laid out by state, so that a later run
+    for one state reads that state only. Lines that do not fit the layout go to
+    ``<table>_recusadas`` and are counted like the rows of a table.
     """
     root = latest_period_folder(spark, landing)
-    loaded: dict[str, int] = {}
-    for table, columns in fv.REGISTRY_LAYOUTS.items():
+    found: dict[str, list[str]] = {}
+    for table in fv.REGISTRY_LAYOUTS:
         folder = fv.REGISTRY_FOLDERS[table]
         wanted = (
             slice_paths(root, folder, None if params.fatias is None else range(params.fatias))
             if table in fv.SLICED_TABLES
             else f"{root}/{folder}"
         )
-        suffix = suffix_glob(fv.REGISTRY_SUFFIXES[table])
-        files = list_files(spark, wanted, suffix)
-        if not files:
-            raise SourceMissing(f"no files for table {table} under {root}")
-        check_layout(spark, columns, files)
-        rows = read_table(spark, root, table, slices=params.fatias, uf=params.uf)
-        by_state = ["uf"] if params.uf is None and "uf" in columns else []
-        if table == "socios":
-            loaded |= _write_keyed(rows, stage, table)
-        else:
-            loaded |= _write(rows, stage, table, by_state)
-        rejected = rejected_lines(spark, columns, wanted, suffix)
-        loaded |= _write(rejected, stage, f"{table}_recusadas")
+        found[table] = list_files(spark, wanted, suffix_glob(fv.REGISTRY_SUFFIXES[table]))
+    missing = [table for table, paths in found.items() if not paths]
+    if needed := [table for table in missing if table not in UNREAD]:
+        raise SourceMissing(f"no files for {', '.join(needed)} under {root}")
+
+    loads = {}
+    for table, columns in fv.REGISTRY_LAYOUTS.items():
+        if table in missing:
+            continue
+        source = Source("todas", found[table], columns, _of_state(columns, params.uf))
+        loads[table] = load(
+            spark, stage, table, [source],
+            partition_by=["uf"] if params.uf is None and "uf" in columns else [],
+            key=dossiers.KEY if table == "socios" else None,
+        )
+    _commit(spark, stage, loads)
+    loaded = dict.fromkeys(missing, 0)
+    for table, done in loads.items():
+        loaded |= {table: done.loaded, f"{table}_recusadas": done.rejected}
     return loaded
 
 
-def _write_rejected(
+def _header_sources(
     spark: SparkSession,
     files: Mapping[str, Sequence[str]],
     aliases: Aliases,
-    stage: str,
-    table: str,
-) -> dict[str, int]:
-    """Check header files and write their rejected lines to ``<table>_recusadas``.
+    clean: Callable[[DataFrame, str], DataFrame],
+) -> list[Source]:
+    """One source per part and header; files without a company id are left out."""
+    sources = []
+    for part, paths in files.items():
+        for names, same in by_header(spark, paths).items():
+            if resolve_names(names, aliases)["cpf_cnpj"] is None:
+                continue
 
-    The table is always written; it is counted if there are any, in all and by file.
-    """
-    every = [path for paths in files.values() for path in paths]
-    rejected = rejected_canonical(spark, every, aliases)
-    written = replace_stage(rejected, f"{stage}/{table}_recusadas")
-    by_file = {
-        f"{table}_recusadas {row.arquivo}": row["count"]
-        for row in written.groupBy("arquivo").count().orderBy("arquivo").collect()
-    }
-    return {f"{table}_recusadas": sum(by_file.values()), **by_file} if by_file else {}
+            def shape(rows: DataFrame, names=names, part=part) -> DataFrame:
+                named = rows.toDF(*names, *CARRIED)
+                return clean(to_canonical(named, aliases, CARRIED), part)
+
+            sources.append(Source(part, same, plain_names(names), shape, header=True))
+    if not sources:
+        raise SourceMissing(f"no file with a company id for {', '.join(files) or 'any part'}")
+    return sources
 
 
 def ingest_federal_debt(
     spark: SparkSession, folders: Mapping[str, str], stage: str, params: Parameters
 ) -> dict[str, int]:
-    """Federal debt from ``{category: folder}`` to Parquet, rejected lines beside it."""
+    """Federal debt from ``{category: folder}`` to Parquet, rejected lines beside it.
+
+    A category without files is counted as 0; without any file nothing is replaced.
+    """
     files = {name: list_files(spark, path, _HEADER_FILES) for name, path in folders.items()}
+    sources = _header_sources(
+        spark, files, fv.FEDERAL_DEBT_ALIASES,
+        lambda rows, part: federal_debt.clean(rows, part, params.uf, CARRIED),
+    )
     table = "divida_ativa_uniao"
-    rejected = _write_rejected(spark, files, fv.FEDERAL_DEBT_ALIASES, stage, table)
-    rows = federal_debt.read(spark, files, params.uf)
-    return _write_keyed(rows, stage, table) | rejected
+    done = load(spark, stage, table, sources, key=dossiers.KEY)
+    _commit(spark, stage, {table: done})
+    return {table: done.loaded, **_by_part(table, done, files), **_rejects(table, done)}
+
+
+def _by_part(table: str, done: Load, parts: Iterable[str]) -> dict[str, int]:
+    """Rows by category or register, 0 where there was no file."""
+    counts = {f"{table} {part}": 0 for part in parts}
+    for part, _, _, rows, _ in done.audit:
+        counts[f"{table} {part}"] += rows
+    return counts
 
 
 def ingest_sanctions(
@@ -150,8 +202,14 @@ def ingest_sanctions(
 ) -> dict[str, int]:
     """Newest snapshot of each register to Parquet, rejected lines beside it."""
     files = latest_snapshot_files(spark, landing, as_of)
-    rejected = _write_rejected(spark, files, fv.SANCTION_ALIASES, stage, "sancoes")
-    return _write_keyed(sanctions.read(spark, files), stage, "sancoes") | rejected
+    sources = _header_sources(
+        spark, files, fv.SANCTION_ALIASES,
+        lambda rows, part: sanctions.clean(rows, part, CARRIED),
+    )
+    done = load(spark, stage, "sancoes", sources, key=dossiers.KEY)
+    _commit(spark, stage, {"sancoes": done})
+    counts = _by_part("sancoes", done, fv.SANCTION_REGISTERS)
+    return {"sancoes": done.loaded, **counts, **_rejects("sancoes", done)}
 
 
 def ingest_state_debt(
@@ -161,10 +219,23 @@ def ingest_state_debt(
     params: Parameters,
     as_of: dt.date,
 ) -> dict[str, int]:
-    """State debt of the last days to Parquet."""
-    cells = state_debt.read_cells(spark, paths)
-    rows = state_debt.clean(cells, as_of, params.janela_dias)
-    return _write_keyed(rows, stage, "divida_ativa_mg")
+    """State debt of the last days to Parquet; lines with less than seven cells beside it."""
+    files = [
+        path
+        for one in ([paths] if isinstance(paths, str) else paths)
+        for path in list_files(spark, one, _HEADER_FILES)
+    ]
+    if not files:
+        raise SourceMissing(f"no state-debt files under {paths}")
+    source = Source(
+        "todas", files, fv.STATE_DEBT_CELLS,
+        lambda cells: state_debt.clean(cells, as_of, params.janela_dias, CARRIED),
+        header=True, short=False, wide=True,
+    )
+    table = "divida_ativa_mg"
+    done = load(spark, stage, table, [source], key=dossiers.KEY)
+    _commit(spark, stage, {table: done})
+    return {table: done.loaded, **_rejects(table, done)}
 
 
 def load_tables(spark: SparkSession, stage: str) -> Tables:
@@ -224,28 +295,41 @@ def build_leads(tables: Tables, params: Parameters) -> DataFrame:
     return lead_rows(build_rows(tables, params), params)
 
 
+_WIDE = "universo_com_apontamentos"
+
+
 def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str, DataFrame]:
-    """Write ``universo``, ``apontamentos`` and ``leads`` and return them.
+    """Make ``universo``, ``apontamentos`` and ``leads`` current and return them.
 
-    The joins run once, into one wide table; the three tables are row-wise views of
-    it. Registry and code tables must not repeat a key.
+    The joins run once, into one wide table; ``universo`` and ``apontamentos`` are columns
+    of it, ``leads`` its rows in order. All become current together, at the end. Registry
+    and code tables must not repeat a key.
     """
     tables = load_tables(spark, stage)
     require_unique(
         {name: (tables.registry[name], "cnpj_basico") for name in ("empresas", "simples")}
         | {name: (codes, "codigo") for name, codes in tables.lookups.items()}
     )
-    wide = replace_stage(build_rows(tables, params), f"{stage}/universo_com_apontamentos")
-    whole_universe = wide.withColumn("saiu_do_simples", F.col("saiu_do_simples_registro"))
+    folders = {table: versions.new_folder(table) for table in (_WIDE, "leads")}
+    build_rows(tables, params).write.parquet(f"{stage}/{folders[_WIDE]}")
+    wide = spark.read.parquet(f"{stage}/{folders[_WIDE]}")
+    ordered_writer(
+        lead_rows(wide, params), ORDERINGS["score"], lookups=["cnpj", "cnpj_basico", "municipio"]
+    ).parquet(f"{stage}/{folders['leads']}")
+    own_flag = {"saiu_do_simples": "saiu_do_simples_registro AS saiu_do_simples"}
+    versions.commit(
+        spark, stage,
+        {
+            _WIDE: versions.Version(folders[_WIDE]),
+            "universo": versions.Version(
+                folders[_WIDE], tuple(own_flag.get(name, name) for name in UNIVERSE_COLUMNS)
+            ),
+            "apontamentos": versions.Version(folders[_WIDE], tuple(FINDING_COLUMNS)),
+            "leads": versions.Version(folders["leads"]),
+        },
+    )
     return {
-        "universo": replace_stage(whole_universe.select(*UNIVERSE_COLUMNS), f"{stage}/universo"),
-        "apontamentos": replace_stage(wide.select(*FINDING_COLUMNS), f"{stage}/apontamentos"),
-        "leads": replace_ordered_stage(
-            lead_rows(wide, params),
-            f"{stage}/leads",
-            ORDERINGS["score"],
-            lookups=["cnpj", "cnpj_basico", "municipio"],
-        ),
+        name: read_stage(spark, f"{stage}/{name}") for name in ("universo", "apontamentos", "leads")
     }
 
 

@@ -23,19 +23,24 @@ SCHEMA = (
 )
 
 
-def clean(raw: DataFrame, categoria: str | Column, uf: str | None) -> DataFrame:
+def clean(
+    raw: DataFrame, categoria: str | Column, uf: str | None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Debts of companies from canonical raw columns.
 
     Natural persons (ids without 14 digits) are dropped. With ``uf`` the debtor
     state must match after trimming and upper-casing; rows without a state stay.
+    Columns of ``carry`` are handed on; rows that one of them marks ``_recusada`` stay.
     """
     id_digits = digits(F.col("cpf_cnpj"))
     label = categoria if isinstance(categoria, Column) else F.lit(categoria)
-    rows = raw.where(is_company_id(id_digits))
+    wanted = is_company_id(id_digits)
     if uf is not None:
         state = F.col("uf_devedor")
-        rows = rows.where((F.upper(F.trim(state)) == uf) | state.isNull())
-    return rows.select(
+        wanted = wanted & ((F.upper(F.trim(state)) == uf) | state.isNull())
+    if "_recusada" in carry:
+        wanted = wanted | F.col("_recusada")
+    return raw.where(wanted).select(
         id_digits.alias("cpf_cnpj"),
         company_key(id_digits).alias("cnpj_basico"),
         "tipo_pessoa",
@@ -50,6 +55,7 @@ def clean(raw: DataFrame, categoria: str | Column, uf: str | None) -> DataFrame:
         "indicador_ajuizado",
         parse_money_br(F.col("valor_consolidado")).alias("valor_consolidado"),
         label.alias("categoria"),
+        *carry,
     )
 
 

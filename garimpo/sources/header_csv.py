@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
@@ -10,9 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garimpo import fixed_values as fv
+from garimpo.sources.files import is_folder
 from garimpo.sources.registry import (
-    CSV_OPTIONS,
     check_layout,
+    header_line,
+    list_files,
     read_positional_csv,
     rejected_lines,
 )
@@ -46,12 +50,17 @@ def resolve_names(names: Iterable[str], aliases: Aliases) -> dict[str, str | Non
 def header_names(spark: SparkSession, path: str) -> list[str]:
     """Column names in the header line of a file (or of the files of a folder).
 
-    A name that was there before, in whatever case, gets a number, a missing one too.
+    A name that was there before, in whatever case, gets a number, a missing one too. Only
+    the head of the file is looked at, while planning; no job is run.
     """
-    first = spark.read.options(header="false", **CSV_OPTIONS).csv(path).first()
+    first = next(iter(list_files(spark, path)), path) if is_folder(spark, path) else path
+    fields = next(
+        csv.reader([header_line(spark, first)], delimiter=fv.CSV_DELIMITER, quotechar=fv.CSV_QUOTE),
+        [],
+    )
     names: list[str] = []
     seen: set[str] = set()
-    for position, name in enumerate(first or ()):
+    for position, name in enumerate(fields):
         unique = name or f"column{position}"
         if unique.lower() in seen:
             unique = f"{unique}_{position}"
@@ -70,19 +79,21 @@ def read_header_csv(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     names = names or header_names(spark, paths[0])
-    return read_positional_csv(spark, _plain(names), paths, header=True).toDF(*names)
+    return read_positional_csv(spark, plain_names(names), paths, header=True).toDF(*names)
 
 
-def _plain(names: Sequence[str]) -> list[str]:
+def plain_names(names: Sequence[str]) -> list[str]:
     return [f"c{position}" for position in range(len(names))]
 
 
-def to_canonical(rows: DataFrame, aliases: Aliases) -> DataFrame | None:
-    """Canonical columns of ``rows``; absent ones are NULL.
+def to_canonical(
+    rows: DataFrame, aliases: Aliases, carry: Sequence[str] = ()
+) -> DataFrame | None:
+    """Canonical columns of ``rows``; absent ones are NULL. Those of ``carry`` are handed on.
 
     None when there is no company-id column: such a file is skipped.
     """
-    real = resolve_names(rows.columns, aliases)
+    real = resolve_names([name for name in rows.columns if name not in carry], aliases)
     if real["cpf_cnpj"] is None:
         return None
 
@@ -91,10 +102,10 @@ def to_canonical(rows: DataFrame, aliases: Aliases) -> DataFrame | None:
         value = F.col(f"`{name.replace('`', '``')}`") if name else F.lit(None).cast("string")
         return value.alias(canonical)
 
-    return rows.select(*[pick(canonical) for canonical in aliases])
+    return rows.select(*[pick(canonical) for canonical in aliases], *carry)
 
 
-def _by_header(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+def by_header(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by header. Only the header line of each file is looked at."""
     found: dict[tuple[str, ...], list[str]] = {}
     for path in files:
@@ -112,7 +123,7 @@ def read_canonical(
     """
     parts = [
         part
-        for names, paths in _by_header(spark, files).items()
+        for names, paths in by_header(spark, files).items()
         if (part := to_canonical(read_header_csv(spark, paths, names), aliases)) is not None
     ]
     return reduce(DataFrame.unionByName, parts) if parts else None
@@ -127,10 +138,10 @@ def rejected_canonical(
     a file most of whose lines are not as wide as its header raises ``LayoutMismatch``.
     """
     rejected = spark.createDataFrame([], "arquivo string, largura int, linha string")
-    for names, paths in _by_header(spark, files).items():
+    for names, paths in by_header(spark, files).items():
         if resolve_names(names, aliases)["cpf_cnpj"] is None:
             continue
         if check:
             check_layout(spark, names, paths)
-        rejected = rejected.unionByName(rejected_lines(spark, _plain(names), paths, header=True))
+        rejected = rejected.unionByName(rejected_lines(spark, plain_names(names), paths, header=True))
     return rejected

@@ -10,6 +10,14 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from garimpo import fixed_values as fv
+from garimpo.sources.files import head
+from garimpo.sources.records import (
+    QUOTED_FIELD,
+    SourceMissing,
+    files_with_breaks,
+    raw_lines,
+    records,
+)
 
 _RAW_LINE = "_raw_line"
 
@@ -21,18 +29,11 @@ CSV_OPTIONS = {
     "mode": "PERMISSIVE",
 }
 
-# A quoted field as it stands at the start of a line or after a delimiter.
-_QUOTED_FIELD = r'(^|;)"[^"]*+(?:""[^"]*+)*+"'
-
 
 class LayoutMismatch(RuntimeError):
     """A file does not have the declared number of columns."""
 
 
-class SourceMissing(FileNotFoundError):
-    """No file of a required source was found."""
-
-
 def suffix_glob(suffix: str) -> str:
     """Glob for a file-name ending in upper, lower or mixed case."""
     return "*" + "".join(
@@ -52,7 +53,7 @@ def string_schema(columns: Iterable[str]) -> T.StructType:
 
 def line_width(line: Column) -> Column:
     """Number of fields of a raw CSV line; delimiters inside quotes do not count."""
-    without_quoted = F.regexp_replace(line, _QUOTED_FIELD, "$1")
+    without_quoted = F.regexp_replace(line, QUOTED_FIELD, "$1")
     return F.length(F.regexp_replace(without_quoted, f"[^{fv.CSV_DELIMITER}]", "")) + 1
 
 
@@ -98,16 +99,56 @@ def odd_width(a_column: str) -> Column:
 
 
 def _refused(columns: Sequence[str]) -> Column:
-    """Is a line too wide, or of an odd width with quotes that do not balance?
-
-    A record with a line break inside quotes stands on lines of the second kind.
-    """
+    """Is a line too wide, or of an odd width with quotes that do not balance?"""
     line = F.col(_RAW_LINE)
     quotes = F.length(line) - F.length(F.replace(line, F.lit(fv.CSV_QUOTE), F.lit("")))
     unbalanced = F.coalesce(quotes % 2 == 1, F.lit(False))
     return (odd_width(columns[0]) > len(columns)) | unbalanced
 
 
+def parse_lines(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``lines`` with ``_campos``, the declared fields of ``linha`` as strings, and
+    ``_largura``, its number of fields where that is not as declared."""
+    schema = string_schema([*columns, _RAW_LINE]).toDDL()
+    options = dict(CSV_OPTIONS, columnNameOfCorruptRecord=_RAW_LINE)
+    del options["encoding"]  # the line is text already
+    fields = F.from_csv(F.col("linha"), F.lit(schema), options)
+    return lines.withColumn("_campos", fields).withColumn(
+        "_largura", line_width(F.col(f"_campos.{_RAW_LINE}"))
+    )
+
+
+def _whole_records(
+    spark: SparkSession, columns: Sequence[str], files: Sequence[str], header: bool
+) -> DataFrame:
+    """Records of files with line breaks inside quotes: columns, ``arquivo``, ``linha``,
+    ``_largura`` and whether they are refused."""
+    lines = records(raw_lines(spark, files))
+    if header:
+        lines = lines.where(~F.col("linha").isin(*header_lines(spark, files)))
+    rows = parse_lines(lines, columns)
+    refused = ~F.col("inteira") | (F.coalesce("_largura", F.lit(0)) > len(columns))
+    return rows.select(
+        *[F.col(f"_campos.`{name}`").alias(name) for name in columns],
+        "arquivo", "linha", "_largura", refused.alias("_recusada"),
+    )
+
+
+#: Bytes in which the header line of a file must end.
+HEADER_BYTES = 1 << 16
+
+
+def header_lines(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """The different first lines of files; looked up while planning, without a job."""
+    return sorted({line for path in files if (line := header_line(spark, path))})
+
+
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, blank ones left out."""
+    lines = head(spark, path, HEADER_BYTES).decode(fv.CSV_ENCODING).splitlines()
+    return next((line for line in lines if line.strip()), "")
+
+
 def read_positional_csv(
     spark: SparkSession,
     columns: Sequence[str],
@@ -118,14 +159,39 @@ def read_positional_csv(
 ) -> DataFrame:
     """CSV with declared columns, all strings; a header line is skipped if there is one.
 
-    Short lines are filled with NULL, lines that are too wide or whose quotes do not
-    balance are left out (see :func:`rejected_lines`). ``uf`` keeps one state while scanning, for layouts
-    that have that column.
+    A record with line breaks inside quotes is one row: files that have such records (looked
+    up in a job of its own) are read line by line and put together, the others as they are.
+    Short records are filled with NULL; those that are too wide, or whose quotes do not
+    balance, are left out (see :func:`rejected_lines`). ``uf`` keeps one state while
+    scanning, for layouts that have that column.
     """
-    rows = read_with_raw_line(spark, columns, paths, glob, header).where(~_refused(columns))
+    plain, broken = _by_breaks(spark, paths, glob)
+    rows = None
+    if plain:
+        rows = read_with_raw_line(spark, columns, plain, glob, header).where(~_refused(columns))
+        rows = rows.select(*columns)
+    if broken:
+        whole = _whole_records(spark, columns, broken, header).where("NOT _recusada")
+        whole = whole.select(*columns)
+        rows = whole if rows is None else rows.unionAll(whole)
     if uf is not None and "uf" in columns:
         rows = rows.where(F.col("uf") == uf)
-    return rows.select(*columns)
+    return rows
+
+
+def _by_breaks(
+    spark: SparkSession, paths: str | Sequence[str], glob: str | None
+) -> tuple[str | list[str], list[str]]:
+    """Files without and with records that hold line breaks; all paths, if none has."""
+    broken = files_with_breaks(spark, paths, glob)
+    if not broken:
+        return paths, []
+    every = {
+        path
+        for one in ([paths] if isinstance(paths, str) else paths)
+        for path in list_files(spark, one, glob or "*")
+    }
+    return sorted(every - set(broken)), broken
 
 
 def rejected_lines(
@@ -136,16 +202,24 @@ def rejected_lines(
     header: bool = False,
 ) -> DataFrame:
     """Lines left out by :func:`read_positional_csv`: file, width and raw text."""
-    return (
-        read_with_raw_line(spark, columns, paths, glob, header)
-        .withColumn("arquivo", F.input_file_name())
-        .where(_refused(columns))
-        .select(
-            "arquivo",
-            line_width(F.col(_RAW_LINE)).alias("largura"),
-            F.col(_RAW_LINE).alias("linha"),
+    plain, broken = _by_breaks(spark, paths, glob)
+    out = None
+    if plain:
+        out = (
+            read_with_raw_line(spark, columns, plain, glob, header)
+            .withColumn("arquivo", F.input_file_name())
+            .where(_refused(columns))
+            .select(
+                "arquivo",
+                line_width(F.col(_RAW_LINE)).alias("largura"),
+                F.col(_RAW_LINE).alias("linha"),
+            )
         )
-    )
+    if broken:
+        more = _whole_records(spark, columns, broken, header).where("_recusada")
+        more = more.select("arquivo", line_width(F.col("linha")).alias("largura"), "linha")
+        out = more if out is None else out.unionAll(more)
+    return out
 
 
 def slice_paths(root: str, folder: str, slices: Iterable[int] | None = None) -> str:

@@ -23,11 +23,17 @@ SCHEMA = (
 )
 
 
-def clean(raw: DataFrame, cadastro: str | Column) -> DataFrame:
-    """Sanctions of companies from canonical raw columns."""
+def clean(raw: DataFrame, cadastro: str | Column, carry: Sequence[str] = ()) -> DataFrame:
+    """Sanctions of companies from canonical raw columns.
+
+    Columns of ``carry`` are handed on; rows that one of them marks ``_recusada`` stay.
+    """
     id_digits = digits(F.col("cpf_cnpj"))
     label = cadastro if isinstance(cadastro, Column) else F.lit(cadastro)
-    return raw.where(is_company_id(id_digits)).select(
+    wanted = is_company_id(id_digits)
+    if "_recusada" in carry:
+        wanted = wanted | F.col("_recusada")
+    return raw.where(wanted).select(
         id_digits.alias("cpf_cnpj"),
         company_key(id_digits).alias("cnpj_basico"),
         label.alias("cadastro"),
@@ -38,6 +44,7 @@ def clean(raw: DataFrame, cadastro: str | Column) -> DataFrame:
         "orgao_sancionador",
         "uf",
         "fundamentacao",
+        *carry,
     )
 
 

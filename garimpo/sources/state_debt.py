@@ -33,18 +33,22 @@ def read_cells(spark: SparkSession, paths: str | Sequence[str], header: bool = T
     return rows.where(~short).select(*fv.STATE_DEBT_CELLS)
 
 
-def clean(cells: DataFrame, as_of: dt.date | Column, days: int) -> DataFrame:
+def clean(
+    cells: DataFrame, as_of: dt.date | Column, days: int, carry: Sequence[str] = ()
+) -> DataFrame:
     """Debts of companies registered in the last ``days`` days before ``as_of``.
 
     The first day counts and later dates stay. The cut compares the serial with its
     time part, the resulting date leaves it off. Rows without a numeric serial are
-    dropped, a balance that is no number is NULL.
+    dropped, a balance that is no number is NULL. Columns of ``carry`` are handed on; rows
+    that one of them marks ``_recusada`` stay.
     """
     id_digits = digits(F.col("cpf_cnpj"))
     serial = parse_float(F.col("data_serial"))
-    return cells.where(
-        (serial >= window_start_serial(as_of, days)) & is_company_id(id_digits)
-    ).select(
+    wanted = (serial >= window_start_serial(as_of, days)) & is_company_id(id_digits)
+    if "_recusada" in carry:
+        wanted = wanted | F.col("_recusada")
+    return cells.where(wanted).select(
         id_digits.alias("cpf_cnpj"),
         company_key(id_digits).alias("cnpj_basico"),
         "nome_devedor",
@@ -53,6 +57,7 @@ def clean(cells: DataFrame, as_of: dt.date | Column, days: int) -> DataFrame:
         "especie",
         parse_plain(F.col("saldo_cda")).alias("saldo_cda"),
         parse_plain(F.col("saldo_nucleo")).alias("saldo_nucleo"),
+        *carry,
     )
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import pytest
 
+from garimpo import fixed_values as fv
 from garimpo.operators import reports
 from garimpo.parameters import Parameters
 from garimpo.plans import job, pipeline
 from garimpo.sinks.audit import DuplicateKeys
+from garimpo.sinks.stages import append_stage, read_stage, replace_stage
 from tests.sample import AS_OF, write_landing
 
 PARAMS = Parameters()
@@ -47,7 +49,13 @@ def test_rows_loaded(stage):
         "paises": 1,
         "qualificacoes": 3,
         "divida_ativa_uniao": 3,
+        "divida_ativa_uniao Dívida Ativa - Geral": 3,
+        "divida_ativa_uniao Dívida Ativa - Previdenciária": 0,
+        "divida_ativa_uniao Dívida Ativa - FGTS": 0,
         "sancoes": 1,
+        "sancoes CEIS": 1,
+        "sancoes CNEP": 0,
+        "sancoes CEPIM": 0,
         "divida_ativa_mg": 2,
     }
 
@@ -145,14 +153,14 @@ def test_details(all_leads):
 def test_stages(spark, stage):
     folder = stage[0]
     sizes = {
-        name: spark.read.parquet(f"{folder}/{name}").count()
+        name: read_stage(spark, f"{folder}/{name}").count()
         for name in ("universo", "apontamentos", "leads", "divida_ativa_mg")
     }
     assert sizes == {"universo": 5, "apontamentos": 5, "leads": 4, "divida_ativa_mg": 2}
-    universe = spark.read.parquet(f"{folder}/universo")
+    universe = read_stage(spark, f"{folder}/universo")
     assert len(universe.columns) == 28
-    assert len(spark.read.parquet(f"{folder}/apontamentos").columns) == 23
-    assert len(spark.read.parquet(f"{folder}/leads").columns) == 43
+    assert len(read_stage(spark, f"{folder}/apontamentos").columns) == 23
+    assert len(read_stage(spark, f"{folder}/leads").columns) == 43
     # Never opted: unknown, not False.
     flags = {r.cnpj_basico: r.saiu_do_simples for r in universe.collect()}
     assert flags["10000001"] is None and flags["10000006"] is True
@@ -160,13 +168,13 @@ def test_stages(spark, stage):
 
 def test_orphan_debt_is_no_lead(spark, stage):
     folder = stage[0]
-    debts = spark.read.parquet(f"{folder}/divida_ativa_mg")
+    debts = read_stage(spark, f"{folder}/divida_ativa_mg")
     assert debts.where("cnpj_basico = '99999999'").count() == 1
-    assert spark.read.parquet(f"{folder}/leads").where("cnpj_basico = '99999999'").count() == 0
+    assert read_stage(spark, f"{folder}/leads").where("cnpj_basico = '99999999'").count() == 0
 
 
 def test_kpis(spark, stage):
-    leads = spark.read.parquet(f"{stage[0]}/leads")
+    leads = read_stage(spark, f"{stage[0]}/leads")
     assert reports.kpi_summary(leads).first().asDict() == {
         "total": 4,
         "com_apontamento": 4,
@@ -211,12 +219,8 @@ def test_branches_do_not_multiply(spark, stage):
 
 
 def test_transform_without_findings_sources(spark, stage, tmp_path):
-    import shutil
-
-    from garimpo import fixed_values as fv
-
     for table in fv.REGISTRY_LAYOUTS:
-        shutil.copytree(f"{stage[0]}/{table}", tmp_path / table)
+        replace_stage(read_stage(spark, f"{stage[0]}/{table}"), str(tmp_path / table))
     tables = pipeline.transform(spark, str(tmp_path), PARAMS)
     # Only status and Simples exits are left as findings.
     assert sorted(r.cnpj_basico for r in tables["leads"].collect()) == [
@@ -227,13 +231,8 @@ def test_transform_without_findings_sources(spark, stage, tmp_path):
 
 
 def test_repeated_company_is_refused(spark, stage, tmp_path):
-    import shutil
-
-    from garimpo import fixed_values as fv
-    from garimpo.sinks.stages import append_stage, read_stage
-
     for table in fv.REGISTRY_LAYOUTS:
-        shutil.copytree(f"{stage[0]}/{table}", tmp_path / table)
+        replace_stage(read_stage(spark, f"{stage[0]}/{table}"), str(tmp_path / table))
     again = read_stage(spark, str(tmp_path / "empresas")).where("cnpj_basico = '10000001'")
     append_stage(again, str(tmp_path / "empresas"))
     with pytest.raises(DuplicateKeys, match="empresas 10000001"):

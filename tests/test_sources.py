@@ -7,6 +7,7 @@ import pytest
 from garimpo import fixed_values as fv
 from garimpo.parameters import Parameters
 from garimpo.plans import pipeline
+from garimpo.sinks.stages import read_stage
 from garimpo.sources import federal_debt, header_csv, periods, registry, sanctions, state_debt
 from tests.sample import FEDERAL_DEBT, FEDERAL_HEADER, write
 
@@ -199,19 +200,19 @@ def test_header_csv_odd_lines(spark, tmp_path):
 
 
 def test_rejects_of_header_files(spark, tmp_path):
-    """A bare delimiter and broken quotes are written and counted, drift stops the load."""
+    """A bare delimiter is rejected and counted, a quoted break is not; drift stops the load."""
     write(tmp_path / "g" / "a.csv", "CPF_CNPJ;Nome;Valor\n" + "10000001000155;A;1,00\n" * 9 +
           '10000001000155;B;C;2,00\n10000001000155;"D\nE";3,00\n10000001000155;F\n')
     write(tmp_path / "g" / "b.csv", "Nome;Valor\nsem;id;1,00\n")
     stage = str(tmp_path / "stage")
     folders = {"Geral": str(tmp_path / "g"), "FGTS": str(tmp_path / "nothing")}
     loaded = pipeline.ingest_federal_debt(spark, folders, stage, Parameters(uf=None))
-    assert loaded["divida_ativa_uniao"] == 10 and loaded["divida_ativa_uniao_recusadas"] == 3
-    assert [n for name, n in loaded.items() if name.endswith("a.csv")] == [3]
-    rejected = spark.read.parquet(f"{stage}/divida_ativa_uniao_recusadas")
-    assert sorted(r.linha for r in rejected.collect()) == [
-        '10000001000155;"D', "10000001000155;B;C;2,00", 'E";3,00',
-    ]
+    assert loaded["divida_ativa_uniao"] == 11 and loaded["divida_ativa_uniao_recusadas"] == 1
+    assert [n for name, n in loaded.items() if name.endswith("a.csv")] == [1]
+    rejected = read_stage(spark, f"{stage}/divida_ativa_uniao_recusadas")
+    assert [(r.largura, r.linha) for r in rejected.collect()] == [(4, "10000001000155;B;C;2,00")]
+    names = read_stage(spark, f"{stage}/divida_ativa_uniao").select("nome_devedor").distinct()
+    assert {r.nome_devedor for r in names.collect()} == {"A", "D\nE", "F"}
     write(tmp_path / "s" / "ceis_20260729" / "x.csv", "CNPJ;UF\n" + "1;MG\n" * 55 + "1;M;G\n" * 60)
     with pytest.raises(registry.LayoutMismatch):
         pipeline.ingest_sanctions(spark, str(tmp_path / "s"), stage, dt.date(2026, 7, 29))
