@@ -28,7 +28,7 @@ from garimpo.sources.registry import LayoutMismatch, header_lines, parse_lines
 #: Columns that a source's rows carry on their way into the table.
 CARRIED = ("_recusada", "_aberta", "_arquivo", "_largura", "_linha")
 REJECTED = "_arquivo AS arquivo", "_largura AS largura", "_linha AS linha"
-_REJECTED_SCHEMA = "_arquivo string, _largura int, _linha string"
+_REJECTED_SCHEMA = "_arquivo string, _largura int, _linha string, _destino string"
 
 #: From parsed columns and CARRIED ones to the table's columns and CARRIED ones. Lines with
 #: ``_recusada`` must pass every filter.
@@ -186,7 +186,7 @@ def load(
     staged.write(written)
 
     lines = [one for source, found in seen for one in _lines_per_file(spark, source, found)]
-    broken = staged.broken_files()
+    rows, broken = staged.by_file()
     for one in lines:
         strict = not (one.source.wide and one.source.short)
         if strict and one.odd > one.usual and one.file not in broken:
@@ -202,18 +202,18 @@ def load(
             if own:
                 parts.append(_whole(spark, source, own).select(*parts[0].columns))
         staged.write(_union(parts))
+        rows, _ = staged.by_file()
 
-    rows = staged.rows_by_file()
     audit = [
         (one.source.part, one.file, one.usual + one.odd, rows.get((one.file, "linhas"), 0),
          rows.get((one.file, "recusadas"), 0))
         for one in lines
     ]
-    kinds = {kind for _, kind in rows}
+    any_rows = any(kind == "linhas" for _, kind in rows)
     return Load(
         {
-            table: staged.rows_version("linhas" in kinds, key),
-            f"{table}_recusadas": staged.rejected_version("recusadas" in kinds),
+            table: staged.rows_version(any_rows, key),
+            f"{table}_recusadas": staged.rejected_version(),
         },
         audit,
     )
@@ -235,14 +235,13 @@ class _Staged:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.stage}/{self.folder}")
 
-    def broken_files(self) -> set[str]:
-        """Files with a line that leaves a quote open."""
-        opened = self.read().where("_destino = 'recusadas' AND _aberta")
-        return {row._arquivo for row in opened.select("_arquivo").distinct().collect()}
-
-    def rows_by_file(self) -> dict[tuple[str, str], int]:
-        counts = self.read().groupBy("_arquivo", "_destino").count()
-        return {(row._arquivo, row._destino): row["count"] for row in counts.collect()}
+    def by_file(self) -> tuple[dict[tuple[str, str], int], set[str]]:
+        """Rows per file and partition, and files with a line that leaves a quote open."""
+        found = self.read().groupBy("_arquivo", "_destino").agg(
+            F.count("*").alias("n"), F.max("_aberta").alias("aberta")
+        ).collect()
+        counts = {(row._arquivo, row._destino): row.n for row in found}
+        return counts, {row._arquivo for row in found if row.aberta}
 
     def rows_version(self, any_rows: bool, key: str | None) -> Version:
         """Where the rows lie: as written, or once more in the order of a key."""
@@ -259,10 +258,5 @@ class _Staged:
             empty.write.parquet(f"{self.stage}/{folder}")
         return Version(folder)
 
-    def rejected_version(self, any_rows: bool) -> Version:
-        if any_rows:
-            return Version(f"{self.folder}/_destino=recusadas", REJECTED)
-        folder = versions.new_folder(f"{self.table}_recusadas")
-        empty = self.spark.createDataFrame([], _REJECTED_SCHEMA)
-        empty.write.parquet(f"{self.stage}/{folder}")
-        return Version(folder, REJECTED)
+    def rejected_version(self) -> Version:
+        return Version(self.folder, REJECTED, "_destino = 'recusadas'", _REJECTED_SCHEMA)

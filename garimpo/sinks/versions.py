@@ -12,7 +12,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -25,10 +25,15 @@ _STATE_NAME = re.compile(r"[0-9]{8}\.json")
 
 @dataclass(frozen=True)
 class Version:
-    """Where a table lies below the stage, and which expressions of its columns it has."""
+    """Where a table lies below the stage, and which of its rows and expressions it has.
+
+    With a ``schema`` the folder may be without any file.
+    """
 
     folder: str
     select: tuple[str, ...] = ()
+    where: str = ""
+    schema: str = ""
 
 
 def new_folder(table: str) -> str:
@@ -48,7 +53,7 @@ def current(spark: SparkSession, stage: str) -> dict[str, Version]:
         return {}
     text = files.head(spark, f"{stage}/{_STATES}/{states[-1]}", 1 << 24)
     return {
-        table: Version(entry["folder"], tuple(entry["select"]))
+        table: Version(**{**entry, "select": tuple(entry["select"])})
         for table, entry in json.loads(text).items()
     }
 
@@ -63,10 +68,7 @@ def commit(
         number = int(states[-1].split(".")[0]) + 1 if states else 1
         kept = {name: v for name, v in current(spark, stage).items() if name not in gone}
         text = json.dumps(
-            {
-                name: {"folder": v.folder, "select": list(v.select)}
-                for name, v in sorted({**kept, **tables}.items())
-            }
+            {name: asdict(v) for name, v in sorted({**kept, **tables}.items())}
         )
         # Another run may have been first: then look again, so that neither is lost.
         if files.write_new(spark, f"{stage}/{_STATES}/{number:08d}.json", text):
@@ -82,9 +84,11 @@ def read(
     reader = spark.read.schema(schema) if schema else spark.read
     if version is None:
         return reader.parquet(path)
-    if version.select:
-        return spark.read.parquet(f"{stage}/{version.folder}").selectExpr(*version.select)
-    return reader.parquet(f"{stage}/{version.folder}")
+    if not version.select:
+        return reader.parquet(f"{stage}/{version.folder}")
+    reader = spark.read.schema(version.schema) if version.schema else spark.read
+    rows = reader.parquet(f"{stage}/{version.folder}")
+    return (rows.where(version.where) if version.where else rows).selectExpr(*version.select)
 
 
 def drop_unused(spark: SparkSession, stage: str) -> list[str]:

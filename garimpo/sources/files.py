@@ -6,6 +6,8 @@ job is run.
 
 from __future__ import annotations
 
+import re
+
 from py4j.java_gateway import JavaObject
 from pyspark.sql import SparkSession
 
@@ -25,7 +27,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def qualified(spark: SparkSession, path: str) -> str:
     """A path as the metadata columns of a scan spell it."""
     whole = _system(spark, path).makeQualified(_path(spark, path))
-    return spark._jvm.org.apache.spark.paths.SparkPath.fromPath(whole).urlEncoded()
+    uri = spark._jvm.org.apache.spark.paths.SparkPath.fromPath(whole).urlEncoded()
+    return re.sub("^file:/+", "file:/", uri)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
