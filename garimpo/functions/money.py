@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+#: Room for any amount on file, every decimal kept: sums are exact whatever their order.
+MONEY = "decimal(38,6)"
 
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
@@ -17,7 +18,7 @@ def parse_plain(text: Column) -> Column:
     """Number text with a decimal dot to money; anything else is NULL.
 
     A decimal cast takes exactly that: signs and exponents, but no "1d" or "NaN",
-    which a cast to double would let through.
+    which a cast to double would let through. Beyond six decimals it rounds.
     """
     return text.try_cast(MONEY)
 

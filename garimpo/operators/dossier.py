@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.dates import date_br
 from garimpo.functions.identity import digits
+from garimpo.functions.money import MONEY
 from garimpo.operators.joins import join_to_unique
-from garimpo.operators.ordering import SortKey, with_position
+from garimpo.operators.ordering import SortKey, positions_of_looked_up, with_position
 
 KEY = "cnpj_basico"
 
@@ -41,16 +42,42 @@ SANCTION_COLUMNS = (
 )
 PARTNER_COLUMNS = ("nome", "qualificacao", "data_entrada_sociedade", "faixa_etaria")
 
+FEDERAL_ORDER: tuple[SortKey, ...] = (("valor_consolidado", "desc"),)
+STATE_ORDER: tuple[SortKey, ...] = (("saldo_cda", "desc"),)
+
 
 @dataclass(frozen=True)
 class Dossier:
-    """The lead rows and their four lists."""
+    """The lead rows and their four lists; each list is planned when it is asked for."""
 
     lead: DataFrame
-    inscricoes_divida: DataFrame
-    inscricoes_divida_mg: DataFrame
-    sancoes: DataFrame
-    socios: DataFrame
+    debts: DataFrame
+    state_debts: DataFrame
+    sanctions: DataFrame
+    partners: DataFrame
+    qualifications: DataFrame
+
+    @property
+    def inscricoes_divida(self) -> DataFrame:
+        return _looked_up(self.lead, self.debts, FEDERAL_COLUMNS, FEDERAL_ORDER)
+
+    @property
+    def inscricoes_divida_mg(self) -> DataFrame:
+        return _looked_up(self.lead, self.state_debts, STATE_COLUMNS, STATE_ORDER)
+
+    @property
+    def sancoes(self) -> DataFrame:
+        return _looked_up(self.lead, self.sanctions, SANCTION_COLUMNS)
+
+    @property
+    def socios(self) -> DataFrame:
+        named = named_partners(self.partners, self.qualifications)
+        return _looked_up(self.lead, named, PARTNER_COLUMNS)
+
+    @property
+    def lists(self) -> dict[str, DataFrame]:
+        names = ("inscricoes_divida", "inscricoes_divida_mg", "sancoes", "socios")
+        return {name: getattr(self, name) for name in names}
 
 
 def _bare(cnpjs: Sequence[str]) -> list[str]:
@@ -97,20 +124,36 @@ def _entries(
     Ordered by ``first``, then by every other column, then as marked by
     :func:`_mark_copies`.
     """
-    led = [name for name, _ in first]
-    keys = [*first, *((name, "asc") for name in columns if name not in led), ("_copia", "asc")]
+    keys = [*_full_order(columns, first), ("_copia", "asc")]
     own = children.select(KEY, *columns, "_copia").join(owners.select(KEY), KEY, "left_semi")
     return with_position(own, keys, by=[KEY]).select(KEY, "posicao", *columns)
 
 
+def _full_order(columns: Sequence[str], first: Sequence[SortKey]) -> list[SortKey]:
+    led = [name for name, _ in first]
+    return [*first, *((name, "asc") for name in columns if name not in led)]
+
+
+def _looked_up(
+    owners: DataFrame,
+    children: DataFrame,
+    columns: Sequence[str],
+    first: Sequence[SortKey] = (),
+) -> DataFrame:
+    """The same for the entries of a few companies, nothing written in between."""
+    own = children.select(KEY, *columns).join(owners.select(KEY), KEY, "left_semi")
+    placed = positions_of_looked_up(own, _full_order(columns, first), KEY)
+    return placed.select(KEY, "posicao", *columns)
+
+
 def federal_entries(owners: DataFrame, debts: DataFrame) -> DataFrame:
     """Federal inscriptions, largest value first."""
-    return _entries(owners, _mark_copies(debts), FEDERAL_COLUMNS, [("valor_consolidado", "desc")])
+    return _entries(owners, _mark_copies(debts), FEDERAL_COLUMNS, FEDERAL_ORDER)
 
 
 def state_entries(owners: DataFrame, state_debts: DataFrame) -> DataFrame:
     """State inscriptions, largest balance first."""
-    return _entries(owners, _mark_copies(state_debts), STATE_COLUMNS, [("saldo_cda", "desc")])
+    return _entries(owners, _mark_copies(state_debts), STATE_COLUMNS, STATE_ORDER)
 
 
 def sanction_entries(owners: DataFrame, sanctions: DataFrame) -> DataFrame:
@@ -144,13 +187,13 @@ def dossier(
     qualifications: DataFrame,
 ) -> Dossier:
     """Dossier of the leads with the given ids; every source is looked up, not read whole."""
-    owners = find_leads(leads, cnpjs)
     return Dossier(
-        lead=owners,
-        inscricoes_divida=federal_entries(owners, of_companies(debts, cnpjs)),
-        inscricoes_divida_mg=state_entries(owners, of_companies(state_debts, cnpjs)),
-        sancoes=sanction_entries(owners, of_companies(sanctions, cnpjs)),
-        socios=partner_entries(owners, of_companies(partners, cnpjs), qualifications),
+        find_leads(leads, cnpjs),
+        of_companies(debts, cnpjs),
+        of_companies(state_debts, cnpjs),
+        of_companies(sanctions, cnpjs),
+        of_companies(partners, cnpjs),
+        qualifications,
     )
 
 
@@ -167,7 +210,7 @@ def overview(
     The four sources are stacked and counted together: one hash aggregate combined
     before the shuffle, and one join with the leads.
     """
-    no_money = F.lit(None).cast("decimal(18,2)")
+    no_money = F.lit(None).cast(MONEY)
     no_text = F.lit(None).cast("string")
     stacked = (
         debts.select(KEY, F.lit("dau").alias("fonte"), F.col("valor_consolidado").alias("valor"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
+from garimpo.functions.money import MONEY
 
 KEY = "cnpj_basico"
 
@@ -35,7 +36,7 @@ def _long_form(
 ) -> DataFrame:
     """The three sources stacked: key, source, two labels, amount, sued flag."""
     no_text = F.lit(None).cast("string")
-    no_money = F.lit(None).cast("decimal(18,2)")
+    no_money = F.lit(None).cast(MONEY)
     parts = []
     if debts is not None:
         parts.append(

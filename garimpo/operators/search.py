@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
-from garimpo.operators.ordering import SortKey, slice_of_order
+from garimpo.operators.ordering import SortKey, slice_of_order, slice_of_stored_order
 
 TIE_BREAK: SortKey = ("cnpj", "asc")
 
@@ -23,6 +23,9 @@ ORDERINGS: dict[str, tuple[SortKey, ...]] = {
     "razao_social": (("razao_social", "asc"), TIE_BREAK),
 }
 
+#: The order that leads are stored in.
+STORED_ORDER = "score"
+
 PAGE_SIZE_LIMIT = 500
 
 _REGIME_PREFIXES = {"real": fv.REGIME_REAL_PREFIX, "presumido": fv.REGIME_PRESUMED_PREFIX}
@@ -53,6 +56,12 @@ class SearchSpec:
         if not 1 <= self.por_pagina <= PAGE_SIZE_LIMIT:
             raise ValueError(f"por_pagina is 1 to {PAGE_SIZE_LIMIT}")
 
+    @property
+    def unfiltered(self) -> bool:
+        """Does the search ask for all leads? (No lead has a score below 0.)"""
+        bare = SearchSpec(ordenar=self.ordenar, pagina=self.pagina, por_pagina=self.por_pagina)
+        return replace(self, score_minimo=max(self.score_minimo, 0)) == bare
+
     @property
     def offset(self) -> int:
         return (self.pagina - 1) * self.por_pagina
@@ -107,6 +116,13 @@ def page(leads: DataFrame, spec: SearchSpec) -> DataFrame:
     )
 
 
+def stored_page(stored: DataFrame, parts: DataFrame, spec: SearchSpec) -> DataFrame:
+    """One page of all leads in the order they are stored in, however deep: a range read."""
+    if not spec.unfiltered or spec.ordenar != STORED_ORDER:
+        raise ValueError("only pages of all leads in their stored order can be read so")
+    return slice_of_stored_order(stored, parts, spec.offset, spec.por_pagina)
+
+
 def page_count(leads: DataFrame, spec: SearchSpec) -> DataFrame:
     """One row: rows found, pages (at least 1), first and last row of the page."""
     total = F.col("total")

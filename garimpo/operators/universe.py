@@ -18,6 +18,7 @@ from garimpo.functions.dates import drop_sentinels
 from garimpo.functions.identity import blank_to_null, phone
 from garimpo.functions.money import parse_decimal_comma
 from garimpo.operators.joins import join_to_unique
+from garimpo.operators.keyset import key_set, within
 from garimpo.parameters import Parameters
 
 # Code lists: code column of the universe, description column it gets.
@@ -105,8 +106,7 @@ def companies_outside_simples(
     )
 
 
-def wanted_establishments(estabelecimentos: DataFrame, params: Parameters) -> DataFrame:
-    """Establishments of the state, statuses and kind the run asks for."""
+def _wanted(estabelecimentos: DataFrame, params: Parameters) -> DataFrame:
     rows = estabelecimentos.where(
         F.col("situacao_cadastral").isin(*params.situacoes_cadastrais)
     )
@@ -114,7 +114,12 @@ def wanted_establishments(estabelecimentos: DataFrame, params: Parameters) -> Da
         rows = rows.where(F.col("uf") == params.uf)
     if params.somente_matriz:
         rows = rows.where(F.col("identificador_matriz_filial") == fv.HEAD_OFFICE)
-    return rows.select(
+    return rows
+
+
+def wanted_establishments(estabelecimentos: DataFrame, params: Parameters) -> DataFrame:
+    """Establishments of the state, statuses and kind the run asks for."""
+    return _wanted(estabelecimentos, params).select(
         "cnpj_basico",
         F.concat("cnpj_basico", "cnpj_ordem", "cnpj_dv").alias("cnpj"),
         blank_to_null(F.col("nome_fantasia")).alias("nome_fantasia"),
@@ -160,7 +165,16 @@ def base_rows(
     params: Parameters,
     company_facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Universe rows before descriptions, with ``company_facts`` columns if given."""
+    """Universe rows before descriptions, with ``company_facts`` columns if given.
+
+    A run for one state looks at the companies of that state alone: their keys, a bitmap of
+    bounded size, cut the tables by company down before they are shuffled.
+    """
+    if params.uf is not None:
+        keys = key_set(_wanted(estabelecimentos, params), "cnpj_basico")
+        empresas, simples = (within(rows, "cnpj_basico", keys) for rows in (empresas, simples))
+        if company_facts is not None:
+            company_facts = within(company_facts, "cnpj_basico", keys)
     companies = companies_outside_simples(empresas, simples, params)
     extra: list[str] = []
     if company_facts is not None:

@@ -4,6 +4,7 @@
     spark-submit run.py --stage S transform
     spark-submit run.py --stage S summary
     spark-submit run.py --stage S export --folder out --limit 5000
+    spark-submit run.py --stage S dossier 12.345.678/0001-95
 
 The landing zone holds the unpacked files: ``receita/<month>/...``, ``pgfn/<quarter>/
 {geral,previdenciaria,fgts}``, ``transparencia/<register>_<date>`` and ``mg``.
@@ -20,8 +21,10 @@ from pyspark.sql import SparkSession
 
 from garimpo import fixed_values as fv
 from garimpo.parameters import Parameters
+from garimpo.operators.dossier import Dossier
 from garimpo.plans import pipeline
 from garimpo.plans.session import build_session
+from garimpo.sinks.export import ROWS_PER_FILE
 
 SOURCES = ("receita", "pgfn", "mg_divida", "transparencia")
 _CATEGORY_FOLDERS = dict(zip(fv.FEDERAL_DEBT_CATEGORIES, ("geral", "previdenciaria", "fgts")))
@@ -66,6 +69,22 @@ def ingest(
     return loaded
 
 
+#: Entries of a list that are printed at a time.
+PRINTED = 1_000
+
+
+def print_dossier(found: Dossier, cnpjs: Sequence[str]) -> None:
+    """The leads and the start of their lists as lines of JSON."""
+    leads = found.lead.toJSON().collect()
+    for line in leads:
+        print(f"lead {line}")
+    if len(leads) < len(set(cnpjs)):
+        print(f"{len(set(cnpjs)) - len(leads)} not found")
+    for name, rows in found.lists.items():
+        for line in rows.orderBy("cnpj_basico", "posicao").limit(PRINTED).toJSON().collect():
+            print(f"{name} {line}")
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     parser.add_argument("--stage", required=True, help="folder of the stage tables")
@@ -77,10 +96,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     load.add_argument("--source", action="append", choices=SOURCES)
     steps.add_parser("transform")
     steps.add_parser("summary")
+    steps.add_parser("dossier").add_argument("cnpj", nargs="+")
     sheet = steps.add_parser("export")
     sheet.add_argument("--folder", required=True)
     sheet.add_argument("--limit", type=int)
     sheet.add_argument("--min-findings", type=int, default=0)
+    sheet.add_argument("--rows-per-file", type=int, default=ROWS_PER_FILE)
     args = parser.parse_args(argv)
 
     spark = build_session()
@@ -93,8 +114,13 @@ def main(argv: Sequence[str] | None = None) -> None:
             print(f"{table}: {count}")
     elif args.step == "export":
         print(
-            pipeline.export(spark, args.stage, args.folder, params, args.limit, args.min_findings)
+            pipeline.export(
+                spark, args.stage, args.folder, params, args.limit, args.min_findings,
+                args.rows_per_file,
+            )
         )
+    elif args.step == "dossier":
+        print_dossier(pipeline.dossier(spark, args.stage, args.cnpj), args.cnpj)
     else:
         if args.step == "transform":
             pipeline.transform(spark, args.stage, params)

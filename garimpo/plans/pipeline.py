@@ -18,14 +18,16 @@ from garimpo.operators.facts import facts_by_company
 from garimpo.operators.findings import COLUMNS as FINDING_COLUMNS
 from garimpo.operators.findings import add_findings
 from garimpo.operators.leads import leads as lead_rows
-from garimpo.operators.search import ORDERINGS
+from garimpo.operators.ordering import PLACE, parts_of_order
+from garimpo.operators.search import ORDERINGS, STORED_ORDER, SearchSpec, stored_page
+from garimpo.operators.search import page as search_page
 from garimpo.operators.universe import COLUMNS as UNIVERSE_COLUMNS
 from garimpo.operators.universe import LOOKUPS, base_rows, enrich, universe
 from garimpo.parameters import Parameters
 from garimpo.plans.load import CARRIED, Load, Shape, Source, load
 from garimpo.sinks import versions
 from garimpo.sinks.audit import require_unique
-from garimpo.sinks.export import default_target, write_sheet
+from garimpo.sinks.export import ROWS_PER_FILE, default_target, write_sheet
 from garimpo.sinks.stages import ordered_writer, read_stage
 from garimpo.sources import federal_debt, sanctions, state_debt
 from garimpo.sources.header_csv import (
@@ -296,6 +298,8 @@ def build_leads(tables: Tables, params: Parameters) -> DataFrame:
 
 
 _WIDE = "universo_com_apontamentos"
+#: Leads with their place in the stored order, and the rows of its parts.
+_ORDERED, _PARTS = "leads_em_ordem", "leads_partes"
 
 
 def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str, DataFrame]:
@@ -310,22 +314,33 @@ def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str,
         {name: (tables.registry[name], "cnpj_basico") for name in ("empresas", "simples")}
         | {name: (codes, "codigo") for name, codes in tables.lookups.items()}
     )
-    folders = {table: versions.new_folder(table) for table in (_WIDE, "leads")}
+    folders = {table: versions.new_folder(table) for table in (_WIDE, "leads", _PARTS)}
     build_rows(tables, params).write.parquet(f"{stage}/{folders[_WIDE]}")
     wide = spark.read.parquet(f"{stage}/{folders[_WIDE]}")
     ordered_writer(
-        lead_rows(wide, params), ORDERINGS["score"], lookups=["cnpj", "cnpj_basico", "municipio"]
+        lead_rows(wide, params), ORDERINGS[STORED_ORDER],
+        lookups=["cnpj", "cnpj_basico", "municipio"], place=PLACE,
     ).parquet(f"{stage}/{folders['leads']}")
+    stored = spark.read.parquet(f"{stage}/{folders['leads']}")
+    parts_of_order(stored).coalesce(1).write.parquet(f"{stage}/{folders[_PARTS]}")
     own_flag = {"saiu_do_simples": "saiu_do_simples_registro AS saiu_do_simples"}
     versions.commit(
         spark, stage,
         {
             _WIDE: versions.Version(folders[_WIDE]),
             "universo": versions.Version(
-                folders[_WIDE], tuple(own_flag.get(name, name) for name in UNIVERSE_COLUMNS)
+                folders[_WIDE], tuple(own_flag.get(name, name) for name in UNIVERSE_COLUMNS),
+                schema=wide.schema.toDDL(),
             ),
-            "apontamentos": versions.Version(folders[_WIDE], tuple(FINDING_COLUMNS)),
-            "leads": versions.Version(folders["leads"]),
+            "apontamentos": versions.Version(
+                folders[_WIDE], tuple(FINDING_COLUMNS), schema=wide.schema.toDDL()
+            ),
+            "leads": versions.Version(
+                folders["leads"], tuple(name for name in stored.columns if name != PLACE),
+                schema=stored.schema.toDDL(),
+            ),
+            _ORDERED: versions.Version(folders["leads"]),
+            _PARTS: versions.Version(folders[_PARTS]),
         },
     )
     return {
@@ -333,6 +348,17 @@ def transform(spark: SparkSession, stage: str, params: Parameters) -> dict[str,
     }
 
 
+def page(spark: SparkSession, stage: str, spec: SearchSpec) -> DataFrame:
+    """One page of the leads of a finished stage folder.
+
+    All leads in their stored order are read by place, however deep the page.
+    """
+    if spec.unfiltered and spec.ordenar == STORED_ORDER:
+        ordered, parts = (read_stage(spark, f"{stage}/{name}") for name in (_ORDERED, _PARTS))
+        return stored_page(ordered, parts, spec)
+    return search_page(read_stage(spark, f"{stage}/leads"), spec)
+
+
 def summary(spark: SparkSession, stage: str, params: Parameters) -> DataFrame:
     """Overview lines of a finished stage folder."""
     return reports.panorama(
@@ -363,6 +389,7 @@ def export(
     params: Parameters,
     limit: int | None = None,
     min_findings: int = 0,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> str:
     """Write the lead sheet of a finished stage folder and return its path."""
     return write_sheet(
@@ -370,4 +397,5 @@ def export(
         default_target(folder, params.uf),
         limit,
         min_findings,
+        rows_per_file=rows_per_file,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
-from garimpo.operators.ordering import TOP_K_ROWS, SortKey, slice_of_order, sort_columns
+from garimpo.operators.ordering import SortKey, slice_of_order, sort_columns, with_position
 
 # Two decimals as shown, and room for any capital on file.
 _AMOUNT = "decimal(38,2)"
@@ -19,6 +19,10 @@ SHEET_ORDER: tuple[SortKey, ...] = (
 )
 
 
+#: Rows of one file of a written sheet.
+ROWS_PER_FILE = 100_000
+
+
 def default_target(folder: str, uf: str | None) -> str:
     return f"{folder.rstrip('/')}/leads_{(uf or 'br').lower()}"
 
@@ -49,14 +53,22 @@ def write_sheet(
     limit: int | None = None,
     min_findings: int = 0,
     file_format: str = "csv",
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> str:
     """Write the sheet and return its path.
 
-    A short sheet is one file; a long one is several, whose names sort in sheet order.
+    Files hold ``rows_per_file`` rows each, the last one what is left; their names sort in
+    sheet order, and rows stand in order within.
     """
-    sheet = lead_sheet(leads, limit, min_findings)
-    if limit and limit <= TOP_K_ROWS:
-        sheet = sheet.coalesce(1)
+    wanted = leads.where(F.col("qtd_apontamentos") >= min_findings)
+    placed = with_position(wanted, SHEET_ORDER)
+    if limit:
+        placed = placed.where(F.col("posicao") <= limit)
+    last = placed.agg(F.max("posicao")).first()[0] or 1
+    files = -(-last // rows_per_file)
+    file = ((F.col("posicao") - 1) / rows_per_file).cast("int")
+    sheet = placed.repartitionById(files, file).sortWithinPartitions("posicao")
+    sheet = sheet.select(*[F.col(name).alias(title) for name, title in fv.EXPORT_COLUMNS])
     if file_format == "csv":
         _plain_amounts(sheet).write.mode("overwrite").options(
             header="true",

@@ -34,15 +34,20 @@ def replace_stage(rows: DataFrame, path: str, partition_by: Sequence[str] = ())
 
 
 def ordered_writer(
-    rows: DataFrame, keys: Sequence[SortKey], lookups: Sequence[str]
+    rows: DataFrame, keys: Sequence[SortKey], lookups: Sequence[str], place: str | None = None
 ) -> DataFrameWriter:
     """Writer of rows in a total order, with Bloom filters on columns that are looked up.
 
+    ``place`` names a column that tells where in the order a row lies.
+
     The order narrows the range of the leading keys in each file, so that filters on
     them skip files; the Bloom filters let a lookup of one value skip the rest.
     """
     blooms = {f"parquet.bloom.filter.enabled#{column}": "true" for column in lookups}
-    return rows.orderBy(*sort_columns(keys)).write.mode("overwrite").options(**blooms)
+    ordered = rows.orderBy(*sort_columns(keys))
+    if place:
+        ordered = ordered.withColumn(place, F.monotonically_increasing_id())
+    return ordered.write.mode("overwrite").options(**blooms)
 
 
 def replace_ordered_stage(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import pytest
 
 from garimpo import fixed_values as fv
-from garimpo.operators import reports
+from garimpo.operators import reports, search
+from garimpo.operators.ordering import PLACE, parts_of_order, slice_of_stored_order, sort_columns
 from garimpo.parameters import Parameters
 from garimpo.plans import job, pipeline
 from garimpo.sinks.audit import DuplicateKeys
-from garimpo.sinks.stages import append_stage, read_stage, replace_stage
+from garimpo.sinks.stages import append_stage, ordered_writer, read_stage, replace_stage
 from tests.sample import AS_OF, write_landing
 
 PARAMS = Parameters()
@@ -211,6 +214,61 @@ def test_export(spark, stage, tmp_path):
     assert spark.read.options(header="true", sep=";").csv(everything).count() == 4
 
 
+def test_sheet_files_hold_a_stated_number_of_rows(spark, stage, tmp_path):
+    path = pipeline.export(spark, stage[0], str(tmp_path), PARAMS, rows_per_file=3)
+    whole = pipeline.export(spark, stage[0], str(tmp_path / "whole"), PARAMS)
+    files = sorted(p for p in pathlib.Path(path).iterdir() if p.suffix == ".csv")
+    texts = [file.read_text().splitlines() for file in files]
+    assert [len(lines) - 1 for lines in texts] == [3, 1]
+    (one,) = [p for p in pathlib.Path(whole).iterdir() if p.suffix == ".csv"]
+    assert one.read_text().splitlines() == [*texts[0], *texts[1][1:]]
+
+
+def test_deep_pages_are_range_reads(spark, stage):
+    leads = read_stage(spark, f"{stage[0]}/leads")
+    wanted = [r.cnpj for r in leads.orderBy(*sort_columns(search.ORDERINGS["score"])).collect()]
+    pages = []
+    for number in (1, 2, 3, 1000):
+        spec = search.SearchSpec(pagina=number, por_pagina=2)
+        page = pipeline.page(spark, stage[0], spec)
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and page.columns == leads.columns
+        pages.append([r.cnpj for r in page.collect()])
+    assert pages == [wanted[:2], wanted[2:], [], []]
+    other = pipeline.page(spark, stage[0], search.SearchSpec(com_divida=True, por_pagina=1))
+    assert other.count() == 1
+
+
+def test_stored_order_in_many_parts(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS score").repartition(13)
+    keys = (("score", "desc"), ("id", "asc"))
+    ordered_writer(rows, keys, ["id"], place=PLACE).parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    parts = parts_of_order(stored)
+    wanted = [r.id for r in rows.orderBy(*sort_columns(keys)).collect()]
+    for offset, limit in ((0, 10), (137, 400), (995, 50), (2000, 5)):
+        got = slice_of_stored_order(stored, parts, offset, limit)
+        assert [r.id for r in got.collect()] == wanted[offset : offset + limit]
+
+
+def test_dossier_lists_are_planned_when_asked_for(spark, stage, capsys):
+    group = "dossier-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    found = pipeline.dossier(spark, stage[0], ["10.000.001/0001-55"])
+    lists = found.lists
+    tracker = spark.sparkContext.statusTracker()
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext._jsc.clearJobGroup()
+    plan = lists["inscricoes_divida"]._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
+    values = [float(r.valor_consolidado) for r in lists["inscricoes_divida"].orderBy("posicao").collect()]
+    assert values == sorted(values, reverse=True) and len(values) == 2
+    job.main(["--stage", stage[0], "dossier", "10000001000155", "1"])
+    out = capsys.readouterr().out
+    assert out.startswith("lead {") and "1 not found" in out
+    assert out.count("inscricoes_divida {") == 2
+
+
 def test_branches_do_not_multiply(spark, stage):
     params = PARAMS.replace(somente_matriz=False, somente_com_apontamento=False)
     rows = pipeline.build_leads(pipeline.load_tables(spark, stage[0]), params)

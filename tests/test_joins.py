@@ -51,3 +51,16 @@ def test_hot_key_is_split(spark, how):
     assert (row.hot, row.matched) == (20000, 40000)
     assert row.rows == (40000 if how == "inner" else 60000)
     assert "skew=true" in plan
+
+
+def test_key_bitmaps_cut_tables_down(spark):
+    from garimpo.operators.keyset import key_set, within
+
+    wanted = ["00000000", "99999999", "00032767", "00032768", "00065536", "1234567", "AB345678"]
+    keys = spark.createDataFrame([(k,) for k in [*wanted, None]], "k string")
+    rows = spark.range(0, 100_000_000, 4096).selectExpr("lpad(id, 8, '0') AS k").unionAll(keys)
+    got = within(rows, "k", key_set(keys, "k")).distinct().collect()
+    assert {r.k for r in got} == {*wanted, None}
+    none = within(rows, "k", key_set(keys.limit(0), "k"))
+    # Keys that are not eight digits cannot be told and stay.
+    assert {r.k for r in none.collect()} == {"1234567", "AB345678", None}

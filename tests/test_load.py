@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 import pytest
 
@@ -123,17 +124,19 @@ def test_every_line_is_accounted_for(spark, tmp_path):
 
 
 def _jobs(spark, action):
-    spark.sparkContext.setJobGroup("counted", "counted")
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
     try:
         action()
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     finally:
         spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_one_scan_writes_rows_and_rejects(spark, tmp_path):
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
     counts = []
-    for files in (2, 30):
+    for files in (12, 30):
         folder = tmp_path / str(files)
         for i in range(files):
             write(folder / f"{i}.csv", "1;b;c\n" * 5 + "1;b;c;d\n")
@@ -146,6 +149,7 @@ def test_one_scan_writes_rows_and_rejects(spark, tmp_path):
         versions.commit(spark, stage, done[0].versions)
         assert read_stage(spark, f"{stage}/t").count() == 5 * files
     # A write and a count of what was written. (Beyond 32 paths Spark lists files in jobs.)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
     assert counts[0] == counts[1] <= 3
 
 

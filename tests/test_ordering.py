@@ -69,3 +69,26 @@ def test_deep_slices_equal_shallow_ones(skewed, monkeypatch, offset, limit):
     monkeypatch.setattr(ordering, "TOP_K_ROWS", 1)
     deep = ordering.slice_of_order(frame, keys, offset, limit)
     assert [tuple(r) for r in deep.collect()] == shallow[offset : offset + limit]
+
+
+def test_positions_of_looked_up_rows(spark):
+    import random
+
+    from garimpo.operators.ordering import positions_of_looked_up, with_position
+
+    pick = random.Random(3)
+    values = [None, None, -5.0, 0.0, 0.4, 1.0, 7.25, 7.5, 1e6, 12345678901234.5]
+    words = [None, "", "a", "ab", "abc", "abcd", "abd", "é", "日本語"]
+    rows = spark.createDataFrame(
+        [(pick.choice("xy"), pick.choice(values), pick.choice(words), i) for i in range(400)],
+        "k string, v double, w string, i int",
+    )
+    for keys in (
+        (("v", "desc"), ("w", "asc"), ("i", "asc")), (("w", "asc"), ("v", "asc"), ("i", "asc")),
+        (("v", "asc"), ("i", "desc")), (("w", "desc"), ("i", "asc")),
+    ):
+        got = positions_of_looked_up(rows, keys, "k")
+        wanted = with_position(rows, keys, by=["k"])
+        assert sorted((r.i, r.posicao) for r in got.collect()) == sorted(
+            (r.i, r.posicao) for r in wanted.collect()
+        )
