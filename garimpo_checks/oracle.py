@@ -18,7 +18,9 @@ from garimpo_checks.spark_queries import (
     OTHER_WEIGHTS,
     PARAMS,
     SECOND_PAGE,
+    SHEET_ROWS,
     STATE,
+    STORED_PAGE,
 )
 from garimpo import fixed_values as fv
 from garimpo.parameters import ScoreWeights
@@ -452,6 +454,13 @@ _SHARE_NAMES = ("com_apontamento", "com_divida", "com_divida_mg", "irregulares",
                 "ex_simples", "lucro_real", "lucro_presumido")
 _TENTHS = "((2000 * valor + total) // (2 * total))"
 
+_SHEET_AMOUNTS = ("capital_social", "dau_valor_total", "dam_valor_total")
+_SHEET_TEXT = ", ".join(
+    f'CAST(CAST(CAST({name} AS VARCHAR) AS DECIMAL(38,2)) AS VARCHAR) AS "{title}"'
+    if name in _SHEET_AMOUNTS
+    else f"""nullif(CAST({name} AS VARCHAR), '') AS "{title}\""""
+    for name, title in fv.EXPORT_COLUMNS
+)
 _SHEET = ", ".join(f'{name} AS "{title}"' for name, title in fv.EXPORT_COLUMNS)
 
 _TOP = """SELECT municipio, count(*) AS total,
@@ -469,12 +478,10 @@ _QUERIES: dict[str, str] = {
     "scan_header_csv": "SELECT * FROM socios",
     "rejected_lines": "SELECT CAST(4 AS INTEGER) AS largura, cnpj_basico || ';A;B;1,00' AS linha "
     "FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 = 0",
-    "scan_quoted_break": """SELECT 'carregada' AS destino, cnpj_basico || ';A B;1,00' AS linha
-        FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 <> 0
-        UNION ALL SELECT 'recusada', cnpj_basico || ';"A'
-        FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 = 0
-        UNION ALL SELECT 'recusada', 'B";1,00'
-        FROM empresas WHERE CAST(cnpj_basico AS BIGINT) % 7 = 0""",
+    "scan_quoted_break": """SELECT 'carregada' AS destino, cnpj_basico
+            || if(CAST(cnpj_basico AS BIGINT) % 7 = 0, ';A' || chr(10) || 'B;1,00', ';A B;1,00')
+            AS linha
+        FROM empresas""",
     "layout_mismatch": """SELECT '3 columns declared, lines have [3, 4], most of them 4' AS motivo,
         count(*) AS count FROM (
             SELECT right(cnpj_basico, 1) FROM empresas GROUP BY 1
@@ -503,10 +510,23 @@ _QUERIES: dict[str, str] = {
             count(*) AS linhas FROM divida_uniao GROUP BY categoria
         UNION ALL SELECT 'divida_ativa_mg', 'todas', count(*) FROM divida_mg
         UNION ALL SELECT 'sancoes', cadastro, count(*) FROM sancoes_limpas GROUP BY cadastro""",
+    "ingest_account": """SELECT 'divida_ativa_uniao' AS tabela, 'geral' AS parte,
+            CAST(sum(if(resto = 1, 2, 1)) AS BIGINT) AS lidas,
+            count(*) FILTER (resto IN (1, 3)) AS carregadas,
+            count(*) FILTER (resto = 0) AS recusadas
+        FROM (SELECT CAST(cnpj_basico AS BIGINT) % 4 AS resto FROM empresas)
+        UNION ALL SELECT 'divida_ativa_mg', 'todas', (SELECT count(*) FROM divida_mg_bruta),
+            count(*), 0 FROM divida_mg""",
     "duplicate_keys": """SELECT 'socios' AS tabela, cnpj_basico AS chave, count(*) AS linhas
         FROM socios GROUP BY cnpj_basico HAVING count(*) > 1""",
     "parse_money_br": f"""SELECT numero_inscricao, valor_consolidado AS texto,
         CAST({_money("valor_consolidado")} AS DOUBLE) AS valor FROM divida_bruta""",
+    "parse_money_wide": """SELECT o_orderkey,
+        CAST(12345678901 + o_orderkey AS VARCHAR) || '123456.'
+            || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || '00' AS divida,
+        '9876543210' || CAST(100000 + o_custkey % 9 AS VARCHAR) || '.'
+            || lpad(CAST(o_orderkey % 997 AS VARCHAR), 4, '0') || '00' AS saldo
+        FROM orders""",
     "parse_decimal_comma": f"""SELECT cnpj_basico,
         {_number("replace(capital_social, ',', '.')", "DOUBLE")} AS capital
         FROM empresas""",
@@ -539,6 +559,7 @@ _QUERIES: dict[str, str] = {
         FROM estabelecimentos""",
     "simples_status": "SELECT * FROM situacao_simples",
     "universe": f"SELECT {_UNIVERSE_COLUMNS} FROM base_matrizes",
+    "universe_one_state": f"SELECT {_UNIVERSE_COLUMNS} FROM base_matrizes WHERE uf = '{STATE}'",
     "universe_enriched": f"""SELECT {_UNIVERSE_COLUMNS}, municipio, cnae_descricao,
         natureza_descricao, motivo_descricao FROM universo""",
     "debt_by_company": "SELECT * FROM soma_uniao",
@@ -552,6 +573,7 @@ _QUERIES: dict[str, str] = {
         ({_REGIME})[2] AS regime_confianca FROM universo""",
     "lead_score": "SELECT cnpj, outro_score AS score, qtd_apontamentos FROM leads_todos",
     "leads": f"SELECT {_LEAD_COLUMNS} FROM leads",
+    "leads_one_state": f"SELECT {_LEAD_COLUMNS} FROM leads WHERE uf = '{STATE}'",
     "leads_all": f"SELECT {_LEAD_COLUMNS} FROM leads_todos",
     "leads_with_branches": f"SELECT {_LEAD_COLUMNS} FROM leads_unidades",
     "lead_tags": _tags(),
@@ -589,6 +611,9 @@ _QUERIES: dict[str, str] = {
     "lead_order_razao_social": _place("razao_social NULLS LAST, cnpj", "razao_social, cnpj"),
     "lead_page": f"""{_search(_SECOND_PAGE)} ORDER BY score DESC, dau_valor_total DESC, cnpj
         LIMIT {SECOND_PAGE.por_pagina} OFFSET {SECOND_PAGE.offset}""",
+    "lead_page_stored": f"""SELECT {_LEAD_COLUMNS} FROM leads
+        ORDER BY score DESC, dau_valor_total DESC, cnpj
+        LIMIT {STORED_PAGE.por_pagina} OFFSET {STORED_PAGE.offset}""",
     "lead_page_count": f"""SELECT total,
         greatest(1, (total + {SECOND_PAGE.por_pagina - 1}) // {SECOND_PAGE.por_pagina})
             AS paginas,
@@ -657,6 +682,10 @@ _QUERIES: dict[str, str] = {
     "stage_roundtrip": f"SELECT {_LEAD_COLUMNS} FROM leads",
     "append_slices": "SELECT * FROM empresas",
     "export_sheet": f"SELECT {_SHEET} FROM leads_todos WHERE qtd_apontamentos >= 1",
+    "export_sheet_files": f"""SELECT {_SHEET_TEXT}, CAST((row_number() OVER (
+            ORDER BY score DESC, dau_valor_total DESC, razao_social, cnpj) - 1) // {SHEET_ROWS}
+            AS INTEGER) AS arquivo
+        FROM leads""",
     "export_sheet_csv": """SELECT cnpj_formatado AS "CNPJ", CAST(score AS VARCHAR) AS "Score",
         apontamentos_texto AS "Apontamentos", municipio AS "Município"
         FROM (SELECT * FROM leads

@@ -12,7 +12,7 @@ from garimpo_checks.roles import role, table
 from garimpo import fixed_values as fv
 from garimpo.functions import dates, identity, money
 from garimpo.operators import dossier as dossiers
-from garimpo.operators import facts, findings, reports, search, universe
+from garimpo.operators import facts, findings, ordering, reports, search, universe
 from garimpo.operators import leads as lead_ops
 from garimpo.operators.ordering import with_position
 from garimpo.parameters import Parameters, ScoreWeights
@@ -53,6 +53,9 @@ IN_MUNICIPALITY = search.SearchSpec(municipio="NATION_7", ordenar="capital")
 BY_TEXT = search.SearchSpec(busca="fantasia 1_7")
 BY_ID = search.SearchSpec(busca="0/0001-1")
 SECOND_PAGE = search.SearchSpec(pagina=2, por_pagina=20, irregular=False)
+STORED_PAGE = search.SearchSpec(pagina=9, por_pagina=30)
+#: Rows of a file of the written sheet.
+SHEET_ROWS = 250
 
 # Published header names, written over the canonical ones for the round trips.
 FEDERAL_HEADERS = {
@@ -177,10 +180,11 @@ def scan_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_lines(rows: DataFrame, line: Column, header: str, path: str) -> None:
     """Header files of raw lines, one for each last digit of the company."""
-    lines = rows.groupBy(F.right("cnpj_basico", F.lit(1)).alias("final")).agg(
-        F.concat_ws("\n", F.lit(header), F.array_sort(F.collect_list(line))).alias("value")
-    )
-    lines.write.partitionBy("final").text(path)
+    lines = rows.select(F.right("cnpj_basico", F.lit(1)).alias("final"), line.alias("value"))
+    first = lines.select("final", F.lit(header).alias("value")).distinct()
+    every = first.withColumn("ordem", F.lit(0)).unionByName(lines.withColumn("ordem", F.lit(1)))
+    dealt = every.repartition("final").sortWithinPartitions("final", "ordem").drop("ordem")
+    dealt.write.partitionBy("final").text(path)
 
 
 def _lines_of_companies(spark: SparkSession, sf_dir: str, line: str) -> str:
@@ -199,7 +203,7 @@ def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_quoted_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, some with a line break inside quotes: both of their lines are rejected."""
+    """The same, some with a line break inside quotes: one record each."""
     line = """concat(cnpj_basico, if(cnpj_basico % 7 = 0, ';"A\\nB";1,00', ';A B;1,00'))"""
     path = _lines_of_companies(spark, sf_dir, line)
     files = registry.list_files(spark, path, "*.txt")
@@ -323,6 +327,22 @@ def parse_money_br(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parse_money_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debts and state balances of seventeen digits and four decimals, exact."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.expr("""concat(CAST(12345678901 + o_orderkey AS STRING), '.123.456,',
+            lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'))""").alias("br"),
+        F.expr("""concat('9876543210', CAST(100000 + o_custkey % 9 AS STRING), '.',
+            lpad(CAST(o_orderkey % 997 AS STRING), 4, '0'))""").alias("plain"),
+    )
+    return orders.select(
+        "o_orderkey",
+        money.parse_money_br(F.col("br")).cast("string").alias("divida"),
+        money.parse_plain(F.col("plain")).cast("string").alias("saldo"),
+    )
+
+
 def parse_decimal_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role(spark, sf_dir, "empresas").select(
         "cnpj_basico",
@@ -458,6 +478,16 @@ def lead_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads(spark, sf_dir, OTHER_WEIGHTS).select("cnpj", "score", "qtd_apontamentos")
 
 
+def universe_one_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of other states are cut off by the key bitmap before the joins."""
+    rows = _universe(spark, sf_dir, PARAMS.replace(uf=STATE))
+    return rows.select(*universe.BASE_COLUMNS)
+
+
+def leads_one_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads(spark, sf_dir, PARAMS.replace(uf=STATE))
+
+
 def leads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads(spark, sf_dir, EVERY_LEAD)
 
@@ -526,6 +556,16 @@ def _search(spec: search.SearchSpec) -> Query:
     return lambda spark, sf_dir: search.matching(leads(spark, sf_dir), spec)
 
 
+def lead_page_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of leads stored in order, read by place."""
+    path = work_folder(spark, "leads-em-ordem")
+    keys = search.ORDERINGS[search.STORED_ORDER]
+    stages.ordered_writer(leads(spark, sf_dir), keys, ["cnpj"], ordering.PLACE).parquet(path)
+    stored = spark.read.parquet(path)
+    parts = ordering.parts_of_order(stored)
+    return search.stored_page(stored, parts, STORED_PAGE)
+
+
 def _page(spec: search.SearchSpec) -> Query:
     return lambda spark, sf_dir: search.page(leads(spark, sf_dir), spec)
 
@@ -627,6 +667,15 @@ def export_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.lead_sheet(leads_all(spark, sf_dir), min_findings=1)
 
 
+def export_sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole written sheet read back, every column as text, with the file of each row."""
+    path = work_folder(spark, "sheet-files")
+    export.write_sheet(leads(spark, sf_dir), path, rows_per_file=SHEET_ROWS)
+    sheet = spark.read.options(header="true", sep=";", escape='"').csv(path)
+    number = F.regexp_extract(F.input_file_name(), r"part-([0-9]+)-", 1).cast("int")
+    return sheet.select("*", number.alias("arquivo"))
+
+
 def export_sheet_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written sheet read back: values as text."""
     path = work_folder(spark, "sheet")
@@ -635,6 +684,30 @@ def export_sheet_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheet.select("CNPJ", "Score", "Apontamentos", "Município")
 
 
+def ingest_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read, loaded and rejected of four sources, as their loads account for them.
+
+    Among the debts are bare delimiters, line breaks inside quotes and natural persons.
+    """
+    stage, landing = work_folder(spark, "conta"), work_folder(spark, "conta-arquivos")
+    line = """concat(cnpj_basico, CASE cnpj_basico % 4 WHEN 0 THEN '000100;A;B;1,00'
+        WHEN 1 THEN '000100;"A\nB";1,00' WHEN 2 THEN '100;A B;1,00' ELSE '000100;A B;1,00' END)"""
+    companies = role(spark, sf_dir, "empresas")
+    _write_lines(companies, F.expr(line), "CPF_CNPJ;NOME;VALOR", f"{landing}/geral")
+    folders = {"geral": f"{landing}/geral", "fgts": f"{landing}/fgts"}
+    pipeline.ingest_federal_debt(spark, folders, stage, PARAMS)
+    cells = role(spark, sf_dir, "divida_mg_bruta").select(*fv.STATE_DEBT_CELLS)
+    _write_csv(cells, f"{landing}/mg", header=True)
+    pipeline.ingest_state_debt(
+        spark, f"{landing}/mg", stage, PARAMS,
+        table(spark, sf_dir, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0],
+    )
+    account = pipeline.load_audit(spark, stage)
+    return account.groupBy("tabela", "parte").agg(
+        *[F.sum(name).alias(name) for name in ("lidas", "carregadas", "recusadas")]
+    )
+
+
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.load_audit(
         {
@@ -673,8 +746,10 @@ QUERIES: dict[str, Query] = {
     "union_debts": union_debts,
     "union_sanctions": union_sanctions,
     "load_audit": load_audit,
+    "ingest_account": ingest_account,
     "duplicate_keys": duplicate_keys,
     "parse_money_br": parse_money_br,
+    "parse_money_wide": parse_money_wide,
     "parse_decimal_comma": parse_decimal_comma,
     "format_money_br": format_money_br,
     "format_thousands": format_thousands,
@@ -685,6 +760,7 @@ QUERIES: dict[str, Query] = {
     "simples_status": simples_status,
     "universe": universe_base,
     "universe_enriched": universe_enriched,
+    "universe_one_state": universe_one_state,
     "debt_by_company": debt_by_company,
     "state_debt_by_company": state_debt_by_company,
     "sanctions_by_company": sanctions_by_company,
@@ -695,6 +771,7 @@ QUERIES: dict[str, Query] = {
     "lead_score": lead_score,
     "leads": leads,
     "leads_all": leads_all,
+    "leads_one_state": leads_one_state,
     "leads_with_branches": leads_with_branches,
     "leads_no_findings": leads_no_findings,
     "lead_tags": lead_tags,
@@ -713,6 +790,7 @@ QUERIES: dict[str, Query] = {
     **{f"lead_order_{name}": _order(name) for name in search.ORDERINGS},
     "lead_page": _page(SECOND_PAGE),
     "lead_page_count": _page_count(SECOND_PAGE),
+    "lead_page_stored": lead_page_stored,
     "dossier": dossier,
     "dossier_federal": dossier_federal,
     "dossier_state": dossier_state,
@@ -724,4 +802,5 @@ QUERIES: dict[str, Query] = {
     "append_slices": append_slices,
     "export_sheet": export_sheet,
     "export_sheet_csv": export_sheet_csv,
+    "export_sheet_files": export_sheet_files,
 }
