@@ -145,6 +145,11 @@ class WordBPE:
         known = self._pairs[a, b] = self._border_kept(a, b)
         return known
 
+    def forget(self) -> None:
+        """Empty the tables of words and pairs; they fill again as needed."""
+        self._pairs = {}
+        self._known = {}
+
     # Encoding -----------------------------------------------------------------------
 
     def encode_word(self, word: str) -> list[int]:

@@ -48,21 +48,28 @@ def code_points(text: bytes) -> int:
     return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
 
 
+def plainly_named(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``rows`` with names that clash with nothing, and the new name of each column."""
+    names = {name: f"_c{place}" for place, name in enumerate(rows.columns)}
+    return rows.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()]), names
+
+
 def map_batches(
     rows: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
     schema: T.StructType,
     keep: Sequence[str] = (),
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Add computed columns to rows, a few rows at a time.
 
     ``make`` runs once per task and gives a function from the input columns (as lists,
-    without those of ``keep``) to the columns of ``schema``. Columns of ``keep`` are
-    handed on as they are and stand first.
+    without those of ``keep`` that ``also`` does not name) to the columns of ``schema``.
+    Columns of ``keep`` are handed on as they are and stand first.
     """
     kept = T.StructType([rows.schema[name] for name in keep])
     out = T.StructType([*kept.fields, *schema.fields])
-    read = [name for name in rows.columns if name not in keep]
+    read = [name for name in rows.columns if name not in keep or name in also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

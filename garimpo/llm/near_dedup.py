@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garimpo.llm.common import as_bytes, map_batches, stored
+from garimpo.llm.common import as_bytes, map_batches, plainly_named, stored
 from garimpo.llm.components import components
 from garimpo.operators.joins import join_to_unique
 
@@ -438,10 +438,21 @@ def near_duplicates(
 def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each group of near-duplicates, with its columns, whatever those are.
 
-    Rows without an id stay; of rows with one id one stays.
+    Rows without an id stay. Of rows with one id the one with the least text stays, NULL
+    first; equal texts are told apart by a hash of the row. An empty table gives an empty one.
     """
     judged = near_duplicates(docs, size=size).where("kept and doc_id is not null")
     ids = judged.select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi")
-    one = one.dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionAll(docs.where("doc_id is null"))
+    rows, names = plainly_named(docs)
+    number, text = names["doc_id"], names["text"]
+    whole = F.struct(*rows.columns)
+    hashed = [f.name for f in rows.schema if not isinstance(f.dataType, T.MapType)]
+    one = (
+        rows.where(F.col(number).isNotNull())
+        .join(ids, F.col(number) == ids["doc_id"], "left_semi")
+        .groupBy(F.col(number).alias("_id"))
+        .agg(F.min_by(whole, F.struct(text, F.xxhash64(*hashed))).alias("_row"))
+        .select("_row.*")
+    )
+    every = one.unionAll(rows.where(F.col(number).isNull()))
+    return every.select(*[F.col(new).alias(old) for old, new in names.items()])

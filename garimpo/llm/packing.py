@@ -139,13 +139,16 @@ def pack_documents(
     with_ids: bool = True,
     doc_id: str = "doc_id",
     text: str = "text",
+    forget: bool = False,
 ) -> DataFrame:
     """One row per piece: where its ids stand in its document and in its sequence.
 
     ``sequence_id`` is the task's number and a running number; ``offset`` has no gaps from
     0 within a sequence. A missing or empty text is one document of the end id alone; a
     missing id stays missing; equal rows are packed one by one; other columns are left out;
-    an empty table gives no sequence. ``ids`` are the piece's own ids.
+    an empty table gives no sequence. ``ids`` are the piece's own ids. With ``forget`` a
+    task empties the worker's tables of words at its end: steps of other kinds that follow
+    in the same workers have that memory.
     """
     schema = _schema(docs.schema[doc_id].dataType, with_ids)
 
@@ -182,6 +185,8 @@ def pack_documents(
                 rows, weight = [[] for _ in schema], 0
         if rows[0]:
             yield _batch(rows, arrow)
+        if forget:
+            vocabulary.forget()
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
 

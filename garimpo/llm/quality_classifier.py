@@ -19,7 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garimpo.llm.common import as_bytes, code_points, doc_crc, map_batches, stored, words
+from garimpo.llm.common import (
+    as_bytes,
+    code_points,
+    doc_crc,
+    map_batches,
+    plainly_named,
+    stored,
+    words,
+)
 
 #: Labelled documents that the model is fitted on, at most; those of least id hash.
 SAMPLE_ROWS = 12_000
@@ -305,12 +313,22 @@ def keep_good(
     """The rows predicted good, with exactly their columns, whatever those are.
 
     ``learn_from`` (doc_id, text) has the texts of labelled rows, ``docs`` if not given.
-    Documents that an earlier filter has passed hold too few bad ones to learn from.
+    Documents that an earlier filter has passed hold too few bad ones to learn from. A
+    missing or empty text is scored as in :func:`classify`, equal rows alike; without usable
+    labels every row stays; an empty table gives an empty one.
     """
     sample = label_sample(labels)
     texts = (docs if learn_from is None else learn_from).select("doc_id", "text")
     learnt = texts.join(F.broadcast(sample.select("doc_id")), "doc_id")
     model = _fit_rows(with_statistics(learnt, ("doc_id",)), sample)
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"),
-                       "text")
-    return with_statistics(rows, ("_row",)).where(model.score() >= 0.5).select("_row.*")
+    rows, names = plainly_named(docs)
+    text = names["text"]
+
+    def make():
+        return lambda columns: _measure(
+            {"_bytes": [(value or "").encode() for value in columns[text]]}
+        )
+
+    measured = map_batches(rows, make, _SCHEMA, rows.columns, also=[text])
+    good = measured.where(model.score() >= 0.5)
+    return good.select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -21,7 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garimpo.llm.common import as_bytes, code_points, map_batches, stored, words
+from garimpo.llm.common import (
+    as_bytes,
+    code_points,
+    map_batches,
+    plainly_named,
+    stored,
+    words,
+)
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 5
@@ -215,13 +222,23 @@ def judge(docs: DataFrame, purpose: str = "quality-rules") -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that :func:`judge` keeps, with exactly their columns, whatever those are."""
-    counted = stored(with_counts(docs, ("lang", "source")), "quality-counts")
-    limits = stored(thresholds(sketches(counted)), "quality-limits")
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"),
-                       "text")
-    again = with_counts(rows, ("_row",)).withColumns(
-        {"_row_lang": F.col("_row.lang"), "_row_source": F.col("_row.source")}
+    """The rows that :func:`judge` keeps, with exactly their columns, whatever those are.
+
+    As there, a missing or empty text fails, missing languages and sources are groups of
+    their own, equal rows are judged alike and an empty table gives an empty one. Rows and
+    counts are written once, from one pass over the texts.
+    """
+    rows, names = plainly_named(docs)
+    text, lang, source = (names[name] for name in ("text", "lang", "source"))
+
+    def make():
+        return lambda columns: _count(
+            {"_bytes": [(value or "").encode() for value in columns[text]]}
+        )
+
+    counted = stored(
+        map_batches(rows, make, _COUNTS, rows.columns, also=[text]), "quality-counts"
     )
-    judged = with_verdict(again, limits, ("_row_lang", "_row_source"))
-    return judged.where("kept").select("_row.*")
+    limits = stored(thresholds(sketches(counted, (lang, source))), "quality-limits")
+    judged = with_verdict(counted, limits, (lang, source))
+    return judged.where("kept").select(*[F.col(new).alias(old) for old, new in names.items()])

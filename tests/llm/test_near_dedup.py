@@ -199,6 +199,19 @@ def test_ugly_rows(spark, ugly, empty):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_survivor_of_one_id_and_odd_names(spark):
+    rows = [(1, "b c d e f", 1), (1, "a c d e f", 2), (1, "a c d e f", 3), (None, "x", 4),
+            (None, "x", 4), (2, None, 5), (2, "z", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `meta.n` int")
+    for dealt in (1, 5):
+        got = nd.keep_one(frame.repartition(dealt))
+        assert got.schema == frame.schema
+        kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+        assert kept == [(0, "x"), (0, "x"), (1, "a c d e f"), (2, "")]
+    assert len({nd.keep_one(frame.repartition(n)).where("doc_id = 1").first()["meta.n"]
+                for n in (1, 3, 7)}) == 1
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
 def test_components(spark, kind):
     chance = random.Random(9)
