@@ -17,7 +17,11 @@ SHINGLE_WORDS = 5
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within their group's thresholds."""
+    """Documents that pass the base rules and lie within their group's thresholds.
+
+    Every stage takes nulls, empty and long texts, ties and repeated rows as the function
+    that it calls says; an empty table gives an empty one.
+    """
     return quality_rules.keep_good(docs)
 
 
@@ -38,7 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
-    return packing.pack_documents(docs, word_vocabulary(), with_ids=False)
+    return packing.pack_documents(docs, word_vocabulary(), with_ids=False, forget=True)
 
 
 STAGES = [
