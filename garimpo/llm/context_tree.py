@@ -2,28 +2,21 @@
 
 A text is the sequence of its lower-cased words, each ended by a blank, and an end mark.
 The model codes its bytes, each as eight binary choices, most significant first. The context
-of a byte is what stands before it in its word, DEPTH bytes at most, the blank before the
-word included; contexts stop there, so the code length of a word does not depend on its
-neighbours, and a word is scored once however often it occurs. For every choice there is a
-tree of contexts: a node counts the zeros and ones that followed its context in training and
-gives the Krichevsky-Trofimov estimate; the weight of a node against the deeper ones is the
-posterior that half of the prior mass on each leads to. A probability mixes the estimates of
-all depths on the path of its context by these weights; where the path ends for want of
-training, the rest of the mass says one half.
-
-As Spark jobs: a task turns its documents into blocks of bounded bytes, and each block's
-distinct words with their training counts into one compressed row for each shard of words.
-A shard sums the counts of its words over all blocks and gives their byte n-grams; n-grams
-that share their last two context bytes form a group, in which the trees below depth 2 are
-built. The trees above are sums over groups, 255 choices times 256 contexts at most. Scores
-flow back the same way: n-grams to shards, words to blocks, where documents are scored. The
-number of shards follows the size of the corpus, so no task sees more of it when it grows.
-
-``score_running``, which the query uses, keeps no such border: the context of a byte is the
-RUNNING_DEPTH bytes before it in the text, whatever words they belong to. Each block's
-n-grams are summed before the shuffle, dealt into parts by their last two context bytes, and
-their scores go back to the blocks, where a text is the sum over its n-grams. The base is the
-same as that of ``score``.
+of a byte is the RUNNING_DEPTH bytes before it in the text, whatever words they belong to.
+For every choice there is a tree of contexts: a node counts the zeros and ones that followed
+its context in training and gives the Krichevsky-Trofimov estimate; the weight of a node
+against the deeper ones is the posterior that half of the prior mass on each leads to. A
+probability mixes the estimates of all depths on the path of its context by these weights;
+where the path ends for want of training, the rest of the mass says one half.
+
+As Spark jobs: a task turns its documents into blocks of bounded bytes. A block's n-grams
+(a byte and its context) are counted before the shuffle and dealt into parts by their last
+two context bytes; a part sums them over all blocks and builds the trees below depth 2, a
+choice of the byte and some pairs of last bytes at a time. The trees above are sums over
+parts, 255 choices times 256 contexts at most. Scores flow back to the blocks, where a text
+is the sum over its n-grams. Words of the base go the same way, by shards. The number of parts
+and shards follows the size of the corpus. A pair of last bytes stays in one part: what it
+holds there are its distinct n-grams, as rows of whole numbers.
 """
 
 from __future__ import annotations
@@ -42,20 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from garimpo.llm.common import ROWS_AT_ONCE, as_bytes, doc_crc, stored, words
-from garimpo.operators.joins import join_to_unique
 
-#: Bytes of context, at most 7: with the byte itself an n-gram must fit into a long.
-DEPTH = 5
-#: The same where contexts run across words.
+#: Bytes of context, at most 6: in any order an n-gram must fit into a long.
 RUNNING_DEPTH = 6
 #: Text bytes whose n-grams are worked out at once, and of the corpus to one part of n-grams.
 STRETCH_BYTES = 4 << 20
-PART_BYTES = 48 << 20
+PART_BYTES = 24 << 20
+#: N-grams whose trees are worked out at once, unless one pair of last bytes has more.
+GRAMS_AT_ONCE = 400_000
 #: Text bytes of a block of documents, and of the corpus to one shard of words, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 96 << 20
-#: Words whose n-grams are worked out at once.
-WORDS_AT_ONCE = 50_000
 #: Added to every count of the base model.
 BASE_ADD = 0.1
 
@@ -67,7 +57,7 @@ _LOG_HALF = math.log(0.5)
 # Byte n-grams -------------------------------------------------------------------------
 
 
-def byte_grams(tokens: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def byte_grams(tokens: list[bytes], depth: int = RUNNING_DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram of every byte of the tokens and of their ends, and its token's place.
 
     An n-gram is a whole number: the byte in the lowest eight bits, above it the context,
@@ -87,6 +77,16 @@ def byte_grams(tokens: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.
     return grams, owner
 
 
+def _merged(
+    keys: np.ndarray, values: np.ndarray, runs: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for whole numbers; ``runs`` says that keys are a few sorted runs."""
+    order = np.argsort(keys, kind="stable" if runs else None)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], (np.add.reduceat(values[order], first) if len(first) else values[:0])
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, and the sums of the values of each."""
     distinct, place = np.unique(keys, return_inverse=True)
@@ -106,74 +106,129 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - steps
 
 
+#: Counts whose log gammas are kept; most nodes have few.
+_KEPT_COUNTS = 1 << 14
+_HALF_GAMMA = _log_gamma(np.arange(_KEPT_COUNTS) + 0.5)
+_WHOLE_GAMMA = _log_gamma(np.arange(_KEPT_COUNTS) + 1.0)
+
+
+def _log_gamma_of(counts: np.ndarray, kept: np.ndarray, more: float) -> np.ndarray:
+    small = np.minimum(counts, _KEPT_COUNTS - 1).astype(np.int64)
+    out = kept[small]
+    large = counts >= _KEPT_COUNTS
+    if large.any():
+        out[large] = _log_gamma(counts[large] + more)
+    return out
+
+
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimator gives such a sequence."""
-    both = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5)
-    return both - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    both = _log_gamma_of(zeros, _HALF_GAMMA, 0.5) + _log_gamma_of(ones, _HALF_GAMMA, 0.5)
+    return both - _log_gamma_of(zeros + ones, _WHOLE_GAMMA, 1.0) - math.log(math.pi)
 
 
 def _weighted(zeros, ones, below=None):
     """Log of the weighted probability of nodes, and the weight of their own estimates.
 
-    ``below`` is the sum over the deeper nodes; a deepest node has none.
+    ``below`` is the sum over the deeper nodes; a deepest node has none. Nodes without
+    training have no weight.
     """
     own = log_estimate(zeros, ones)
     if below is None:
-        return own, np.ones(len(own))
-    log_all = np.logaddexp(own, below) + _LOG_HALF
-    return log_all, np.exp(own + _LOG_HALF - log_all)
+        log_all, weight = own, np.ones(len(own))
+    else:
+        log_all = np.logaddexp(own, below) + _LOG_HALF
+        weight = np.exp(own + _LOG_HALF - log_all)
+    seen = zeros + ones > 0
+    return np.where(seen, log_all, 0.0), np.where(seen, weight, 0.0)
 
 
-def _choices(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the eight choices of each n-gram: the bits chosen before, and the bit.
+def _nearest_first(grams: np.ndarray, depth: int) -> np.ndarray:
+    """The context of each n-gram with its nearest byte highest: nodes are its prefixes."""
+    out = np.zeros_like(grams)
+    for back in range(depth):
+        out = (out << 8) | ((grams >> (8 * back + 8)) & 255)
+    return out
 
-    The bits before have a leading one, so they name one of 255 trees.
-    """
-    byte = (grams & 255)[:, None]
-    k = np.arange(8)
-    return (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
 
+class Subtrees:
+    """Nodes of depth 2 and more of some n-grams, one choice of the byte at a time.
 
-class Subtree:
-    """Nodes of depth 2 and more of one group of n-grams, by depth."""
+    In the order of (last two context bytes, choices made before, the other context bytes,
+    nearest first) the nodes of every depth are runs of rows, and those of a node lie side
+    by side: a choice needs one sort of few distinct values, and sums over runs.
+    """
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
+        """``grams`` must be in the order of :func:`_nearest_first`."""
         self.depth = depth
-        self.nodes: dict[int, tuple[np.ndarray, ...]] = {}
-        trained = counts > 0
-        tree, bit = _choices(grams[trained])
-        n = np.repeat(counts[trained].astype(float), 8)
-        context = (grams[trained] >> 8)[:, None]
-        keys, ones, every = _summed(((context << 8) | tree).ravel(), n * bit.ravel(), n)
-        zeros, below = every - ones, None
-        for level in range(depth, 1, -1):
+        self.context = _nearest_first(grams, depth)
+        self.byte = grams & 255
+        self.counts = counts.astype(float)
+        pair = self.context >> (8 * (depth - 2))
+        self.group = np.cumsum(np.diff(pair, prepend=pair[:1]) != 0)
+        self.pairs = (grams >> 8) & 0xFFFF
+
+    def _choice(self, k: int):
+        """Rows in order, and by depth the first row, zeros, ones, log and weight of nodes."""
+        tree = (1 << k) | (self.byte >> (8 - k))
+        key = self.group * 256 + tree
+        kind = np.uint16 if len(key) and key[-1] < 1 << 16 else np.int64
+        order = np.argsort(key.astype(kind), kind="stable")
+        key, context, n = key[order], self.context[order], self.counts[order]
+        bit = (self.byte[order] >> (7 - k)) & 1
+        new_key = np.diff(key, prepend=key[:1] - 1) != 0
+        levels = {}
+        starts = zeros = ones = below = None
+        for level in range(self.depth, 1, -1):
+            prefix = context >> (8 * (self.depth - level))
+            if starts is None:
+                starts = np.flatnonzero(new_key | (np.diff(prefix, prepend=prefix[:1]) != 0))
+                ones = np.add.reduceat(n * bit, starts)
+                zeros = np.add.reduceat(n, starts) - ones
+            else:
+                at = prefix[starts]
+                first = np.flatnonzero(new_key[starts] | (np.diff(at, prepend=at[:1]) != 0))
+                zeros, ones = np.add.reduceat(zeros, first), np.add.reduceat(ones, first)
+                below = np.add.reduceat(log_all, first)
+                starts = starts[first]
             log_all, weight = _weighted(zeros, ones, below)
-            self.nodes[level] = (keys, zeros, ones, weight, log_all)
-            # The context one byte shorter, in the same tree.
-            up = keys & ((1 << (8 * level)) - 1)
-            if level > 2:
-                keys, zeros, ones, below = _summed(up, zeros, ones, log_all)
-
-    def log_probabilities(self, grams, top_mixed, top_rest) -> np.ndarray:
+            levels[level] = (starts, zeros, ones, log_all, weight)
+        return order, tree[order], bit, levels
+
+    def second_level(self) -> list[np.ndarray]:
+        """Context, tree, zeros, ones and log of the nodes of depth 2."""
+        parts = []
+        for k in range(8 if len(self.byte) else 0):
+            order, tree, _, levels = self._choice(k)
+            starts, zeros, ones, log_all, _ = levels[2]
+            context = self.pairs[order[starts]] & 255
+            parts.append((context, tree[starts], zeros, ones, log_all))
+        return [np.concatenate(column) for column in zip(*parts)] or [np.zeros(0)] * 5
+
+    def log_probabilities(self, top_mixed: np.ndarray, top_rest: np.ndarray) -> np.ndarray:
         """Log10 probability of the byte of each n-gram in its context.
 
-        ``top_mixed`` and ``top_rest`` hold, by tree, what depths 0 and 1 have mixed of the
-        probability of a one, and the mass that is left for deeper nodes.
+        ``top_mixed`` and ``top_rest`` hold, by nearest context byte and tree, what depths 0
+        and 1 have mixed of the probability of a one, and the mass left for deeper nodes.
         """
-        tree, bit = _choices(grams)
-        mixed, rest = top_mixed[tree], top_rest[tree]
-        for level in range(2, self.depth + 1):
-            keys, zeros, ones, weight, _ = self.nodes[level]
-            if not len(keys):
-                break
-            context = (grams >> 8) & ((1 << (8 * level)) - 1)
-            wanted = (context[:, None] << 8) | tree
-            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            share = np.where(keys[place] == wanted, weight[place], 0.0)
-            mixed = mixed + rest * share * (ones[place] + 0.5) / (zeros[place] + ones[place] + 1)
-            rest = rest * (1 - share)
-        one = mixed + 0.5 * rest
-        return np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1)
+        total = np.zeros(len(self.byte))
+        for k in range(8 if len(self.byte) else 0):
+            order, tree, bit, levels = self._choice(k)
+            starts = levels[2][0]
+            nearest = self.pairs[order[starts]] & 255
+            mixed, rest = top_mixed[nearest, tree[starts]], top_rest[nearest, tree[starts]]
+            above = starts
+            for level in range(2, self.depth + 1):
+                starts, zeros, ones, _, weight = levels[level]
+                parent = np.searchsorted(above, starts, "right") - 1
+                mixed, rest = mixed[parent], rest[parent]
+                mixed = mixed + rest * weight * (ones + 0.5) / (zeros + ones + 1)
+                rest = rest * (1 - weight)
+                above = starts
+            one = np.repeat(mixed + 0.5 * rest, np.diff(starts, append=len(order)))
+            total[order] += np.log10(np.where(bit == 1, one, 1 - one))
+        return total
 
 
 def top_of_trees(context, tree, zeros, ones, log_all) -> tuple[np.ndarray, np.ndarray]:
@@ -296,131 +351,6 @@ def _vocabulary(shard: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int], n
     return lists, place, total
 
 
-def _grams_of_shard(depth: int):
-    def work(shard: pa.Table) -> pa.Table:
-        _, place, total = _vocabulary(shard)
-        vocabulary = list(place)
-        grams, counts = np.zeros(0, np.int64), np.zeros(0)
-        for start in range(0, len(vocabulary), WORDS_AT_ONCE):
-            some, owner = byte_grams(vocabulary[start : start + WORDS_AT_ONCE], depth)
-            n = total[start : start + WORDS_AT_ONCE].astype(float)
-            some, n = _summed(some, n[owner])
-            grams, counts = _summed(np.concatenate([grams, some]), np.concatenate([counts, n]))
-        # The sizes of the vocabulary ride on a row without a gram.
-        number = pa.array([shard["shard"][0].as_py()] * (len(grams) + 1), pa.int32())
-        return pa.table(
-            {
-                "shard": number,
-                "gram": pa.array([None, *grams.tolist()], pa.int64()),
-                "n": np.concatenate([[total.sum()], counts]).astype(np.int64),
-                "known": np.concatenate([[(total > 0).sum()], np.zeros(len(grams))]).astype(np.int64),
-            }
-        )
-
-    return work
-
-
-def _second_level(depth: int):
-    def work(group: pa.Table) -> pa.Table:
-        grams, counts = group["gram"].to_numpy(), group["n"].to_numpy()
-        keys, zeros, ones, _, log_all = Subtree(grams, counts, depth).nodes[2]
-        return pa.table(
-            {
-                "context": (keys >> 8) & 255,
-                "tree": keys & 255,
-                "zeros": zeros,
-                "ones": ones,
-                "log_all": log_all,
-            }
-        )
-
-    return work
-
-
-def _scores_of_grams(depth: int, mixed: np.ndarray, rest: np.ndarray):
-    def work(group: pa.Table) -> pa.Table:
-        grams, counts = group["gram"].to_numpy(), group["n"].to_numpy()
-        nearest = int(grams[0] >> 8) & 255
-        tree = Subtree(grams, counts, depth)
-        scores = tree.log_probabilities(grams, mixed[nearest], rest[nearest])
-        return pa.table({"gram": grams, "log10": scores})
-
-    return work
-
-
-def _scores_of_words(depth: int):
-    def work(shard: pa.Table, scored: pa.Table) -> pa.Table:
-        order = np.argsort(scored["gram"].to_numpy())
-        known = scored["gram"].to_numpy()[order]
-        log10 = scored["log10"].to_numpy()[order]
-        lists, place, total = _vocabulary(shard)
-        vocabulary = list(place)
-        scores = np.zeros(len(vocabulary))
-        for start in range(0, len(vocabulary), WORDS_AT_ONCE):
-            some = vocabulary[start : start + WORDS_AT_ONCE]
-            grams, owner = byte_grams(some, depth)
-            found = log10[np.searchsorted(known, grams)]
-            scores[start : start + len(some)] = np.bincount(owner, found, len(some))
-        counts, scored_words = [], []
-        for part in lists:
-            at = np.fromiter(map(place.__getitem__, part), np.int64, len(part))
-            counts.append(_squeezed(total[at].tobytes()))
-            scored_words.append(_squeezed(scores[at].tobytes()))
-        return pa.table(
-            {
-                "block": shard["block"],
-                "words": shard["words"],
-                "counts": pa.array(counts, pa.binary()),
-                "scores": pa.array(scored_words, pa.binary()),
-            }
-        )
-
-    return work
-
-
-def _scores_of_docs(train_tokens: int, known_words: int, ends: int, end_score: float):
-    scale = train_tokens + BASE_ADD * (known_words + 1)
-
-    def work(block: pa.Table, scored: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {_END: 0}
-        counts, scores = [np.array([ends])], [np.array([end_score])]
-        for name in scored["words"].to_pylist():
-            for word in _list(name):
-                place[word] = len(place)
-        counts += [_numbers(data, np.int64) for data in scored["counts"].to_pylist()]
-        scores += [_numbers(data, np.float64) for data in scored["scores"].to_pylist()]
-        n, model = np.concatenate(counts), np.concatenate(scores)
-        base, known = np.log10((n + BASE_ADD) / scale), n > 0
-        outs = []
-        for data in block["docs"].to_pylist():
-            docs = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
-            rows = []
-            for text in docs["text"]:
-                found = text.as_py().split()
-                found.append(_END)
-                at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-                rows.append((len(at), int(known[at].sum()), base[at].sum(), model[at].sum()))
-            tokens, known_tokens, base_scores, sums = zip(*rows)
-            outs.append(
-                pa.table(
-                    {
-                        "doc_id": docs["doc_id"],
-                        "held_out": docs["held_out"],
-                        "n_tokens": pa.array(tokens, pa.int64()),
-                        "n_known": pa.array(known_tokens, pa.int64()),
-                        "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()),
-                        "base_score": pa.array(base_scores, pa.float64()),
-                        "score": pa.array(sums, pa.float64()),
-                    }
-                )
-            )
-        return pa.concat_tables(outs)
-
-    return work
-
-
-# Running text -------------------------------------------------------------------------
-
 _GRAM_BLOCKS = "block bigint, part int, grams binary, counts binary"
 _SCORED = "block bigint, kind string, keys binary, counts binary, scores binary"
 
@@ -451,50 +381,68 @@ def _unpacked_grams(data: bytes) -> np.ndarray:
     return np.cumsum(_numbers(data, np.int64))
 
 
-def _grams_of_block(depth: int, parts: int):
-    def work(block: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        for number, data in zip(block["block"].to_pylist(), block["docs"].to_pylist()):
-            docs = _docs(data)
-            trained = ~np.array(docs["held_out"].to_pylist(), bool)
-            grams, counts = np.zeros(0, np.int64), np.zeros(0)
-            for first, texts in _stretches(docs):
-                some, owner = byte_grams(texts, depth)
-                some, n = _summed(some, trained[first + owner].astype(float))
-                grams, counts = _summed(np.concatenate([grams, some]), np.concatenate([counts, n]))
-            part = ((grams >> 8) & 0xFFFF) * 40503 % 65521 % parts
-            for p in range(parts):
-                at = part == p
-                n = counts[at].astype(np.int64)
-                rows.append((number, p, _packed_grams(grams[at]), _squeezed(n.tobytes())))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table(
-            [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)],
-            names=["block", "part", "grams", "counts"],
-        )
+def _grams_of_blocks(depth: int, parts: int):
+    """N-grams of blocks and their counts in training texts, one row for each part."""
 
-    return work
+    def of_block(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        trained = ~np.array(docs["held_out"].to_pylist(), bool)
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for first, texts in _stretches(docs):
+            some, owner = byte_grams(texts, depth)
+            some, n = _merged(some, trained[first + owner].astype(np.int64), runs=False)
+            grams, counts = _merged(
+                np.concatenate([grams, some]), np.concatenate([counts, n])
+            )
+        return grams, counts
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch["block"], batch["docs"]):
+                grams, counts = of_block(_docs(data.as_py()))
+                part = ((grams >> 8) & 0xFFFF) * 40503 % 65521 % parts
+                for p in range(parts):
+                    at = part == p
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number.as_py()], pa.int64()), pa.array([p], pa.int32()),
+                            pa.array([_packed_grams(grams[at])], pa.binary()),
+                            pa.array([_squeezed(counts[at].tobytes())], pa.binary()),
+                        ],
+                        names=["block", "part", "grams", "counts"],
+                    )
 
-def _pairs_of_part(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """N-grams and counts over all blocks, by the last two bytes of the context."""
-    lists = [_unpacked_grams(data) for data in part["grams"].to_pylist()]
-    counts = [_numbers(data, np.int64) for data in part["counts"].to_pylist()]
-    grams, n = _summed(np.concatenate(lists), np.concatenate(counts))
+    return run
+
+
+def _of_part(part: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams, nearest context byte first, and their counts over all blocks."""
+    grams, n = _merged(
+        np.concatenate([_unpacked_grams(data) for data in part["grams"].to_pylist()]),
+        np.concatenate([_numbers(data, np.int64) for data in part["counts"].to_pylist()]),
+    )
+    order = np.argsort((_nearest_first(grams, depth) << 8) | (grams & 255))
+    return grams[order], n[order]
+
+
+def _subtrees(grams: np.ndarray, n: np.ndarray, depth: int) -> Iterator[Subtrees]:
+    """Subtrees of whole pairs of last bytes, some at once. One pair is never split."""
     pair = (grams >> 8) & 0xFFFF
-    order = np.argsort(pair, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
-        if len(at):
-            yield grams[at], n[at]
+    edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(grams)]
+    start = 0
+    for this, following in zip(edges[1:], [*edges[2:], None]):
+        if following is None or following - start > GRAMS_AT_ONCE:
+            yield Subtrees(grams[start:this], n[start:this], depth)
+            start = this
 
 
 def _second_level_of_part(depth: int):
     def work(part: pa.Table) -> pa.Table:
-        nodes = [Subtree(grams, n, depth).nodes[2] for grams, n in _pairs_of_part(part)]
-        keys, zeros, ones, _, log_all = (
+        nodes = [trees.second_level() for trees in _subtrees(*_of_part(part, depth), depth)]
+        context, tree, zeros, ones, log_all = (
             [np.concatenate(column) for column in zip(*nodes)] if nodes else [np.zeros(0)] * 5
         )
-        keys, zeros, ones, log_all = _summed(keys.astype(np.int64) & 0xFFFF, zeros, ones, log_all)
+        keys = (context.astype(np.int64) << 8) | tree.astype(np.int64)
+        keys, zeros, ones, log_all = _summed(keys, zeros, ones, log_all)
         return pa.table(
             {"context": keys >> 8, "tree": keys & 255, "zeros": zeros, "ones": ones,
              "log_all": log_all}
@@ -505,23 +453,13 @@ def _second_level_of_part(depth: int):
 
 def _scores_of_part(depth: int, mixed: np.ndarray, rest: np.ndarray):
     def work(part: pa.Table) -> pa.Table:
-        known, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for grams, n in _pairs_of_part(part):
-            nearest = int(grams[0] >> 8) & 255
-            tree = Subtree(grams, n, depth)
-            known.append(grams)
-            found = np.empty(len(grams))
-            for start in range(0, len(grams), WORDS_AT_ONCE):
-                some = grams[start : start + WORDS_AT_ONCE]
-                found[start : start + len(some)] = tree.log_probabilities(
-                    some, mixed[nearest], rest[nearest]
-                )
-            scores.append(found)
-        every, log10 = np.concatenate(known), np.concatenate(scores)
-        order = np.argsort(every)
-        every, log10 = every[order], log10[order]
+        grams, n = _of_part(part, depth)
+        scores = [t.log_probabilities(mixed, rest) for t in _subtrees(grams, n, depth)]
+        log10 = np.concatenate([np.zeros(0), *scores]).astype(np.float32)
+        order = np.argsort(grams)
+        grams, log10 = grams[order], log10[order]
         back = [
-            _squeezed(log10[np.searchsorted(every, _unpacked_grams(data))].tobytes())
+            _squeezed(log10[np.searchsorted(grams, _unpacked_grams(data))].tobytes())
             for data in part["grams"].to_pylist()
         ]
         rows = part.num_rows
@@ -563,7 +501,7 @@ def _running_scores_of_docs(depth: int, train_tokens: int, known_words: int, end
         for row in scored.to_pylist():
             if row["kind"] == "gram":
                 known.append(_unpacked_grams(row["keys"]))
-                scores.append(_numbers(row["scores"], np.float64))
+                scores.append(_numbers(row["scores"], np.float32).astype(float))
             else:
                 for word in _list(row["keys"]):
                     place[word] = len(place)
@@ -622,7 +560,14 @@ def _blocks(docs: DataFrame, text: str):
 
 
 def score_running(docs: DataFrame, depth: int = RUNNING_DEPTH, text: str = "text") -> DataFrame:
-    """The columns of :func:`score`, contexts running across the words of a text."""
+    """Both models' log10 probability of every text, learnt from those not held out.
+
+    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A missing
+    or empty text is its end alone; a row without id is held out; equal rows score alike,
+    and teach as often as they are there; other columns are left out; an empty table gives
+    an empty one. Code length per byte is ``-score / log10(2)`` over the bytes of the words
+    and one more for each token.
+    """
     blocks, size, schema = _blocks(docs, text)
     of_docs = blocks.where("shard < 0").select("block", "docs")
     of_words = blocks.where("shard >= 0").select("block", "shard", "words", "counts")
@@ -637,7 +582,7 @@ def score_running(docs: DataFrame, depth: int = RUNNING_DEPTH, text: str = "text
     ).first()
     parts = max(1, -(-size.bytes // PART_BYTES))
     grams = stored(
-        of_docs.groupBy("block").applyInArrow(_grams_of_block(depth, parts), _GRAM_BLOCKS),
+        of_docs.mapInArrow(_grams_of_blocks(depth, parts), _GRAM_BLOCKS),
         "gram-blocks",
     )
     top = (
@@ -669,75 +614,3 @@ def score_running(docs: DataFrame, depth: int = RUNNING_DEPTH, text: str = "text
             "n_known bigint, train_tokens bigint, base_score double, score double",
         )
     )
-
-def score(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
-    """Both models' log10 probability of every text, learnt from those not held out.
-
-    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A missing
-    or empty text is its end alone; a row without id is held out; equal rows score alike,
-    and teach as often as they are there; other columns are left out; an empty table gives
-    an empty one. Code length per byte is ``-score / log10(2)`` over the bytes of the words
-    and one more for each token.
-    """
-    blocks, size, schema = _blocks(docs, text)
-    of_words = blocks.where("shard >= 0").select("block", "shard", "words", "counts")
-    of_shards = stored(
-        of_words.groupBy("shard").applyInArrow(
-            _grams_of_shard(depth), "shard int, gram bigint, n bigint, known bigint"
-        ),
-        "shard-grams",
-    )
-    totals = of_shards.where("gram is null").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")
-    ).first()
-    # The end of a text is a token of its own, as often there as training texts.
-    end_grams, _ = byte_grams([_END], depth)
-    ends = docs.sparkSession.createDataFrame(
-        [(-1, int(gram), size.ends) for gram in end_grams], "shard int, gram bigint, n bigint"
-    )
-    every = of_shards.where("gram is not null").select("shard", "gram", "n").unionAll(ends)
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    grams = stored(
-        every.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("pair", pair), "grams"
-    )
-    # Depths 0 and 1: at most 256 contexts of 255 trees, whatever the size of the corpus.
-    top = (
-        grams.groupBy("pair")
-        .applyInArrow(
-            _second_level(depth),
-            "context bigint, tree bigint, zeros double, ones double, log_all double",
-        )
-        .groupBy("context", "tree")
-        .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"),
-             F.sum("log_all").alias("log_all"))
-        .orderBy("context", "tree")
-        .toPandas()
-    )
-    mixed, rest = top_of_trees(*(top[name].to_numpy() for name in top.columns))
-    of_grams = stored(
-        grams.groupBy("pair").applyInArrow(
-            _scores_of_grams(depth, mixed, rest), "gram bigint, log10 double"
-        ),
-        "gram-scores",
-    )
-    end_score = of_grams.where(F.col("gram").isin([int(g) for g in end_grams]))
-    end_score = sum(r.log10 for r in end_score.collect())  # two n-grams
-    back = join_to_unique(every.where("shard >= 0").select("shard", "gram"), of_grams, "gram")
-    scored_words = (
-        of_words.groupBy("shard")
-        .cogroup(back.groupBy("shard"))
-        .applyInArrow(
-            _scores_of_words(depth), "block bigint, words binary, counts binary, scores binary"
-        )
-    )
-    return (
-        blocks.where("shard < 0").select("block", "docs").groupBy("block")
-        .cogroup(scored_words.groupBy("block"))
-        .applyInArrow(
-            _scores_of_docs(
-                totals.n + size.ends, totals.known + int(size.ends > 0), size.ends, end_score
-            ),
-            f"doc_id {schema.simpleString()}, held_out boolean, n_tokens bigint, "
-            "n_known bigint, train_tokens bigint, base_score double, score double",
-        )
-    )
