@@ -63,6 +63,10 @@ def main() -> None:
     load("divida_ativa_uniao", lambda: q._debts(spark, SF_DIR))
     load("divida_ativa_mg", lambda: q._state_debts(spark, SF_DIR))
     load("sancoes", lambda: q._sanctions(spark, SF_DIR))
+    folders = {name: paths[0] for name, paths in q._write_federal_files(spark, SF_DIR).items()}
+    csv_stage = work_folder(spark, "bench-csv")
+    timed("ingest_federal_csv",
+          lambda: pipeline.ingest_federal_debt(spark, folders, csv_stage, q.PARAMS))
     timed("transform", lambda: pipeline.transform(spark, stage, q.PARAMS))
 
     tables = pipeline.load_tables(spark, stage)
@@ -80,6 +84,8 @@ def main() -> None:
     timed("lead_search", lambda: run_all(search.matching(leads, q.FILTERED)))
     timed("lead_search_text", lambda: run_all(search.matching(leads, q.BY_TEXT)))
     timed("lead_page", lambda: run_all(search.page(leads, q.SECOND_PAGE)))
+    deep = search.SearchSpec(pagina=40, por_pagina=50)
+    timed("lead_page_deep", lambda: run_all(pipeline.page(spark, stage, deep)))
     timed("lead_page_count", lambda: run_all(search.page_count(leads, q.SECOND_PAGE)))
     timed("export_sheet", lambda: write_sheet(leads, work_folder(spark, "bench-sheet")))
     people = (tables.registry["socios"], tables.registry["qualificacoes"])
