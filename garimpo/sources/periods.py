@@ -9,40 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo import fixed_values as fv
-from garimpo.sources.registry import SourceMissing, list_files, suffix_globs
+from garimpo.sources.files import names
+from garimpo.sources.records import SourceMissing
+from garimpo.sources.registry import list_files, suffix_globs
 
-_MONTH_FOLDER = r"^/(?:competencia=)?([0-9]{4}-[0-9]{2})/"
+_MONTH_FOLDER = re.compile("(?:competencia=)?([0-9]{4}-[0-9]{2})")
 _SNAPSHOT_FILES = suffix_globs("csv", "txt")
 
 
-def _below(root: str) -> Column:
-    """``path`` without the root, which may itself hold something like a month."""
-    plain = re.sub("^[A-Za-z0-9]+:/*", "/", root)
-    after = F.locate(plain, F.col("path")) + F.lit(len(plain))
-    return F.col("path").substr(after, F.lit(1 << 20))
-
-
 def latest_period_folder(spark: SparkSession, root: str) -> str:
-    """Folder of the newest ``AAAA-MM`` below ``root``, or ``root`` itself if flat."""
+    """Folder of the newest ``AAAA-MM`` in ``root`` that holds anything, or ``root`` if flat.
+
+    Names directly below ``root`` are looked at, not the files of every month.
+    """
     root = root.rstrip("/")
-    names = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(_below(root).alias("path"))
-        .select(F.regexp_extract("path", _MONTH_FOLDER, 1).alias("mes"), "path")
-    )
-    newest = names.agg(
-        F.max(F.nullif("mes", F.lit(""))).alias("mes"),
-        F.max_by("path", "mes").alias("path"),
-        F.count("*").alias("arquivos"),
-    ).first()
-    if newest.arquivos == 0:
+    found = names(spark, root)
+    if not found:
         raise SourceMissing(f"no month folders and no files under {root}")
-    if newest.mes is None:
-        return root
-    folder = "competencia=" if f"/competencia={newest.mes}/" in newest.path else ""
-    return f"{root}/{folder}{newest.mes}"
+    months = {
+        match.group(1): name for name in found if (match := _MONTH_FOLDER.fullmatch(name))
+    }
+    for month in sorted(months, reverse=True):
+        if names(spark, f"{root}/{months[month]}"):
+            return f"{root}/{months[month]}"
+    return root
 
 
 def latest_period(rows: DataFrame, period: str = "competencia") -> DataFrame:
