@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 
 from garimpo.llm.common import map_batches
 
-#: Characters and conversations after which a pack is closed.
+#: Characters, beside those of its first conversation, and conversations after which a pack
+#: is closed.
 PACK_CHARS, PACK_CONVERSATIONS = 16_384, 512
 #: Turns whose keys order the conversations.
 KEY_TURNS = 16
@@ -155,6 +156,8 @@ class Pack:
 
     text: list[str] = field(default_factory=list)
     size: int = 0
+    #: What the first conversation takes; the next ones may share all of it.
+    opened: int = 0
     start: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
@@ -216,7 +219,10 @@ def packs_of(rows: Iterator[tuple]) -> Iterator[Pack]:
         if place == 0:
             if node >= 0:
                 pack.last_node[-1] = node
-            if pack.size >= PACK_CHARS or len(pack.conversation) >= PACK_CONVERSATIONS:
+            if len(pack.conversation) == 1:
+                pack.opened = pack.size
+            added = pack.size - pack.opened
+            if added >= PACK_CHARS or len(pack.conversation) >= PACK_CONVERSATIONS:
                 yield pack
                 pack, path = Pack(), []
             shared, node = True, -1

@@ -193,6 +193,18 @@ def test_trees(spark, monkeypatch):
     assert written - alone < 0.5 * (formatted - alone)
 
 
+def test_a_long_shared_turn_is_written_once_a_pack():
+    prompt = "p" * 18_200
+    rows = []
+    for conv in range(2000):
+        rows.append((b"o", conv, 0, b"prompt", "system", prompt))
+        rows.append((b"o", conv, 1, b"%d" % conv, "user", f"question {conv:05}"))
+    packs = list(chat.packs_of(iter(rows)))
+    assert sum("".join(pack.text).count(prompt) for pack in packs) == len(packs) <= 5
+    assert [n for pack in packs for n in pack.conversation] == list(range(2000))
+    assert max(pack.size for pack in packs) < len(prompt) + 2 * chat.PACK_CHARS
+
+
 def test_ugly_turns(spark):
     rows = [
         (None, 1, "user", "a"), (None, None, None, None), (5, None, "user", None),
