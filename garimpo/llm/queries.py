@@ -21,6 +21,7 @@ from garimpo.llm import (
     topk_search,
     url_filter,
 )
+from garimpo.llm.checks import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 from garimpo.llm.common import table
 
 
@@ -116,5 +117,3 @@ QUERIES = {
     "op12_personal_data": op12_personal_data,
     "op13_conversation_trie": op13_conversation_trie,
 }
-
-ORACLE_SQL: dict[str, str] = {}
