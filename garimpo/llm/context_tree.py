@@ -77,11 +77,9 @@ def byte_grams(tokens: list[bytes], depth: int = RUNNING_DEPTH) -> tuple[np.ndar
     return grams, owner
 
 
-def _merged(
-    keys: np.ndarray, values: np.ndarray, runs: bool = True
-) -> tuple[np.ndarray, np.ndarray]:
-    """The same for whole numbers; ``runs`` says that keys are a few sorted runs."""
-    order = np.argsort(keys, kind="stable" if runs else None)
+def _merged(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for whole numbers, of a few sorted runs of keys behind each other."""
+    order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
     return keys[first], (np.add.reduceat(values[order], first) if len(first) else values[:0])
@@ -386,14 +384,16 @@ def _grams_of_blocks(depth: int, parts: int):
 
     def of_block(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         trained = ~np.array(docs["held_out"].to_pylist(), bool)
-        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first, texts in _stretches(docs):
             some, owner = byte_grams(texts, depth)
-            some, n = _merged(some, trained[first + owner].astype(np.int64), runs=False)
-            grams, counts = _merged(
-                np.concatenate([grams, some]), np.concatenate([counts, n])
-            )
-        return grams, counts
+            # The lowest bit says whether a training text has it: one sort of plain numbers.
+            marked = (some << 1) | trained[first + owner]
+            marked.sort()
+            at = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
+            grams.append(marked[at] >> 1)
+            counts.append(np.add.reduceat(marked & 1, at))
+        return _merged(np.concatenate(grams), np.concatenate(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
