@@ -9,14 +9,14 @@ against the deeper ones is the posterior that half of the prior mass on each lea
 probability mixes the estimates of all depths on the path of its context by these weights;
 where the path ends for want of training, the rest of the mass says one half.
 
-As Spark jobs: a task turns its documents into blocks of bounded bytes. A block's n-grams
-(a byte and its context) are counted before the shuffle and dealt into parts by their last
-two context bytes; a part sums them over all blocks and builds the trees below depth 2, a
-choice of the byte and some pairs of last bytes at a time. The trees above are sums over
-parts, 255 choices times 256 contexts at most. Scores flow back to the blocks, where a text
-is the sum over its n-grams. Words of the base go the same way, by shards. The number of parts
-and shards follows the size of the corpus. A pair of last bytes stays in one part: what it
-holds there are its distinct n-grams, as rows of whole numbers.
+As Spark jobs: a task turns its documents into blocks of bounded bytes, each a few cells that
+are worked on one by one. A block's n-grams (a byte and its context) are counted before the
+shuffle and dealt into parts by their last two context bytes; a part sums them over all blocks
+and builds the trees below depth 2, a choice of the byte and some pairs of last bytes at a
+time. The trees above are sums over parts, 255 choices times 256 contexts at most. Scores flow
+back to the blocks, where a text is the sum over its n-grams. Words of the base go the same
+way, by shards. The number of parts and shards follows the size of the corpus. A pair of last
+bytes stays in one part: what it holds there are its distinct n-grams, as rows of whole numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,9 +39,13 @@ from garimpo.llm.common import ROWS_AT_ONCE, as_bytes, doc_crc, stored, words
 
 #: Bytes of context, at most 6: in any order an n-gram must fit into a long.
 RUNNING_DEPTH = 6
-#: Text bytes whose n-grams are worked out at once, and of the corpus to one part of n-grams.
+#: Text bytes of a cell of documents, and of the corpus to one part of n-grams.
 STRETCH_BYTES = 4 << 20
 PART_BYTES = 24 << 20
+#: Texts, and bytes of them, whose n-grams are worked out at once. A text's place among these
+#: texts takes a byte beside its n-gram; longer texts are worked out piece by piece.
+TEXTS_AT_ONCE = 256
+BYTES_AT_ONCE = 1 << 20
 #: N-grams whose trees are worked out at once, unless one pair of last bytes has more.
 GRAMS_AT_ONCE = 400_000
 #: Text bytes of a block of documents, and of the corpus to one shard of words, about.
@@ -57,24 +62,73 @@ _LOG_HALF = math.log(0.5)
 # Byte n-grams -------------------------------------------------------------------------
 
 
-def byte_grams(tokens: list[bytes], depth: int = RUNNING_DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def gram_runs(
+    tokens: list[bytes], depth: int = RUNNING_DEPTH, most: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The n-gram of every byte of the tokens and of their ends, and its token's place.
 
     An n-gram is a whole number: the byte in the lowest eight bits, above it the context,
-    nearest byte first. Beyond the blank before the word the context is filled up.
+    nearest byte first. Beyond the blank before the word the context is filled up. About
+    ``most`` n-grams come at once, whatever the length of a token.
     """
-    line = np.frombuffer(b" " + b" ".join(tokens) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(tokens)), sizes)
-    inside = np.arange(len(line) - 1) - starts[owner]
-    line = line.astype(np.int64)
-    padded = np.concatenate([np.full(depth, _BEYOND), line])
-    grams = line[1:].copy()
-    for back in range(1, depth + 1):
-        before = padded[depth + 1 - back : depth + len(line) - back]
-        grams |= np.where(inside + 1 >= back, before, _BEYOND) << (8 * back)
-    return grams, owner
+    fill = bytes([_BEYOND]) * (depth - 1) + b" "
+    # Read as a number, the eight bytes that end at a byte are its n-gram and more above.
+    line = b"\n" * 7 + fill + (b" " + fill).join(tokens) + b" " + b"\n" * 8
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + depth + 1
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    size = int(ends[-1]) if tokens else 0
+    for low in range(0, size, most or max(1, size)):
+        high = min(size, low + (most or size))
+        grams = np.empty(-(-(high - low) // 8) * 8, np.int64)
+        for i in range(8):
+            each = np.frombuffer(line, ">i8", (min(len(line), high + 15) - low - i) // 8, low + i)
+            grams[i::8] = each[: len(grams) // 8]
+        grams = grams[: high - low] & ((1 << (8 * depth + 8)) - 1)
+        first, last = np.searchsorted(ends, (low, high - 1), "right")
+        there = slice(first, last + 1)
+        parts = np.minimum(ends[there], high) - np.maximum(starts[there], low)
+        owner = np.repeat(np.arange(first, last + 1), parts)
+        filled = (starts[there, None] + np.arange(depth)).ravel()
+        own = np.ones(len(grams), bool)
+        own[filled[(filled >= low) & (filled < high)] - low] = False
+        yield grams[own], owner[own]
+
+
+def byte_grams(tokens: list[bytes], depth: int = RUNNING_DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all tokens at once, see :func:`gram_runs`."""
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return next(gram_runs(tokens, depth), empty)
+
+
+def _starts(numbers: np.ndarray) -> np.ndarray:
+    """Where each distinct value begins, in order."""
+    if not len(numbers):
+        return np.zeros(0, np.int64)
+    return np.concatenate([[0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1])
+
+
+#: N-grams and counts as one number, for sorts of plain numbers: an n-gram takes 56 bits of 63.
+_COUNT_BITS = 7
+_MOST = (1 << _COUNT_BITS) - 1
+
+
+def _with_counts(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers of an n-gram and a count up to ``_MOST``; larger counts take several numbers."""
+    whole, rest = np.divmod(counts, _MOST)
+    grams = grams << _COUNT_BITS
+    return np.concatenate([grams | rest, np.repeat(grams | _MOST, whole)])
+
+
+def _counted(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and the sums of their counts."""
+    both = np.concatenate([np.zeros(0, np.int64), *numbers])
+    numbers.clear()
+    both.sort()
+    counts = both & _MOST
+    both >>= _COUNT_BITS
+    at = _starts(both)
+    return both[at], (np.add.reduceat(counts, at) if len(at) else counts)
 
 
 def _merged(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +307,7 @@ def top_of_trees(context, tree, zeros, ones, log_all) -> tuple[np.ndarray, np.nd
 _BLOCKS = "block bigint, shard int, words binary, counts binary, docs binary"
 
 
-def _squeezed(data: bytes) -> bytes:
+def _squeezed(data: bytes | pa.Buffer) -> bytes:
     return zstandard.compress(data, 3)
 
 
@@ -261,19 +315,27 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def _one(data: bytes) -> pa.Array:
+    return pa.array([zstandard.decompress(data)], pa.large_binary())
+
+
 def _list(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split()
 
 
 class _Block:
-    """Documents and their words, until they are enough for a block."""
+    """Documents and their words, until they are enough for a block.
+
+    Documents lie in cells of about STRETCH_BYTES of text, squeezed once they are full.
+    """
 
     def __init__(self, id_type: pa.DataType):
         self.id_type = id_type
         self.ids: list = []
         self.held_out: list[bool] = []
         self.texts: list[bytes] = []
-        self.size = 0
+        self.cells: list[bytes] = []
+        self.size = self.open = 0
         self.trained: Counter = Counter()
         self.seen: set[bytes] = set()
 
@@ -283,12 +345,16 @@ class _Block:
         self.held_out.append(held_out)
         self.texts.append(b" ".join(found))
         self.size += len(text) + 64
+        self.open += len(text) + 64
         if held_out:
             self.seen.update(found)
         else:
             self.trained.update(found)
+        if self.open >= STRETCH_BYTES:
+            self.close()
 
-    def rows(self, number: int, shards: int) -> Iterator[tuple]:
+    def close(self) -> None:
+        """Squeeze the open documents into a cell."""
         docs = pa.table(
             [pa.array(self.ids, self.id_type), pa.array(self.held_out, pa.bool_()),
              pa.array(self.texts, pa.large_binary())],
@@ -297,7 +363,15 @@ class _Block:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema) as writer:
             writer.write_table(docs)
-        yield number, -1, None, None, _squeezed(sink.getvalue().to_pybytes())
+        self.cells.append(_squeezed(sink.getvalue()))
+        self.ids, self.held_out, self.texts, self.open = [], [], [], 0
+
+    def rows(self, number: int, shards: int) -> Iterator[tuple]:
+        if self.ids:
+            self.close()
+        for cell in self.cells:
+            yield number, -1, None, None, cell
+        self.cells = []
         counts = dict.fromkeys(self.seen, 0)
         counts.update(self.trained)
         parts: list[list[bytes]] = [[] for _ in range(shards)]
@@ -329,7 +403,7 @@ def _make_blocks(id_type: pa.DataType, shards: int):
                     if block.size >= BLOCK_BYTES:
                         yield from done()
                         number, block = number + 1, _Block(id_type)
-        if block.ids:
+        if block.size:
             yield from done()
 
     return run
@@ -353,7 +427,7 @@ _GRAM_BLOCKS = "block bigint, part int, grams binary, counts binary"
 _SCORED = "block bigint, kind string, keys binary, counts binary, scores binary"
 
 
-def _docs(data: bytes) -> pa.Table:
+def _docs(data: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
 
 
@@ -364,13 +438,24 @@ def _stretches(docs: pa.Table) -> Iterator[tuple[int, list[bytes]]]:
         plain = text.as_py()
         texts.append(plain + b" " + _END if plain else _END)
         size += len(plain)
-        if size >= STRETCH_BYTES:
+        if size >= BYTES_AT_ONCE or len(texts) == TEXTS_AT_ONCE:
             yield first, texts
             first, texts, size = place + 1, [], 0
     if texts:
         yield first, texts
 
 
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text of words and single blanks has, and all words in order."""
+    parts = pc.split_pattern(texts, " ")
+    found = parts.flatten()
+    there = pc.greater(pc.binary_length(found), 0)  # an empty text has one word of no bytes
+    if not pc.all(there).as_py():
+        owner = pc.list_parent_indices(parts).filter(there).to_numpy()
+        return np.bincount(owner, minlength=len(parts)), found.filter(there)
+    return pc.list_value_length(parts).to_numpy().astype(np.int64), found
+
+
 def _packed_grams(grams: np.ndarray) -> bytes:
     return _squeezed(np.diff(grams, prepend=0).tobytes())
 
@@ -382,34 +467,43 @@ def _unpacked_grams(data: bytes) -> np.ndarray:
 def _grams_of_blocks(depth: int, parts: int):
     """N-grams of blocks and their counts in training texts, one row for each part."""
 
-    def of_block(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def counted(docs: pa.Table) -> Iterator[np.ndarray]:
         trained = ~np.array(docs["held_out"].to_pylist(), bool)
-        grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first, texts in _stretches(docs):
-            some, owner = byte_grams(texts, depth)
-            # The lowest bit says whether a training text has it: one sort of plain numbers.
-            marked = (some << 1) | trained[first + owner]
-            marked.sort()
-            at = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
-            grams.append(marked[at] >> 1)
-            counts.append(np.add.reduceat(marked & 1, at))
-        return _merged(np.concatenate(grams), np.concatenate(counts))
+            for some, owner in gram_runs(texts, depth, BYTES_AT_ONCE):
+                # The lowest bit says whether a training text has it.
+                marked = (some << 1) | trained[first + owner]
+                marked.sort()
+                some = marked >> 1
+                at = _starts(some)
+                yield _with_counts(some[at], np.add.reduceat(marked & 1, at))
+
+    def rows(number: int, numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        grams, counts = _counted(numbers)
+        part = ((grams >> 8) & 0xFFFF) * 40503 % 65521 % parts
+        for p in range(parts):
+            at = part == p
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()), pa.array([p], pa.int32()),
+                    pa.array([_packed_grams(grams[at])], pa.binary()),
+                    pa.array([_squeezed(counts[at].tobytes())], pa.binary()),
+                ],
+                names=["block", "part", "grams", "counts"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block's cells follow each other; of one that two tasks read, each tells its own.
+        block, numbers = None, []
         for batch in batches:
             for number, data in zip(batch["block"], batch["docs"]):
-                grams, counts = of_block(_docs(data.as_py()))
-                part = ((grams >> 8) & 0xFFFF) * 40503 % 65521 % parts
-                for p in range(parts):
-                    at = part == p
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number.as_py()], pa.int64()), pa.array([p], pa.int32()),
-                            pa.array([_packed_grams(grams[at])], pa.binary()),
-                            pa.array([_squeezed(counts[at].tobytes())], pa.binary()),
-                        ],
-                        names=["block", "part", "grams", "counts"],
-                    )
+                if number.as_py() != block:
+                    if numbers:
+                        yield from rows(block, numbers)
+                    block, numbers = number.as_py(), []
+                numbers.extend(counted(_docs(data.as_buffer())))
+        if numbers:
+            yield from rows(block, numbers)
 
     return run
 
@@ -494,48 +588,53 @@ def _counts_of_words(shard: pa.Table) -> pa.Table:
 def _running_scores_of_docs(depth: int, train_tokens: int, known_words: int, ends: int):
     scale = train_tokens + BASE_ADD * (known_words + 1)
 
+    def score_of(texts: list[bytes], grams: np.ndarray, log10: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(texts))
+        for some, owner in gram_runs(texts, depth, BYTES_AT_ONCE):
+            # N-gram and text as one number: a sort of plain numbers, one search a n-gram.
+            both = (some.view(np.uint64) << np.uint64(8)) | owner.view(np.uint64)
+            both.sort()
+            some = (both >> np.uint64(8)).view(np.int64)
+            at = _starts(some)
+            each = np.repeat(log10[np.searchsorted(grams, some[at])], np.diff(at, append=len(some)))
+            sums += np.bincount((both & np.uint64(255)).view(np.int64), each, len(texts))
+        return sums
+
     def work(block: pa.Table, scored: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {_END: 0}
-        counts = [np.array([ends])]
-        known, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        vocabulary, counts = [], []
+        known, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for row in scored.to_pylist():
             if row["kind"] == "gram":
                 known.append(_unpacked_grams(row["keys"]))
-                scores.append(_numbers(row["scores"], np.float32).astype(float))
+                scores.append(_numbers(row["scores"], np.float32))
             else:
-                for word in _list(row["keys"]):
-                    place[word] = len(place)
+                vocabulary.append(_words_of(_one(row["keys"]))[1])
                 counts.append(_numbers(row["counts"], np.int64))
         grams, log10 = np.concatenate(known), np.concatenate(scores)
         order = np.argsort(grams)
-        grams, log10 = grams[order], log10[order]
-        n = np.concatenate(counts)
-        base, seen = np.log10((n + BASE_ADD) / scale), n > 0
+        grams, log10 = grams[order], log10[order].astype(float)
+        vocabulary = pa.concat_arrays([pa.array([], pa.large_binary()), *vocabulary])
+        n = np.concatenate([np.zeros(0, np.int64), *counts])
+        base = np.log10((n + BASE_ADD) / scale)
+        base_end = math.log10((ends + BASE_ADD) / scale)
         outs = []
-        for data in block["docs"].to_pylist():
-            docs = _docs(data)
-            rows, sums = [], []
-            for _, texts in _stretches(docs):
-                some, owner = byte_grams(texts, depth)
-                # In order the places lie side by side, which is what makes the search quick.
-                order = np.argsort(some)
-                found_at = np.searchsorted(grams, some[order])
-                sums.append(np.bincount(owner[order], log10[found_at], len(texts)))
-                for text in texts:
-                    found = text.split()
-                    found.append(_END)
-                    at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-                    rows.append((len(at), int(seen[at].sum()), base[at].sum()))
-            tokens, known_tokens, base_scores = zip(*rows)
+        for data in block["docs"]:
+            docs = _docs(data.as_buffer())
+            rows = docs.num_rows
+            sizes, found = _words_of(docs["text"].combine_chunks())
+            at = pc.index_in(found, value_set=vocabulary).to_numpy()
+            owner = np.repeat(np.arange(rows), sizes)
+            known_tokens = np.bincount(owner[n[at] > 0], minlength=rows) + int(ends > 0)
+            sums = [score_of(texts, grams, log10) for _, texts in _stretches(docs)]
             outs.append(
                 pa.table(
                     {
                         "doc_id": docs["doc_id"],
                         "held_out": docs["held_out"],
-                        "n_tokens": pa.array(tokens, pa.int64()),
+                        "n_tokens": pa.array(sizes + 1, pa.int64()),
                         "n_known": pa.array(known_tokens, pa.int64()),
-                        "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()),
-                        "base_score": pa.array(base_scores, pa.float64()),
+                        "train_tokens": pa.array([train_tokens] * rows, pa.int64()),
+                        "base_score": pa.array(np.bincount(owner, base[at], rows) + base_end),
                         "score": pa.array(np.concatenate(sums), pa.float64()),
                     }
                 )

@@ -218,3 +218,77 @@ def test_probabilities_of_a_context_add_up():
         log10 = trees.log_probabilities(np.full((256, 256), 0.2), np.full((256, 256), 0.6))
         own = np.isin(joined[order], every)
         assert own.sum() == 256 and (10 ** log10[own]).sum() == pytest.approx(1)
+
+
+def _block_rows(texts):
+    import pyarrow as pa
+
+    block = ct._Block(pa.int64())
+    for number, text in enumerate(texts):
+        block.add(number, number % 10 == 0, text)
+    return list(block.rows(0, 2))
+
+
+def _gram_rows(batches, parts=3):
+    import pyarrow as pa
+
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
+    tables = (
+        pa.RecordBatch.from_pylist([{"block": block, "docs": cell} for block, cell in cells], schema)
+        for cells in batches
+    )
+    return [row for batch in ct._grams_of_blocks(6, parts)(tables) for row in batch.to_pylist()]
+
+
+def test_memory_of_a_block_is_bounded():
+    """N-grams of a block take a few numbers a byte of text at a time, not of all its text."""
+    import tracemalloc
+
+    import numpy as np
+
+    chance = np.random.default_rng(7)
+    sizes = chance.integers(2, 9, 300)
+    vocabulary = [bytes(chance.choice(list(b"etaoin"), size).tolist()) for size in sizes]
+    texts = [b" ".join(vocabulary[i] for i in chance.integers(0, 300, 500)) for _ in range(1600)]
+    texts.append(b" ".join(texts[:300]))  # one text beyond what is looked at together
+    assert len(texts[-1]) > 800_000
+    cells = [(0, row[4]) for row in _block_rows(texts) if row[1] < 0]
+    tracemalloc.start()
+    _gram_rows([cells])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(map(len, texts))
+
+
+def test_grams_do_not_depend_on_cuts(monkeypatch):
+    """Pieces of long texts, many short ones, large counts, a block that two tasks read."""
+    import numpy as np
+
+    texts = [b"", b"a", b"ab " * 900, *[b"x y%d" % (i % 7) for i in range(600)], b"\xff\xfe \x01"]
+    plain = [b" ".join([*text.lower().split(), b"\n"]) for text in texts]
+    wanted = Counter()
+    for number, text in enumerate(plain):
+        for before, byte in _contexts(text, 6):
+            key = sum(b << 8 * (i + 1) for i, b in enumerate(before)) | byte
+            wanted[key] += int(number % 10 != 0)
+    every, owner = ct.byte_grams(plain)
+    for most in (1, 7, 8, 100):
+        runs = list(ct.gram_runs(plain, 6, most))
+        assert max(len(grams) for grams, _ in runs) <= most
+        assert (np.concatenate([grams for grams, _ in runs]) == every).all()
+        assert (np.concatenate([places for _, places in runs]) == owner).all()
+    assert not len(ct.byte_grams([])[0])
+    monkeypatch.setattr(ct, "STRETCH_BYTES", 3000)
+    monkeypatch.setattr(ct, "BYTES_AT_ONCE", 500)
+    cells = [row[4] for row in _block_rows(texts) if row[1] < 0]
+    assert len(cells) > 2
+    whole = _gram_rows([[(0, cell) for cell in cells[:1]], [(0, cell) for cell in cells[1:]]])
+    assert len(whole) == 3
+    two_tasks = _gram_rows([[(0, cells[0])]]) + _gram_rows([[(0, cell) for cell in cells[1:]]])
+    for rows in (whole, two_tasks):
+        found = Counter()
+        for row in rows:
+            counts = ct._numbers(row["counts"], np.int64).tolist()
+            for gram, n in zip(ct._unpacked_grams(row["grams"]).tolist(), counts):
+                found[gram] += n
+        assert found == wanted and max(found.values()) > ct._MOST
