@@ -10,6 +10,9 @@ of the smallest move and hardly anything is missed.
 
 A document's place in its shard comes from sums over buckets of equal size class, spread by
 hash: no task sees a whole shard in order. The flow sees shard sizes alone.
+
+Shards are folders ``shard=<number>`` of Parquet files. Those that lose or gain documents are
+written anew with the texts that flowed in; the files of all others stay where they are.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from garimpo.llm.common import as_bytes, stored
+from garimpo.plans.session import work_folder
 
 #: Bytes that a document takes beside its text.
 OVERHEAD = 8
@@ -182,22 +186,79 @@ def with_slots(rows: DataFrame, by: str = "shard") -> DataFrame:
     )
 
 
+def _size(text: str) -> Column:
+    return (F.octet_length(as_bytes(text)) + OVERHEAD).cast("long")
+
+
+def _changed(plan: DataFrame) -> list[int]:
+    """Numbers of the shards that lose or gain rows; ``plan`` has ``old`` and ``shard``."""
+    moved = plan.where("old <> shard").select(F.explode(F.array("old", "shard")).alias("shard"))
+    return sorted(r.shard for r in moved.distinct().collect())
+
+
+def _write_changed(
+    rows: DataFrame, plan: DataFrame, key: list[str], columns: list[str], new: str,
+    compression: str | None = None,
+) -> list[int]:
+    """Bring the rows of all changed shards to where ``plan`` puts them, below ``new``.
+
+    ``rows`` lie in ``shard``; ``key`` names them there and in ``plan``; ``columns`` are
+    written. Texts are shuffled once, by key, and a task writes what it has of each shard:
+    no task has a whole one. Returns the numbers of these shards.
+    """
+    changed = _changed(plan)
+    target = plan.where(F.col("shard").isin(changed)).select(*key, "shard")
+    (
+        rows.where(F.col("shard").isin(changed))
+        .drop("shard")
+        .join(target.hint("merge"), key)  # a plan grows with its table, so it is not broadcast
+        .select(*columns, "shard")
+        .write.partitionBy("shard").mode("errorifexists").parquet(new, compression=compression)
+    )
+    return changed
+
+
+def reshard_texts(
+    docs: DataFrame, old_shard: Column, shards: int = NEW_SHARDS, text: str = "text"
+) -> DataFrame:
+    """doc_id, text, row and shard of every row, read from the files of its new shard.
+
+    The documents are laid out by ``old_shard`` first, a folder for each shard. ``row`` is
+    a number of its own for each row.
+    """
+    spark = docs.sparkSession
+    old, new = work_folder(spark, "old-shards"), work_folder(spark, "new-shards")
+    laid = docs.select(
+        "doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"),
+        old_shard.cast("int").alias("shard"),
+    )
+    laid.write.partitionBy("shard").parquet(old, compression="zstd")
+    there = spark.read.schema(laid.schema).parquet(old)
+    sizes = there.select("row", _size("text").alias("size"), "shard", F.col("shard").alias("old"))
+    # In the order of the documents: it decides between flows of the same cost.
+    plan = reshard(stored(sizes.orderBy("row"), "shard-rows"), shards)
+    changed = _write_changed(there, plan, ["row"], ["doc_id", "text", "row"], new, "zstd")
+    return spark.read.schema(laid.schema).parquet(new).unionByName(
+        there.where(~F.col("shard").isin(changed))
+    )
+
+
 def reshard_documents(
     docs: DataFrame, old_shard: Column, shards: int = NEW_SHARDS, text: str = "text"
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    The law is ``bytes``: shards are near equal in bytes, whatever the old layout was. A
-    missing text counts as empty; missing ids and equal rows are rows like any other; other
-    columns are left out; an empty table gives an empty one.
+    Sizes and checksums are those of the texts as they lie in their new shards. The law is
+    ``bytes``: shards are near equal in bytes, whatever the old layout was. A missing text
+    counts as empty; missing ids and equal rows are rows like any other; other columns are
+    left out; an empty table gives an empty one.
     """
-    slim = docs.select(
-        "doc_id",
-        (F.octet_length(as_bytes(text)) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(as_bytes(text)).alias("text_crc32"),
-        old_shard.cast("int").alias("shard"),
-    ).withColumn("row", F.monotonically_increasing_id())
-    placed = with_slots(reshard(stored(slim, "shard-rows"), shards))
+    placed = with_slots(
+        reshard_texts(docs, old_shard, shards, text).select(
+            "doc_id", _size("text").alias("size"),
+            F.crc32(as_bytes("text")).alias("text_crc32"), "row", "shard",
+        )
+    )
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"),
         F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"),
@@ -222,24 +283,15 @@ def reshard_folder(
         if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return spark.createDataFrame([], "shard int, folder string")
         raise
-    where = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")}
-    keyed = rows.withColumns(where)
-    slim = keyed.select(
-        "_file", "_at", "shard", (F.octet_length(as_bytes(text)) + OVERHEAD).cast("long").alias("size")
-    ).withColumns({"row": F.monotonically_increasing_id(), "_old": F.col("shard")})
-    slim = stored(slim, "shard-rows")
-    plan = reshard(slim, shards).select("_file", "_at", "_old", F.col("shard").alias("_new"))
-    moved = plan.where("_old <> _new")
-    touched = moved.select(F.explode(F.array("_old", "_new")).alias("shard")).distinct()
-    changed = sorted(r.shard for r in touched.collect())  # shard numbers only
-    affected = plan.where(F.col("_new").isin(changed)).drop("_old")
-    columns = [name for name in rows.columns if name != "shard"]
-    (
-        keyed.join(affected, ["_file", "_at"])
-        .select(*columns, F.col("_new").alias("shard"))
-        .repartition("shard")
-        .write.partitionBy("shard").mode("errorifexists").parquet(new)
+    key = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")}
+    keyed = rows.withColumns(key)
+    sizes = keyed.select(
+        *key, _size(text).alias("size"), "shard", F.monotonically_increasing_id().alias("row"),
+        F.col("shard").alias("old"),
     )
+    plan = reshard(stored(sizes, "shard-rows"), shards)
+    columns = [name for name in rows.columns if name != "shard"]
+    changed = _write_changed(keyed, plan, [*key], columns, new)
     return spark.createDataFrame(
         [(j, f"{new if j in changed else old}/shard={j}") for j in range(shards)],
         "shard int, folder string",

@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -234,3 +236,46 @@ def test_one_hot_shard(spark, shards):
     )
     counts = sharding.reshard(rows, shards).groupBy("shard").count().collect()
     assert sorted(r["count"] for r in counts) == [500 // shards] * shards
+
+
+def _shard_folder(path):
+    """Folder of the shards and number of the shard that a file belongs to."""
+    folder, shard = re.fullmatch(r".*/([^/]+)/shard=(\d+)/[^/]+", path).groups()
+    return folder[:3], int(shard)
+
+
+def _lie(texts):
+    """(shard by its row, folder and shard by its file, doc_id, text) of every row."""
+    rows = texts.withColumn("file", F.input_file_name()).collect()
+    return [(r.shard, *_shard_folder(r.file), r.doc_id, r.text) for r in rows]
+
+
+def test_documents_lie_in_their_new_shards(spark, documents):
+    """Rows come from files of shards, which hold the texts."""
+    texts = [(i, t) for i, t in documents[:200]] + [(None, None), (7, None), (7, "")]
+    texts += [(1000 + i, "x" * 992) for i in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = sharding.reshard_documents(frame, F.lit(2), 4)
+    rows = found.collect()
+    _check_shards(rows, texts, 4)
+    assert all(_shard_folder(path)[0] in ("old", "new") for path in found.inputFiles())
+    lie = _lie(sharding.reshard_texts(frame, F.lit(2), 4))
+    assert all(shard == there for shard, _, there, _, _ in lie)
+    assert Counter((n, t) for *_, n, t in lie) == Counter(texts)
+    assert Counter((shard, n, zlib.crc32((t or "").encode())) for shard, _, _, n, t in lie) == Counter(
+        (r.shard, r.doc_id, r.text_crc32) for r in rows
+    )
+
+
+def test_files_of_other_shards_stay(spark):
+    """Shards 0 and 3 have their share; 1 gives half of what it has to 2."""
+    even = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("y" * 92).alias("text"))
+    old = F.when(F.col("doc_id") < 10, 0).when(F.col("doc_id") < 30, 1).otherwise(3)
+    lie = _lie(sharding.reshard_texts(even, old, 4))
+    assert {n for shard, *_, n, _ in lie if shard == 0} == set(range(10))
+    assert {n for shard, *_, n, _ in lie if shard == 3} == set(range(30, 40))
+    assert Counter((shard, folder) for shard, folder, *_ in lie) == {
+        (0, "old"): 10, (1, "new"): 10, (2, "new"): 10, (3, "old"): 10
+    }
+    lie = _lie(sharding.reshard_texts(even, F.col("doc_id") % 4, 4))
+    assert len(lie) == 40 and all(s == n % 4 and folder == "old" for s, folder, _, n, _ in lie)
